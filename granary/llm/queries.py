@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, toxicity, url_filter
+from . import bpe, ngram_join, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def _over(f: Callable[..., DataFrame], *tables: str) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": _over(ngram_join.op1_ngram_jaccard, "documents"),
+        "op2_byte_bpe": _over(bpe.op2_byte_bpe, "documents"),
         "op5_url_filter": _over(url_filter.op5_url_filter, "pages"),
         "op9_toxicity": _over(toxicity.op9_toxicity, "documents", "labels"),
     }
