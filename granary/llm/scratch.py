@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +26,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, also where ``body`` uses it inside other lambdas
+    (a column that is merely named there would be inlined and worked out for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

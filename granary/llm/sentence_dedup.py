@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import let, written
+
 SPAN, LEAST = 3, 40
 
 
@@ -27,25 +29,29 @@ def sentences(text: Column) -> Column:
 
 
 def span_hashes(pieces: Column, span: int, least: int) -> Column:
-    """(h, p) of every run of ``span`` sentences: 64-bit hash (null if too short to count) and first sentence."""
-    plain = F.transform(pieces, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
-    last = F.greatest(F.size(pieces) - span, F.lit(0))
+    """(h, p) of every run of ``span`` sentences that is long enough, in order: 64-bit hash and first sentence."""
+
+    def runs(plain: Column) -> Column:
+        def run(p: Column) -> Column:
+            return let(F.array_join(F.slice(plain, p + 1, span), " "), lambda x: F.struct(F.when(F.length(x) >= least, F.xxhash64(x)).alias("h"), p.alias("p")))
 
-    def run(p: Column) -> Column:
-        joined = F.array_join(F.slice(F.col("_plain"), p + 1, span), " ")
-        return F.struct(F.when(F.length(joined) >= least, F.xxhash64(joined)).alias("h"), p.alias("p"))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(plain) - span, F.lit(0))), run)
+        return F.array_sort(F.filter(every, lambda r: r["h"].isNotNull()))
 
-    return plain, F.when(F.size(pieces) > 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
+    return let(F.transform(pieces, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), runs)
 
 
 def _spans(docs: DataFrame, span: int, least: int) -> DataFrame:
     """(doc_id, version, first, again): distinct runs of a document with their first place, and places of the others."""
     text = F.col("text").cast("string")
-    plain, runs = span_hashes(F.col("_pieces"), span, least)
-    some = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64(text).alias("version"), sentences(text).alias("_pieces"))
-    some = some.withColumn("_plain", plain).withColumn("_runs", F.array_sort(F.filter(runs, lambda r: r["h"].isNotNull())))
-    fresh = lambda r, j: (j == 0) | (F.get(F.col("_runs"), (j - 1).cast("int"))["h"] != r["h"])
-    return some.select("doc_id", "version", F.filter("_runs", fresh).alias("first"), F.filter("_runs", lambda r, j: ~fresh(r, j)).alias("again"))
+
+    def parts(runs: Column) -> Column:
+        fresh = lambda r, j: (j == 0) | (F.get(runs, (j - 1).cast("int"))["h"] != r["h"])
+        return F.struct(F.filter(runs, fresh).alias("first"), F.filter(runs, lambda r, j: ~fresh(r, j)).alias("again"))
+
+    both = let(span_hashes(sentences(text), span, least), parts)
+    some = docs.where("doc_id is not null and text <> ''").select("doc_id", F.xxhash64(text).alias("version"), both.alias("x"))
+    return written(some.select("doc_id", "version", "x.first", "x.again"))
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
@@ -64,8 +70,12 @@ def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = LEAST, count
     text = F.col("text").cast("string")
     joined = docs.join(found, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(text) == F.col("_v")), "left").withColumn("_pieces", sentences(text))
     n = F.size("_pieces")
-    gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, F.least(p + span, n) - 1))))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), gone), lambda j: F.get(F.col("_pieces"), j)), "")
+
+    def rest(pieces: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_gone")), lambda j: F.get(pieces, j)), "")
+
+    joined = joined.withColumn("_gone", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, F.least(p + span, n) - 1)))))
+    gone, kept = F.col("_gone"), let(F.col("_pieces"), rest)
     out = joined.withColumn("_kept", F.when(F.col("_d").isNull(), text).otherwise(kept))
     extra = [F.when(text.isNull(), 0).otherwise(n).cast("bigint").alias("n_sentences"), F.when(F.col("_d").isNull(), 0).otherwise(F.size(gone)).cast("bigint").alias("n_removed")] if counts else []
     return out.select(*(F.col("_kept").alias("text") if c == "text" else c for c in docs.columns if not (counts and c in ("n_sentences", "n_removed"))), *extra)
@@ -76,7 +86,7 @@ def op10_sentence_spans(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH s AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]*[.!?\n]*\s*'), x -> x <> '') AS pieces FROM documents WHERE text IS NOT NULL),
+WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+') AS pieces FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS i, unnest(pieces) AS x, len(pieces) AS n FROM s),
 c AS (SELECT doc_id, i, n, x, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS y FROM p),
 w AS (SELECT doc_id, i, n, string_agg(y, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS r FROM c),
