@@ -33,7 +33,7 @@ class Params:
 
     max_toxic: int = 1500
     max_clean: int = 2500
-    max_train_bytes: int = 24_000_000
+    max_train_bytes: int = 12_000_000
     grams: tuple[int, ...] = (3, 4, 5, 6)
     bucket_bits: int = 17
     dim: int = 8
