@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, ngram_join, sentence_dedup, toxicity, url_filter
+from . import bpe, decontam, line_dedup, ngram_join, sentence_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_jaccard": _over(ngram_join.op1_ngram_jaccard, "documents"),
         "op2_byte_bpe": _over(bpe.op2_byte_bpe, "documents"),
         "op5_url_filter": _over(url_filter.op5_url_filter, "pages"),
+        "op6_decontamination": _over(decontam.op6_decontamination, "documents", "benchmark"),
         "op8_line_dedup": _over(line_dedup.op8_line_dedup, "documents"),
         "op9_toxicity": _over(toxicity.op9_toxicity, "documents", "labels"),
         "op10_sentence_spans": _over(sentence_dedup.op10_sentence_spans, "documents"),
