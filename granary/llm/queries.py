@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, line_dedup, ngram_join, repeats, sentence_dedup, toxicity, url_filter
+from . import bpe, decontam, line_dedup, ngram_join, pii, repeats, sentence_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op4_suffix_array": _over(repeats.op4_suffix_array, "documents"),
         "op5_url_filter": _over(url_filter.op5_url_filter, "pages"),
         "op6_decontamination": _over(decontam.op6_decontamination, "documents", "benchmark"),
+        "op7_pii": _over(pii.op7_pii, "documents"),
         "op8_line_dedup": _over(line_dedup.op8_line_dedup, "documents"),
         "op9_toxicity": _over(toxicity.op9_toxicity, "documents", "labels"),
         "op10_sentence_spans": _over(sentence_dedup.op10_sentence_spans, "documents"),
