@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, line_dedup, ngram_join, pii, repeats, sentence_dedup, toxicity, url_filter
+from . import ann, bpe, decontam, line_dedup, ngram_join, pii, repeats, sentence_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": _over(ngram_join.op1_ngram_jaccard, "documents"),
         "op2_byte_bpe": _over(bpe.op2_byte_bpe, "documents"),
+        "op3_nn_descent": _over(ann.op3_nn_descent, "embeddings"),
         "op4_suffix_array": _over(repeats.op4_suffix_array, "documents"),
         "op5_url_filter": _over(url_filter.op5_url_filter, "pages"),
         "op6_decontamination": _over(decontam.op6_decontamination, "documents", "benchmark"),
