@@ -81,7 +81,8 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS, nulls_as_zero
 
     def place(c: str) -> Column:
         lo, hi = F.col(f"`{c}|lo`"), F.col(f"`{c}|hi`")
-        return F.when(hi > lo, F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(F.when(F.col(c).isNotNull(), 0)).cast("int")
+        inside = F.when(hi > lo, F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+        return F.when(F.col(c).isNotNull(), inside).cast("int")  # least() alone would skip a null
 
     counts = rows.agg(*(F.count_if(place(c) == b).alias(f"{c}|{b}") for c in columns for b in range(bins)), *(F.first(f"`{c}|{e}`").alias(f"{c}|{e}") for c in columns for e in ("lo", "hi")))
     each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}|lo`").alias("lo"), F.col(f"`{c}|hi`").alias("hi"), F.array(*(F.col(f"`{c}|{b}`") for b in range(bins))).alias("n")) for c in columns))
