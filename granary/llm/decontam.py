@@ -61,7 +61,8 @@ def _shape(band: int, longest: int) -> tuple[int, int, int, int]:
     lo, hi = BANDS[band]
     hi = min(hi, longest)
     stride = max(1, lo // 8)
-    return lo, hi, stride, stride + allowed(hi)
+    # a window that passes the count holds half of a match, so the whole match lies this near
+    return lo, hi, stride, 3 * hi // 4 + allowed(hi) + 1
 
 
 def keys(x: np.ndarray, band: int) -> np.ndarray:
@@ -72,7 +73,7 @@ def keys(x: np.ndarray, band: int) -> np.ndarray:
     at = np.arange(len(x))
     each = KEYS // WALKS
     for walk in range(WALKS):
-        salt = salted(steps, 900 + band * 64 + walk)
+        salt, odd = salted(steps, 900 + band * 64 + walk), salted(steps, 5000 + band * 64 + walk) | U64(1)
         picks = np.random.default_rng(band * 64 + walk).integers(0, steps, (each, BITS))
         wanted, seen = {int(j) for j in picks.ravel()}, {}
         i = np.zeros(len(x), np.int64)
@@ -80,7 +81,7 @@ def keys(x: np.ndarray, band: int) -> np.ndarray:
             word = x[at, np.minimum(i, x.shape[1] - 1)]
             if j in wanted:
                 seen[j] = word
-            i += (mix(word + salt[j]) >> U64(63)).astype(np.int64)
+            i += (((word ^ salt[j]) * odd[j]) >> U64(63)).view(np.int64)  # hashes of words are mixed already
         for k in range(each):
             h = np.full(len(x), (band * WALKS + walk) * each + k, U64)
             for j in picks[k].tolist():
@@ -135,6 +136,17 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "item_id bigint, band int, words binary, keys array<bigint>, pairs array<int>")
 
 
+def _texts_at(at: np.ndarray, places: np.ndarray, wide: int) -> list[int]:
+    """Texts (of first words ``at``) that stretches of ``wide`` words from these places touch."""
+    first = np.searchsorted(at, places, side="right") - 1
+    last = np.searchsorted(at, places + wide, side="right") - 1
+    change = np.zeros(len(at) + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, np.minimum(last, len(at) - 2) + 1, -1)
+    touched = np.cumsum(change)[: len(at) - 1] > 0
+    return np.flatnonzero(touched).tolist()
+
+
 def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, place, version, band, words, keys) of every window that may match."""
     known = items.select(F.explode("pairs").alias("pair"), "band").groupBy("pair").agg(F.expr("bit_or(shiftleft(1, band))").alias("mask")).collect()  # 2**MASK_BITS rows at most
@@ -148,18 +160,20 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         mask, lengths = share.value
         shapes = {b: _shape(b, n) for b, n in lengths.items()}
         need = {b: min((n - 1 - 2 * allowed(n) for n in range(lo, min(hi, lo + 4) + 1))) for b, (lo, hi, _, _) in shapes.items()}
-        least = min(need.values(), default=0)
+        least, widest = min(need.values(), default=0), max((hi + allowed(hi) for _, hi, _, _ in shapes.values()), default=1)
+        waiting: dict[int, list[tuple]] = {}
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("doc_id").to_pylist()
             for first, data, starts in blocks(batch.column("text")):
                 h, _, _, at = words(data, starts)
                 hit = mask[(ngrams(h, 2) >> U64(64 - MASK_BITS)).astype(np.int64)]
                 some = np.zeros(len(hit) + 1, np.int64)
                 np.cumsum(hit != 0, out=some[1:])
-                for k in range(len(starts) - 1):
+                # texts in which some stretch as long as the longest window has enough known pairs of any band
+                ends = np.minimum(np.arange(len(hit)) + widest, len(hit))
+                dense = np.flatnonzero(some[ends] - some[:-1] >= least)
+                for k in _texts_at(at, dense, widest):
                     a, b = int(at[k]), int(at[k + 1])
-                    if b - a < LEAST // 2 or some[min(b, len(hit))] - some[min(a, len(hit))] < least:
-                        continue
                     w, own = h[a:b], hit[a : max(a, b - 1)]
                     for band, (lo, hi, stride, around) in shapes.items():
                         total = np.zeros(len(own) + 1, np.int64)
@@ -172,18 +186,21 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
                         offset = np.arange(len(good)) - np.maximum.accumulate(np.where(new, np.arange(len(good)), 0))
                         p = good[(offset % stride == 0) | np.r_[new[1:], True]]
                         padded = np.concatenate([w, np.zeros(hi + 1, U64)])
-                        x = keys(padded[p[:, None] + np.arange(hi + 1)], band).view(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                ids.slice(first + k, 1).take(pa.array(np.zeros(len(p), np.int64))),
-                                pa.array(p),
-                                pa.array(np.full(len(p), mix(w.sum(dtype=U64, keepdims=True))[0].view(np.int64))),
-                                pa.array(np.full(len(p), band, np.int32)),
-                                pa.array([w[max(0, q - around) : q + hi + around].tobytes() for q in p.tolist()], pa.binary()),
-                                pa.array(list(x), pa.list_(pa.int64())),
-                            ],
-                            names=["doc_id", "place", "version", "band", "words", "keys"],
-                        )
+                        version = mix(w.sum(dtype=U64, keepdims=True))[0].view(np.int64)
+                        parts = [w[max(0, q - around) : q + hi + around].tobytes() for q in p.tolist()]
+                        waiting.setdefault(band, []).append((np.full(len(p), ids[first + k]), p, np.full(len(p), version), parts, padded[p[:, None] + np.arange(hi + 1)]))
+                        if sum(len(x[1]) for x in waiting[band]) >= 4096:
+                            yield ready(band, waiting.pop(band))
+        for band, found in waiting.items():
+            yield ready(band, found)
+
+    def ready(band: int, found: list[tuple]) -> pa.RecordBatch:
+        """Windows of a band with their keys, many at a time."""
+        ids, p, version = (np.concatenate([x[i] for x in found]) for i in range(3))
+        k = keys(np.concatenate([x[4] for x in found]), band).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, KEYS, dtype=np.int32)), pa.array(k.ravel()))
+        columns = [pa.array(ids), pa.array(p), pa.array(version), pa.array(np.full(len(p), band, np.int32)), pa.array([y for x in found for y in x[3]], pa.binary()), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "version", "band", "words", "keys"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
     return source.mapInArrow(run, "doc_id bigint, place bigint, version bigint, band int, words binary, keys array<bigint>")
