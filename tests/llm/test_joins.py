@@ -111,7 +111,8 @@ def edit_distance(item, part):
 
 def test_decontamination_recall_and_precision(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    items = {r.item_id: r.text.lower().split() for r in bench.collect()}
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)  # noqa: E731  A-Z alone, as the operator
+    items = {r.item_id: lower(r.text).split() for r in bench.collect()}
     rnd, rows, planted = random.Random(3), [], []
     for k in range(300):
         i = rnd.choice(sorted(items))
@@ -126,7 +127,7 @@ def test_decontamination_recall_and_precision(spark, sf):
         planted.append((k, i))
     rows += [(1000 + k, " ".join(rnd.choice(items[rnd.choice(sorted(items))]) for _ in range(80))) for k in range(50)]
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    texts = {k: t.lower().split() for k, t in rows}
+    texts = {k: lower(t).split() for k, t in rows}
     for (d, i), x in got.items():
         assert x == edit_distance(items[i], texts[d]) <= len(items[i]) // 4
     due = [(d, i) for d, i in planted if edit_distance(items[i], texts[d]) <= len(items[i]) // 4]
