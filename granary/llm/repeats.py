@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -50,7 +50,8 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces_of(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first string's start, last string's start) of the pieces of one text."""
+    """(anchor, first string's start, last string's start) of the pieces of one text. 48 bits tell anchors apart well
+    enough up to a petabyte: an anchor that two different strings share costs a comparison, no more."""
     if len(data) < least:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     out = []
@@ -66,7 +67,7 @@ def pieces_of(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
         tagged = (h & ~U64(0xFFFFFF)) | (U64(0xFFFFFF) - place)  # the last of equals is the least
         anchor = (U64(0xFFFFFF) - (_sliding_least(tagged, least - GRAM + 1) & U64(0xFFFFFF))).astype(np.int64)
         new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        out.append((h[anchor[new]], new + at, np.r_[new[1:], len(anchor)] - 1 + at))
+        out.append((h[anchor[new]] >> U64(16), new + at, np.r_[new[1:], len(anchor)] - 1 + at))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -116,26 +117,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(n0)], names=["key", "node"])
 
 
+#: A place holds the start of a piece and, above, a part of the text's hash, for rows that share a doc_id.
+_START = 40
+
+
 def _cut(least: int):
-    """Pieces with shared anchors: (part, key, doc_id, node, start, bytes, before); bytes are null where they are known to come earlier."""
+    """Pieces with shared anchors: (key, doc_id, place, bytes, size); bytes are null, and size is not, where they are known to come earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc, node, text, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "node")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys"), strict=True):
+            for doc, tag, node, own, text, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "node", "first_node")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys"), strict=True):
+                if node != own:
+                    continue  # another text of this doc_id
                 found, first, last = pieces_of(np.frombuffer(text, np.uint8), least)
                 keep = np.isin(found.view(np.int64), keys.values.to_numpy())
+                tag <<= _START
                 for key, a, b in zip(found[keep].view(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     part = text[a : b + least]
                     if len(known) >= _KNOWN:
                         known.clear()
                     old = known.get(part)
                     if old is not None and old < doc:
-                        rows.append((node, key, doc, node, a, None, b + least - a, -1))
+                        rows.append((tag + doc % 1024, doc, tag | a, None, b + least - a))
                         continue
                     known[part] = doc
-                    rows.append((key, key, doc, node, a, part, b + least - a, text[a - 1] if a else -1))
+                    rows.append((key, doc, tag | a, part, None))
                 if len(rows) > 20_000:
                     yield _table(rows)
                     rows = []
@@ -145,14 +153,14 @@ def _cut(least: int):
     return run
 
 
-_PIECE = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary()), ("size", pa.int32()), ("before", pa.int32())])
+_PIECE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()), ("size", pa.int32())])
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
 
-def maximal(texts: list[bytes], doc: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def maximal(texts: list[bytes], doc: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """(group, piece, offset, length, smallest doc) of every occurrence of every maximal repeat of these pieces."""
     size = np.array([len(x) for x in texts])
     begin = np.cumsum(size) - size
@@ -188,7 +196,7 @@ def maximal(texts: list[bytes], doc: np.ndarray, before: np.ndarray, least: int)
     differ = rows[1:] != rows[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
     lcp = np.minimum(np.minimum(lcp, room[1:]), room[:-1])
-    own, prev = doc[piece], np.where(offset > 0, data[np.maximum(begin[piece] + offset - 1, 0)].astype(np.int64), 256 + before[piece] % 257 + 257 * piece)
+    own, prev = doc[piece], np.where(offset > 0, data[np.maximum(begin[piece] + offset - 1, 0)].astype(np.int64), 256 + piece)
     out: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int]] = []  # (common prefix, first suffix) of open intervals
     for i, length in enumerate([*lcp.tolist(), 0]):
@@ -212,14 +220,14 @@ def maximal(texts: list[bytes], doc: np.ndarray, before: np.ndarray, least: int)
 
 
 def _trees(least: int):
-    """Occurrences (doc_id, node, start, length, first_doc) from pieces in the order of part and doc_id."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("first_doc", pa.int64())])
+    """Occurrences (doc_id, place, length, first_doc) from pieces in the order of key and doc_id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("length", pa.int32()), ("first_doc", pa.int64())])
 
-    def solve(rows: pa.Table | pa.RecordBatch, open_: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    def solve(rows: pa.RecordBatch, open_: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
         texts = rows.column("bytes").to_pylist()
-        doc, node, start = (rows.column(c).to_numpy() for c in ("doc_id", "node", "start"))
-        group, piece, offset, length, first = maximal(texts, doc, rows.column("before").to_numpy(), least)
-        found = pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(node[piece]), pa.array(start[piece] + offset), pa.array(length.astype(np.int32)), pa.array(first)], schema=schema)
+        doc, place = (rows.column(c).to_numpy() for c in ("doc_id", "place"))
+        _, piece, offset, length, first = maximal(texts, doc, least)
+        found = pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(place[piece] + offset), pa.array(length.astype(np.int32)), pa.array(first)], schema=schema)
         if not open_:
             return found, None
         key = rows.column("key").to_numpy()
@@ -233,7 +241,7 @@ def _trees(least: int):
         for batch in batches:
             known = batch.filter(batch.column("bytes").is_null())
             if len(known):
-                yield pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("node"), known.column("start"), known.column("size"), pa.array(np.full(len(known), np.iinfo(np.int64).min))], schema=schema)
+                yield pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("place"), known.column("size"), pa.array(np.full(len(known), np.iinfo(np.int64).min))], schema=schema)
             kept.append(batch.filter(batch.column("bytes").is_valid()))
             if sum(map(len, kept)) >= RUN:
                 found, rest = solve(pa.concat_batches(kept), True)
@@ -246,9 +254,15 @@ def _trees(least: int):
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, text): whole texts, null as empty, with the hash that names a text."""
+    """(doc_id, node, tag, text): whole texts, null as empty, with the hash that names a text and a part of it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text, F.crc32(text.cast("binary"))).alias("node"), text.alias("text"))
+    node = F.xxhash64(text, F.crc32(text.cast("binary")))
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")
+    return docs.select(doc_id, node.alias("node"), _tag(node).alias("tag"), text.alias("text"))
+
+
+def _tag(node: Column) -> Column:
+    return node.bitwiseAND(F.lit((1 << 22) - 1))
 
 
 def first_copies(texts: DataFrame) -> DataFrame:
@@ -256,54 +270,58 @@ def first_copies(texts: DataFrame) -> DataFrame:
     return texts.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
 
 
+def _occurrences(texts: DataFrame, first: DataFrame, least: int) -> DataFrame:
+    """(doc_id, tag, start, length, first_doc) from ``named`` texts that have a doc_id and their ``first_copies``."""
+    some = texts.where(f"octet_length(text) >= {least}")
+    anchors = some.select("node", "text").mapInArrow(_anchors(least), "key bigint, node bigint")
+    shared = anchors.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
+    keys = written(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), release=True)  # a list is bounded by the length of one text
+    of_first = keys.join(first, "node").select(F.col("first").alias("doc_id"), _tag(F.col("node")).alias("tag"), F.col("node").alias("first_node"), "keys")
+    # joined by (doc_id, tag) alone, as the spans are later, so that the shuffled texts serve both joins
+    pieces = texts.join(of_first, ["doc_id", "tag"]).mapInArrow(_cut(least), "key bigint, doc_id bigint, place bigint, bytes binary, size int")
+    found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_trees(least), "doc_id bigint, place bigint, length int, first_doc bigint")
+    return found.select("doc_id", F.shiftright("place", _START).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << _START) - 1)).alias("start"), "length", "first_doc")
+
+
 def maximal_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """Occurrences of maximal repeats over the first copies of all texts: (doc_id, node, start, length, first_doc).
+    """Occurrences of maximal repeats over the first copies of all texts: (doc_id, tag, start, length, first_doc).
 
     first_doc is the smallest document of the repeat; it is the least possible number in marks whose earlier copy is known,
     but not by its number.
     """
-    texts = named(docs)
-    some = texts.where(f"doc_id is not null and octet_length(text) >= {least}")
-    anchors = some.select("node", "text").mapInArrow(_anchors(least), "key bigint, node bigint")
-    shared = anchors.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
-    keys = shared.groupBy("node").agg(F.collect_list("key").alias("keys"))  # bounded by the length of one text
-    of_first = keys.join(written(first_copies(texts)), "node").select(F.col("first").alias("doc_id"), "node", "keys")
-    pieces = texts.join(of_first, ["doc_id", "node"]).mapInArrow(_cut(least), "part bigint, key bigint, doc_id bigint, node bigint, start bigint, bytes binary, size int, before int")
-    return pieces.repartition("part").sortWithinPartitions("part", "key", "doc_id").mapInArrow(_trees(least), "doc_id bigint, node bigint, start bigint, length int, first_doc bigint")
+    texts = named(docs).where("doc_id is not null")
+    return _occurrences(texts, written(first_copies(texts)), least)
 
 
-def _digest(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, spans, copy in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans"), batch.column("copy").to_pylist(), strict=True):
-                n = len(text)
-                if copy and n >= least:
-                    lo, hi = np.array([0]), np.array([n])
-                elif spans.is_valid:
-                    a, size = (spans.values.field(k).to_numpy() for k in (0, 1))
-                    order = np.argsort(a)
-                    a, reach = a[order], np.maximum.accumulate((a + size)[order])
-                    new = np.r_[True, a[1:] > reach[:-1]]
-                    lo, hi = a[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]]
-                else:
-                    lo = hi = np.zeros(0, np.int64)
-                cut = np.stack([np.r_[0, hi], np.r_[lo, n]], axis=1).tolist()
-                rows.append((doc, n, int((hi - lo).sum()), len(lo), hashlib.sha256(b"".join(text[x:y] for x, y in cut)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return run
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans"), strict=True):
+            n, lo, hi = len(text), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if spans.is_valid:
+                a, size = (spans.values.field(k).to_numpy() for k in (0, 1))
+                order = np.argsort(a)
+                a, reach = a[order], np.minimum(np.maximum.accumulate((a + size)[order]), n)
+                new = np.r_[True, a[1:] > reach[:-1]]
+                lo, hi = a[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]]
+            cut = np.stack([np.r_[0, hi], np.r_[lo, n]], axis=1).tolist()
+            rows.append((doc, n, int((hi - lo).sum()), len(lo), hashlib.sha256(b"".join(text[x:y] for x, y in cut)).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """A row for each document: bytes, bytes and runs removed (those that also start in an earlier document), hash of the rest."""
-    spans = maximal_repeats(docs, least).where("first_doc < doc_id").groupBy("doc_id", "node").agg(F.collect_list(F.struct("start", F.col("length").cast("bigint").alias("length"))).alias("spans"))
-    texts = named(docs)
-    own = first_copies(texts)
-    whole = texts.join(spans, ["doc_id", "node"], "left").join(own, "node", "left")
-    return whole.select("doc_id", "text", "spans", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")).mapInArrow(_digest(least), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    texts = named(docs).where("doc_id is not null")  # as it stands in both joins, so that Spark shuffles the texts once
+    first = written(first_copies(texts))
+    later = _occurrences(texts, first, least).where("first_doc < doc_id").select("doc_id", "tag", "start", F.col("length").cast("bigint").alias("length"))
+    copies = texts.where(f"octet_length(text) >= {least}").select("doc_id", "tag", "node").join(first, "node").where("first < doc_id")
+    later = later.union(copies.select("doc_id", "tag", F.lit(0).cast("bigint"), F.lit(1 << _START).cast("bigint")))
+    spans = later.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    rows = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "node", "text", "spans")  # node: see above
+    nameless = named(docs).where("doc_id is null").select("doc_id", "node", "text", F.lit(None).cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    return rows.union(nameless).mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def op4_suffix_array(docs: DataFrame) -> DataFrame:
