@@ -30,15 +30,15 @@ from .scratch import written
 
 @dataclass(frozen=True)
 class Params:
-    degree: int = 24  # neighbours kept of each node
-    sample: int = 14  # of each direction that meet in a round
+    degree: int = 32  # neighbours kept of each node
+    sample: int = 18  # of each direction that meet in a round
     orders: int = 3  # random orders to start from
     run: int = 64  # nodes that are compared in an order
     rounds: int = 7
     settled: float = 0.02  # share of changed neighbours at which rounds end
-    pool: int = 80  # nodes a search keeps
-    expand: int = 16  # nodes a search expands in a round
-    searches: int = 8  # rounds of a search
+    pool: int = 240  # nodes a search keeps
+    expand: int = 40  # nodes a search expands in a round
+    searches: int = 7  # rounds of a search
     seed: int = 5
 
 
