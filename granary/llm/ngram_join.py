@@ -16,7 +16,10 @@ Equal sets are one node, named by a hash of the set, so copies cost one row a ta
 Rows of a signature are sorted by min-hashes of the rest of the set and read as a stream. The first ``WINDOW`` + 1 all
 meet; a later one meets its neighbours in that order and the first with its min-hashes, so that a hot signature makes a
 linear number of pairs. A set has up to 168 signatures, each with an order of its own, in which the sets most like it stand next to it.
-Sets that met members of a large class without joining it are also held against the middle of that class (see ``_to_hubs``).
+That finds most links; what it leaves out are pairs that share large signatures only. So all sets of large signatures
+are joined once more, exactly, wherever they are still in different classes: the n-grams of each are ordered from rare to frequent (by
+counts of hash ranges; any one order is right, this one keeps groups small), and two similar sets share the first
+n-gram they have in common within the rarest quarter and one of each. Sizes and places there rule out most pairs, the texts decide.
 Pairs whose 64-byte sketches are six standard deviations too far apart are left out, all others are checked on the texts.
 
 Defined results: null, empty and blank texts have no n-grams and are linked with nothing; texts shorter than
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -37,10 +40,12 @@ from .scratch import written
 from .textkit import U64, mix, salted, shingle_sets
 
 MAX_PARTS = 28
-WINDOW, NEAR, HUBS = 12, 2, 16
+WINDOW, NEAR = 12, 2
 SMALL = 16
 #: Smallest set with a sketch, and the share of bins in which pairs must agree (for a similarity of 0.75).
 SKETCHED, AGREE = 128, 0.41
+#: Ranges of hashes whose n-grams are counted together, and pairs held at a time.
+BUCKETS, _PAIRS = 1 << 18, 1 << 20
 _SEEN = 100_000
 
 
@@ -196,7 +201,8 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, 0) of different nodes from rows (sig, place, node) in order, and (a, a, n) of a node with n rows in large signatures.
 
-    The first ``WINDOW`` + 1 rows of a signature all meet. A later row meets the ``NEAR`` before it and the first of its place."""
+    The first ``WINDOW`` + 1 rows of a signature all meet. A later row meets the ``NEAR`` before it and the first of its place; with
+    the first of them, those before it count as rows of a large signature too."""
     names = ("sig", "place", "node")
     last = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)]  # the last rows so far
     rank, head = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each its rank in its signature, and the first node of its place
@@ -230,10 +236,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(a), np.concatenate(b)
         a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
         one = np.unique(mix(a.view(U64)) * U64(3) + b.view(U64), return_index=True)[1]
-        hot, times = np.unique(v[far], return_counts=True)
+        early = at[old:][place[old:] == WINDOW + 1][:, None] - np.arange(1, WINDOW + 2)
+        hot, times = np.unique(np.r_[v[far], v[early].ravel()], return_counts=True)
         columns = (np.concatenate(x) for x in ((a[one], hot), (b[one], hot), (np.zeros(len(one), np.int64), times)))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "hot"])
-        tail = slice(max(0, len(s) - WINDOW), None)
+        tail = slice(max(0, len(s) - WINDOW - 1), None)
         last, rank, head = [s[tail], q[tail], v[tail]], place[tail], first[tail]
 
 
@@ -275,21 +282,101 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_check(percent, n), "a bigint, b bigint").distinct()
 
 
-def _to_hubs(met: DataFrame, nodes: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a node and the hubs of large classes that it met but does not belong to.
+def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
+    """How many of the texts hold an n-gram of each of the ``BUCKETS`` ranges of hashes: a fixed, small table."""
 
-    A link can only have been missed if all signatures that its sets share are large. Sets whose own signatures are
-    nearly all large stand in the middle of a family of copies; the ``HUBS`` with most of them are its hubs.
-    """
-    classes = nodes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("node", F.coalesce("component", "id").alias("component"))
-    large = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WINDOW).select("component")
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("hot"), "node"))
-    hubs = hot.join(classes, "node").join(large, "component", "left_semi").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("component", F.col("node").alias("hub"))
-    both = met.select("a", "b").union(met.select("b", "a"))
-    far = both.join(classes.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").join(large.select(F.col("component").alias("other")), "other", "left_semi").select("a", "other").distinct()
-    far = far.join(classes.select(F.col("node").alias("a"), F.col("component").alias("own")), "a").where("own <> other")
-    pairs = far.join(hubs, F.col("other") == F.col("component")).select(F.least("a", "hub").alias("x"), F.greatest("a", "hub").alias("y"))
-    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for h in shingle_sets(batch.column("text"), n):
+                np.add.at(total, _bucket(h), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "times"])
+
+    rows = texts.select("text").mapInArrow(run, "bucket bigint, times bigint").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("times").to_numpy()
+    return out
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(gram, component, at, n, node) of the rarest n-grams of each text, so many that two similar texts share the first that they have in common."""
+    times = _frequencies(texts, n)
+    schema = pa.schema([("gram", pa.int64()), ("component", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                heads, sizes = [], []
+                for h in shingle_sets(part.column("text"), n):
+                    order = np.lexsort((h, times[_bucket(h)]))
+                    heads.append(h[order[: len(h) - (len(h) * percent + 99) // 100 + 1]])
+                    sizes.append(len(h))
+                many = [len(x) for x in heads]
+                component, node = (np.repeat(part.column(c).to_numpy(), many) for c in ("component", "node"))
+                columns = (np.concatenate(heads).view(np.int64), component, np.concatenate([np.arange(m) for m in many]), np.repeat(sizes, many), node)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, "gram bigint, component bigint, at int, n int, node bigint")
+
+
+def _across(percent: int):
+    """Pairs (a, b) of nodes of different components from rows (gram, component, at, n, node) in order, but those that their sizes or places rule out."""
+    names = ("gram", "component", "at", "n", "node")
+
+    def pairs(gram: np.ndarray, component: np.ndarray, at: np.ndarray, n: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i = np.arange(len(gram))
+        new = np.r_[True, gram[1:] != gram[:-1]]
+        start = np.maximum.accumulate(np.where(new, i, 0))
+        own = np.maximum.accumulate(np.where(new | np.r_[True, component[1:] != component[:-1]], i, 0))
+        many = own - start  # each row meets the rows of its n-gram before those of its component
+        done = np.cumsum(many)
+        lo = 0
+        while lo < len(i):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + _PAIRS, side="right")))
+            m = many[lo:hi]
+            y = np.repeat(i[lo:hi], m)
+            x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
+            need = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
+            ok = (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
+            if len(a):
+                one = np.unique(mix(a.view(U64)) * U64(3) + b.view(U64), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], names=["a", "b"])
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            ends = np.flatnonzero(rows[0] != rows[0][-1])  # the n-gram of the last row may go on
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if held and (cut or held[-1][0][-1] != rows[0][0]):
+                yield from pairs(*(np.concatenate(c) for c in zip(*held, [r[:cut] for r in rows], strict=True)))
+                held = []
+            elif cut:
+                yield from pairs(*(r[:cut] for r in rows))
+            held.append([r[cut:] for r in rows])
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _missed(hot: DataFrame, nodes: DataFrame, docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """All pairs of nodes in different components that may be similar and share a large signature, by an exact prefix filter."""
+    some = nodes.join(hot, "node", "left_semi").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    some = some.select("id", "node", F.coalesce("component", "id").alias("component"))
+    texts = written(_texts(docs).join(some, F.col("doc_id") == F.col("id")).dropDuplicates(["node"]).select("node", "component", "text"))
+    rows = _prefixes(texts, n, percent).repartition("gram").sortWithinPartitions("gram", "component")
+    return rows.mapInArrow(_across(percent), "a bigint, b bigint").distinct()
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -303,14 +390,10 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     tried = written(_plausible_pairs(met.where("a <> b").select("a", "b"), nodes, percent))
     links = written(_linked(tried, docs, n, percent))
     found = components(links, "a", "b")
-    while True:
-        more = written(_plausible_pairs(_to_hubs(met.where("a <> b"), nodes, hot, found), nodes, percent).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        fresh = written(_linked(more, docs, n, percent))
-        if fresh.isEmpty():
-            break
-        tried, links = tried.union(more), links.union(fresh)
+    more = written(_plausible_pairs(_missed(hot, nodes, docs, found, n, percent), nodes, percent).join(tried, ["a", "b"], "left_anti"))
+    fresh = written(_linked(more, docs, n, percent))
+    if not fresh.isEmpty():
+        links = links.union(fresh)
         found = components(links, "a", "b")
     named = nodes.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     named = named.select("node", F.coalesce("component", "id").alias("component"))

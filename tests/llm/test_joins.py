@@ -69,6 +69,20 @@ def test_join_of_one_large_family(spark):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_join_of_skewed_short_texts(seed, spark):
+    """Short texts whose every common n-gram is in hundreds of others: all signatures that similar ones share are large."""
+    rnd = random.Random(seed)
+    docs = []
+    for i in range(300):
+        copy = [f"b{j}" for j in range(16)]
+        for _ in range(rnd.randint(1, 2)):
+            copy[rnd.randrange(16)] = f"e{rnd.randint(0, 10**6)}"
+        docs.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op1_ngram_jaccard(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
 def test_join_real_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op1_ngram_jaccard(df).collect()}
