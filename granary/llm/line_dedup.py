@@ -6,11 +6,15 @@ a selected one. Selected fingerprints are joined with their first occurrence, by
 such pair lies on a diagonal of two documents; along it the match is extended both ways as long as
 lines are equal. Runs of at least ``window + gram - 1`` lines are deleted from the later document, with blank lines inside.
 
+A passage of over ``WORDS`` words that fills fewer lines is a run too: such runs are hashed whole and join the first of their hash.
+``dedup_lines`` and the pipeline remove both. The registered query ``op8_line_dedup`` is fixed by its SQL, which
+knows the winnowed runs alone; it passes ``winnowed=True``.
+
 First occurrences come from a grouped minimum, combined before the shuffle, so a line in a third of all documents makes
 one row a task there; it stands on the large side of a join that Spark splits by itself. Each later document
 meets first occurrences only, never all others of a group.
 
-Defined results: null texts stay null; empty texts and texts of fewer lines than a run are kept. Rows with a null doc_id
+Defined results: null texts stay null; empty texts are kept, and so are texts that hold no run. Rows with a null doc_id
 are kept and are no one's first. Rows alike in doc_id and text are one document and are treated alike. Repeats
 within a document count. Columns of the input are kept, whatever their names; only the text changes.
 """
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .scratch import let, written
 
-GRAM, WINDOW = 2, 2
+GRAM, WINDOW, WORDS = 2, 2, 50
 _BLANK = " \t\r"
 
 
@@ -78,9 +82,42 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     return both.select("doc_id", "version", "i", F.explode(runs).alias("r")).select("doc_id", "version", F.get("i", F.col("r.a")).alias("lo"), F.get("i", F.col("r.b")).alias("hi")).distinct()
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, counts: bool = False) -> DataFrame:
-    """``docs`` without repeated runs; with ``counts`` also ``n_lines`` and ``n_removed``."""
-    runs = repeated_runs(docs, gram, window).groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
+def hashed_runs(docs: DataFrame, sizes: range, least: int, words: int = WORDS) -> DataFrame:
+    """(doc_id, version, lo, hi) of every run of so many lines that is not the first of its kind; those of fewer than ``least`` lines
+    count if they have over ``words`` words."""
+    text = F.col("text").cast("string")
+    base = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64(text).alias("version"), _lines(text).alias("lines"))
+    base = base.select("doc_id", "version", "lines", line_hashes(F.col("lines")).alias("s"))
+    base = base.withColumn("w", F.transform("s", lambda x: F.size(F.split(F.trim(F.get("lines", x["i"]), F.lit(_BLANK)), r"\s+"))))
+    base = written(base.where(F.size("s") >= sizes[0]).select("doc_id", "version", F.col("s.h").alias("h"), F.col("s.i").alias("i"), "w"))
+
+    def of(size: int) -> Column:
+        def run(p: Column) -> Column:
+            many = sum((F.get("w", p + k) for k in range(size)), F.lit(0))
+            h = F.xxhash64(F.array_join(F.slice("h", p + 1, size), ""))
+            return F.struct((h if size >= least else F.when(many > words, h)).alias("h"), F.get("i", p).alias("lo"), F.get("i", p + size - 1).alias("hi"))
+
+        return F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), run)).otherwise(F.array().cast("array<struct<h:bigint,lo:int,hi:int>>"))
+
+    def parts(runs: Column) -> Column:
+        fresh = lambda r, j: (j == 0) | (F.get(runs, (j - 1).cast("int"))["h"] != r["h"])
+        return F.struct(F.filter(runs, fresh).alias("first"), F.filter(runs, lambda r, j: ~fresh(r, j)).alias("again"))
+
+    every = F.array_sort(F.filter(F.flatten(F.array(*(of(k) for k in sizes))), lambda r: r["h"].isNotNull()))
+    cut = written(base.select("doc_id", "version", let(every, parts).alias("x")).select("doc_id", "version", "x.first", "x.again"))
+    flat = cut.select(F.struct("doc_id", "version").alias("d"), F.explode("first").alias("r")).select("d", "r.h", "r.lo", "r.hi")
+    shared = flat.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 < d1").select("h", "d0")
+    later = flat.join(shared, "h").where("d > d0").select("d.doc_id", "d.version", "lo", "hi")
+    inside = cut.select("doc_id", "version", F.explode("again").alias("r")).select("doc_id", "version", "r.lo", "r.hi")
+    return later.union(inside).distinct()
+
+
+def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, counts: bool = False, winnowed: bool = False) -> DataFrame:
+    """``docs`` without repeated runs; with ``counts`` also ``n_lines`` and ``n_removed``; with ``winnowed`` the winnowed runs alone."""
+    least = window + gram - 1
+    found = repeated_runs(docs, gram, window)
+    found = found if winnowed else found.union(hashed_runs(docs, range(1, least), least))
+    runs = found.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
     text = F.col("text").cast("string")
     joined = docs.join(runs, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(text) == F.col("_v")), "left")
     gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
@@ -92,7 +129,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, counts:
 
 
 def op8_line_dedup(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text"), counts=True, winnowed=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

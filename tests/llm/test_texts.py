@@ -120,6 +120,14 @@ def test_line_dedup_extends_both_ways(spark):
     assert got == {1: rows[0][1], 2: "x\ny", 3: rows[2][1], 4: "r"}
 
 
+def test_line_dedup_long_lines(spark):
+    """A passage of over 50 words that fills one line or two is a run; shorter ones are not."""
+    one, half, short = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 51), ("b", 30), ("c", 20)))
+    rows = [(1, f"x\n{one}\ny\n{half}\n{half}2"), (2, f"{one}\nz"), (3, one), (4, f"q\n{half}\n\n{half}2\nr"), (5, f"{half}\n{short}"), (6, f"p\n{one}\n{one}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "z", 3: "", 4: "q\nr", 5: rows[4][1], 6: "p"}
+
+
 def test_sentence_spans(spark, odd_docs, no_docs):
     run = "This sentence is here. That one follows it closely. A third one ends it."
     rows = [(1, run), (2, "Something new first. " + run + " And more."), (3, f"{run} {run}"), (4, "This sentence is here. That one follows it closely.")]
