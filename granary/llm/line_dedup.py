@@ -1,14 +1,14 @@
-"""Removal of repeated runs of lines, found by winnowing over line hashes. DataFrame functions only.
+"""Removal of repeated runs of lines. DataFrame functions only.
 
-Lines that are not blank are hashed; ``gram`` consecutive ones make a fingerprint. Of every ``window`` consecutive
-fingerprints the least (the last of equals) is selected, so a repeated run of ``window + gram - 1`` lines always holds
-a selected one. Selected fingerprints are joined with their first occurrence, by (doc_id, text hash, position). Each
-such pair lies on a diagonal of two documents; along it the match is extended both ways as long as
-lines are equal. Runs of at least ``window + gram - 1`` lines are deleted from the later document, with blank lines inside.
+Lines that are not blank are hashed. Every run of ``window + gram - 1`` consecutive ones is hashed, and every shorter one that
+has over ``WORDS`` words. A run whose hash an earlier place has is deleted, with blank lines inside; longer repeats are covered by the
+runs in them, so all earlier occurrences count, in whatever context they stand.
 
-A passage of over ``WORDS`` words that fills fewer lines is a run too: such runs are hashed whole and join the first of their hash.
-``dedup_lines`` and the pipeline remove both. The registered query ``op8_line_dedup`` is fixed by its SQL, which
-knows the winnowed runs alone; it passes ``winnowed=True``.
+The registered query ``op8_line_dedup`` is fixed by its SQL and passes ``winnowed=True``: ``gram`` lines make a fingerprint, and of every ``window``
+consecutive fingerprints the least (the last of equals) is selected. Selected ones are joined with their first occurrence only, by
+(doc_id, text hash, position). Each such pair lies on a diagonal of two documents; along it the match is extended both ways as long
+as lines are equal, and runs of at least ``window + gram - 1`` lines go. A run whose fingerprint comes first in
+another context, or that fills fewer lines, stays there.
 
 First occurrences come from a grouped minimum, combined before the shuffle, so a line in a third of all documents makes
 one row a task there; it stands on the large side of a join that Spark splits by itself. Each later document
@@ -115,8 +115,7 @@ def hashed_runs(docs: DataFrame, sizes: range, least: int, words: int = WORDS) -
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, counts: bool = False, winnowed: bool = False) -> DataFrame:
     """``docs`` without repeated runs; with ``counts`` also ``n_lines`` and ``n_removed``; with ``winnowed`` the winnowed runs alone."""
     least = window + gram - 1
-    found = repeated_runs(docs, gram, window)
-    found = found if winnowed else found.union(hashed_runs(docs, range(1, least), least))
+    found = repeated_runs(docs, gram, window) if winnowed else hashed_runs(docs, range(1, least + 1), least)
     runs = found.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
     text = F.col("text").cast("string")
     joined = docs.join(runs, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(text) == F.col("_v")), "left")

@@ -128,6 +128,16 @@ def test_line_dedup_long_lines(spark):
     assert got == {1: rows[0][1], 2: "z", 3: "", 4: "q\nr", 5: rows[4][1], 6: "p"}
 
 
+def test_line_dedup_counts_all_earlier_occurrences(spark):
+    """A run goes also where lines of it come first in another context."""
+    rows = []
+    for k in range(20):
+        a, b, d, q = (f"{x} of case {k}" for x in "abdq")
+        rows += [(3 * k, f"{a}\n{b}\n{d}"), (3 * k + 1, f"{q}\n{a}\n{b}"), (3 * k + 2, f"new {k}\n{q}\n{a}\n{b}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: f"new {d // 3}" if d % 3 == 2 else t for d, t in rows}
+
+
 def test_sentence_spans(spark, odd_docs, no_docs):
     run = "This sentence is here. That one follows it closely. A third one ends it."
     rows = [(1, run), (2, "Something new first. " + run + " And more."), (3, f"{run} {run}"), (4, "This sentence is here. That one follows it closely.")]
