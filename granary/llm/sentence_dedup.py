@@ -2,7 +2,8 @@
 
 A text is cut into sentences (up to closing punctuation or line ends, with the white space after them). Every run of
 ``span`` consecutive sentences is hashed, letter case and spacing aside; a text of fewer sentences is one run.
-Runs of fewer than ``least`` characters are not looked at. Runs are joined over all documents: of equal runs the one of
+Runs of fewer than ``least`` characters are not looked at; by default all that hold any are. The registered query
+``op10_sentence_spans`` is fixed by its SQL, which leaves out runs under ``LEAST``. Runs are joined over all documents: of equal runs the one of
 the smallest doc_id, and in it the first, stays; the sentences of all others go.
 
 Within a document, runs that come again are marked by sorting its own array. Only each document's distinct runs are
@@ -54,7 +55,7 @@ def _spans(docs: DataFrame, span: int, least: int) -> DataFrame:
     return written(some.select("doc_id", "version", "x.first", "x.again"))
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = 1) -> DataFrame:
     """(doc_id, version, places): first sentences of the runs that are not the first of their kind."""
     cut = _spans(docs, span, least)
     flat = cut.select("doc_id", "version", F.explode("first").alias("r")).select("doc_id", "version", F.col("r.h").alias("h"), F.col("r.p").alias("p"))
@@ -64,7 +65,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> Dat
     return later.union(inside).groupBy("doc_id", "version").agg(F.collect_set("p").alias("places"))
 
 
-def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = LEAST, counts: bool = False) -> DataFrame:
+def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = 1, counts: bool = False) -> DataFrame:
     """``docs`` without repeated spans; with ``counts`` also ``n_sentences`` and ``n_removed``."""
     found = repeated_spans(docs, span, least).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "places")
     text = F.col("text").cast("string")
@@ -82,7 +83,7 @@ def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = LEAST, count
 
 
 def op10_sentence_spans(docs: DataFrame) -> DataFrame:
-    return dedup_sentences(docs.select("doc_id", "text"), counts=True).select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return dedup_sentences(docs.select("doc_id", "text"), least=LEAST, counts=True).select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

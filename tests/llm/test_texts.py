@@ -148,6 +148,13 @@ def test_sentence_spans(spark, odd_docs, no_docs):
     assert {r.text for r in out.where("doc_id = 3").collect()} == {None} and sentence_dedup.dedup_sentences(no_docs).count() == 0
 
 
+def test_sentence_spans_short(spark):
+    """Runs of few characters and short whole copies go too."""
+    rows = [(1, "Yes. No. Well."), (2, "yes.  No. Well."), (3, "Say: Yes. No. Well."), (4, "One. Yes. No. Well. Two."), (5, "Hi"), (6, "hi"), (7, " \n ")]
+    got = {r.doc_id: r.text for r in sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "One. Two.", 5: "Hi", 6: "", 7: " \n "}
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/en/12?x", "https://example.org/en/2", "https://example.org/es/", "ftp://x.com/fr/a#b", "http://com/de/1", "http://notcom/de/1", "http://y.com/de", "no scheme", None, "http://", "http://www.spam-farm.net/a", "http://h?q://z", "x://org/"]
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, rule string")
