@@ -1,17 +1,21 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A text is cut into sentences (up to closing punctuation or line ends, with the white space after them). Every run of
-``span`` consecutive sentences is hashed, letter case and spacing aside; a text of fewer sentences is one run.
-Runs of fewer than ``least`` characters are not looked at; by default all that hold any are. The registered query
-``op10_sentence_spans`` is fixed by its SQL, which leaves out runs under ``LEAST``. Runs are joined over all documents: of equal runs the one of
-the smallest doc_id, and in it the first, stays; the sentences of all others go.
+A text is cut into sentences, and these into their parts: a piece ends with closing punctuation, a comma, semicolon or colon, or at a
+line end, and takes the white space after it. From each piece starts one span: the shortest run of at least two pieces that has
+``least`` words; longer repeats are covered by the spans in them, but for a rest of fewer words. The last span is taken once more up to
+the end of the text, so that whole copies go whole. A text that holds no span is one itself. Spans are hashed, letter
+case and spacing aside, and joined over all documents: of equal spans the one of the smallest doc_id, and in it the
+first, stays; the pieces of all others go.
 
-Within a document, runs that come again are marked by sorting its own array. Only each document's distinct runs are
-shuffled: once as a grouped minimum, combined before the shuffle, and once for the join with the runs that
-more than one document has. No group of equal runs is ever brought together.
+Parts of sentences, not whole ones, because a passage copied from the middle of a sentence to the middle of another
+shares few whole ones; a number of words, not of sentences, because runs of very short ones come up by chance.
+
+Within a document, spans that come again are marked by sorting its own array. Only each document's distinct spans are
+shuffled: once as a grouped minimum, combined before the shuffle, and once for the join with the spans that
+more than one document has. No group of equal spans is ever brought together.
 
 Defined results: null texts stay null, empty and blank ones are kept. Rows with a null doc_id are kept and are no one's
-first. Rows with one doc_id count as one document and are treated by their own texts. Columns of the input are kept.
+first. Rows with one doc_id count as one document and are treated by their own texts. All columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -19,81 +23,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import let, written
+from .scratch import let, named, unused, written
 
-SPAN, LEAST = 3, 40
+LEAST = 20
+_ENDS = r".!?,;:\n"
 
 
-def sentences(text: Column) -> Column:
+def pieces(text: Column) -> Column:
     """The pieces of a text; joined together they are the text."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"([^.!?\n]*+[.!?\n]*+\s*+)"), F.lit(1)), lambda x: x != "")
+    return F.filter(F.regexp_extract_all(text, F.lit(rf"([^{_ENDS}]*+[{_ENDS}]*+\s*+)"), F.lit(1)), lambda x: x != "")
+
+
+def span_hashes(parts: Column, least: int) -> Column:
+    """(h, lo, hi) of the span from each piece, in order: 64-bit hash, first and last piece."""
+
+    def spans(plain: Column) -> Column:
+        def enough(a: Column) -> Column:
+            return (a["words"] >= least) & (a["size"] >= 2)
 
+        def span(p: Column) -> Column:
+            # every piece counts as a word at least, so ``least`` of them are enough (and two, if that is one)
+            some = F.slice(plain, p + 1, max(least, 2))
+            more = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + _words(x)).alias("words"), (a["size"] + 1).alias("size")))
+            size = F.aggregate(some, F.struct(F.lit(0).alias("words"), F.lit(0).alias("size")), more, lambda a: F.when(enough(a), a["size"]))
+            return let(size, lambda k: F.struct(F.when(k.isNotNull(), F.xxhash64(F.array_join(F.slice(plain, p + 1, k), " "))).alias("h"), p.alias("lo"), (p + k - 1).alias("hi")))
 
-def span_hashes(pieces: Column, span: int, least: int) -> Column:
-    """(h, p) of every run of ``span`` sentences that is long enough, in order: 64-bit hash and first sentence."""
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(plain) - 1), span), lambda r: r["h"].isNotNull())
+        rest = lambda lo: F.array(F.struct(F.xxhash64(F.array_join(F.slice(plain, lo + 1, F.size(plain)), " ")).alias("h"), lo.alias("lo"), (F.size(plain) - 1).alias("hi")))
+        last = lambda x: F.element_at(x, -1)
+        every = lambda x: F.when(last(x)["hi"] < F.size(plain) - 1, F.concat(x, rest(last(x)["lo"]))).otherwise(x)
+        return let(found, lambda x: F.when(F.size(x) > 0, F.array_sort(every(x))).otherwise(rest(F.lit(0))))
 
-    def runs(plain: Column) -> Column:
-        def run(p: Column) -> Column:
-            return let(F.array_join(F.slice(plain, p + 1, span), " "), lambda x: F.struct(F.when(F.length(x) >= least, F.xxhash64(x)).alias("h"), p.alias("p")))
+    return let(F.transform(parts, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), spans)
 
-        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(plain) - span, F.lit(0))), run)
-        return F.array_sort(F.filter(every, lambda r: r["h"].isNotNull()))
 
-    return let(F.transform(pieces, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), runs)
+def _words(plain: Column) -> Column:
+    return F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
 
 
-def _spans(docs: DataFrame, span: int, least: int) -> DataFrame:
-    """(doc_id, version, first, again): distinct runs of a document with their first place, and places of the others."""
+def _spans(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, version, first, again): distinct spans of a document at their first place, and those at other places."""
     text = F.col("text").cast("string")
 
-    def parts(runs: Column) -> Column:
-        fresh = lambda r, j: (j == 0) | (F.get(runs, (j - 1).cast("int"))["h"] != r["h"])
-        return F.struct(F.filter(runs, fresh).alias("first"), F.filter(runs, lambda r, j: ~fresh(r, j)).alias("again"))
+    def parts(spans: Column) -> Column:
+        fresh = lambda r, j: (j == 0) | (F.get(spans, (j - 1).cast("int"))["h"] != r["h"])
+        return F.struct(F.filter(spans, fresh).alias("first"), F.filter(spans, lambda r, j: ~fresh(r, j)).alias("again"))
 
-    both = let(span_hashes(sentences(text), span, least), parts)
-    some = docs.where("doc_id is not null and text <> ''").select("doc_id", F.xxhash64(text).alias("version"), both.alias("x"))
+    both = let(span_hashes(pieces(text), least), parts)
+    some = docs.where(F.col("doc_id").isNotNull() & text.rlike(r"\S")).select("doc_id", F.xxhash64(text).alias("version"), both.alias("x"))
     return written(some.select("doc_id", "version", "x.first", "x.again"))
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = 1) -> DataFrame:
-    """(doc_id, version, places): first sentences of the runs that are not the first of their kind."""
-    cut = _spans(docs, span, least)
-    flat = cut.select("doc_id", "version", F.explode("first").alias("r")).select("doc_id", "version", F.col("r.h").alias("h"), F.col("r.p").alias("p"))
+def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, version, spans): (lo, hi) pieces of the spans that are not the first of their kind."""
+    cut = _spans(docs, least)
+    flat = cut.select("doc_id", "version", F.explode("first").alias("r")).select("doc_id", "version", "r.h", "r.lo", "r.hi")
     shared = flat.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("h", "d0")
-    later = flat.join(shared, "h").where("doc_id > d0").select("doc_id", "version", "p")
-    inside = cut.where(F.size("again") > 0).select("doc_id", "version", F.explode("again.p").alias("p"))
-    return later.union(inside).groupBy("doc_id", "version").agg(F.collect_set("p").alias("places"))
+    later = flat.join(shared, "h").where("doc_id > d0").select("doc_id", "version", "lo", "hi")
+    inside = cut.where(F.size("again") > 0).select("doc_id", "version", F.explode("again").alias("r")).select("doc_id", "version", "r.lo", "r.hi")
+    return later.union(inside).groupBy("doc_id", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def dedup_sentences(docs: DataFrame, span: int = SPAN, least: int = 1, counts: bool = False) -> DataFrame:
-    """``docs`` without repeated spans; with ``counts`` also ``n_sentences`` and ``n_removed``."""
-    found = repeated_spans(docs, span, least).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "places")
+def dedup_sentences(docs: DataFrame, least: int = LEAST, counts: bool = False) -> DataFrame:
+    """``docs`` without repeated spans; with ``counts`` also ``n_pieces`` and ``n_removed``."""
+    d, v, x = (unused(docs, c) for c in ("d", "v", "x"))
+    found = repeated_spans(docs, least).select(F.col("doc_id").alias(d), F.col("version").alias(v), F.col("spans").alias(x))
     text = F.col("text").cast("string")
-    joined = docs.join(found, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(text) == F.col("_v")), "left").withColumn("_pieces", sentences(text))
-    n = F.size("_pieces")
+    joined = docs.join(found, (F.col("doc_id") == F.col(d)) & (F.xxhash64(text) == F.col(v)), "left")
 
-    def rest(pieces: Column) -> Column:
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_gone")), lambda j: F.get(pieces, j)), "")
+    def cleaned(parts: Column) -> Column:
+        gone = F.array_distinct(F.flatten(F.transform(x, lambda r: F.sequence(r["lo"], r["hi"]))))
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+        kept = F.when(F.col(x).isNull(), text).otherwise(F.array_join(F.transform(left, lambda j: F.get(parts, j)), ""))
+        return F.struct(kept.alias("text"), F.size(parts).cast("bigint").alias("n"), F.when(F.col(x).isNull(), 0).otherwise(F.size(gone)).cast("bigint").alias("gone"))
 
-    joined = joined.withColumn("_gone", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, F.least(p + span, n) - 1)))))
-    gone, kept = F.col("_gone"), let(F.col("_pieces"), rest)
-    out = joined.withColumn("_kept", F.when(F.col("_d").isNull(), text).otherwise(kept))
-    extra = [F.when(text.isNull(), 0).otherwise(n).cast("bigint").alias("n_sentences"), F.when(F.col("_d").isNull(), 0).otherwise(F.size(gone)).cast("bigint").alias("n_removed")] if counts else []
-    return out.select(*(F.col("_kept").alias("text") if c == "text" else c for c in docs.columns if not (counts and c in ("n_sentences", "n_removed"))), *extra)
+    out = joined.withColumn(x, let(pieces(F.coalesce(text, F.lit(""))), cleaned))
+    extra = [F.col(x)["n"].alias("n_pieces"), F.col(x)["gone"].alias("n_removed")] if counts else []
+    kept = F.when(text.isNotNull(), F.col(x)["text"])
+    return out.select(*(kept.alias(c) if c == "text" else named(c) for c in docs.columns if not (counts and c in ("n_pieces", "n_removed"))), *extra)
 
 
 def op10_sentence_spans(docs: DataFrame) -> DataFrame:
-    return dedup_sentences(docs.select("doc_id", "text"), least=LEAST, counts=True).select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return dedup_sentences(docs.select("doc_id", "text"), counts=True).select("doc_id", "n_pieces", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
-WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+') AS pieces FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS i, unnest(pieces) AS x, len(pieces) AS n FROM s),
-c AS (SELECT doc_id, i, n, x, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS y FROM p),
-w AS (SELECT doc_id, i, n, string_agg(y, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS r FROM c),
-v AS (SELECT doc_id, i, row_number() OVER (PARTITION BY r ORDER BY doc_id, i) AS k FROM w WHERE (i <= n - 3 OR i = 0) AND length(r) >= 40),
-z AS (SELECT DISTINCT c.doc_id, c.i FROM c JOIN v ON v.doc_id = c.doc_id AND c.i BETWEEN v.i AND v.i + 2 WHERE v.k > 1)
-SELECT d.doc_id, count(c.i) AS n_sentences, count(z.i) AS n_removed,
+WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+') AS pieces FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS i, unnest(pieces) AS x FROM s),
+c AS (SELECT doc_id, i, x, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS y FROM p),
+w AS (SELECT doc_id, i, y, length(y) - length(replace(y, ' ', '')) + 1 AS n, sum(length(y) - length(replace(y, ' ', '')) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c),
+e AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 19 AND b.upto - a.upto + a.n >= 20 GROUP BY a.doc_id, a.i),
+t AS (SELECT doc_id, max(i) AS last FROM c GROUP BY doc_id),
+r AS (SELECT doc_id, i, j FROM e UNION SELECT e.doc_id, max(i), last FROM e JOIN t ON t.doc_id = e.doc_id GROUP BY e.doc_id, last UNION ALL SELECT doc_id, 0, max(i) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM e) GROUP BY doc_id HAVING bool_or(y <> '')),
+h AS (SELECT r.doc_id, r.i, r.j, string_agg(c.y, ' ' ORDER BY c.i) AS span FROM r JOIN c ON c.doc_id = r.doc_id AND c.i BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j),
+v AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS k FROM h),
+z AS (SELECT DISTINCT c.doc_id, c.i FROM c JOIN v ON v.doc_id = c.doc_id AND c.i BETWEEN v.i AND v.j WHERE v.k > 1)
+SELECT d.doc_id, count(c.i) AS n_pieces, count(z.i) AS n_removed,
   sha256(coalesce(string_agg(c.x, '' ORDER BY c.i) FILTER (z.i IS NULL), '')) AS kept_sha256
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = c.doc_id AND z.i = c.i GROUP BY d.doc_id
 """

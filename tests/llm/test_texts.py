@@ -10,7 +10,7 @@ import tiktoken
 from helpers import duck_rows, rows_of
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, line_dedup, pii, queries, repeats, sentence_dedup, textkit, toxicity, url_filter
+from granary.llm import bpe, decontam, line_dedup, ngram_join, pii, queries, repeats, sentence_dedup, textkit, toxicity, url_filter
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -139,20 +139,62 @@ def test_line_dedup_counts_all_earlier_occurrences(spark):
 
 
 def test_sentence_spans(spark, odd_docs, no_docs):
-    run = "This sentence is here. That one follows it closely. A third one ends it."
-    rows = [(1, run), (2, "Something new first. " + run + " And more."), (3, f"{run} {run}"), (4, "This sentence is here. That one follows it closely.")]
+    run = "This sentence is here for the words. That one follows it closely, as it should. A third one ends it."
+    rows = [(1, run), (2, "Something new first. " + run + " And more."), (3, f"{run} {run}"), (4, "This sentence is here for the words. That one follows it closely, as it should."), (5, "Other. " + run.upper().replace(" ", "  "))]
     got = {r.doc_id: r.text for r in sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == run and got[2] == "Something new first. And more." and got[3] == "" and got[4] == rows[3][1]
+    assert got == {1: run, 2: "Something new first. And more.", 3: "", 4: rows[3][1], 5: "Other. "}
     out = sentence_dedup.dedup_sentences(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert {r.text for r in out.where("doc_id = 3").collect()} == {None} and sentence_dedup.dedup_sentences(no_docs).count() == 0
 
 
 def test_sentence_spans_short(spark):
-    """Runs of few characters and short whole copies go too."""
-    rows = [(1, "Yes. No. Well."), (2, "yes.  No. Well."), (3, "Say: Yes. No. Well."), (4, "One. Yes. No. Well. Two."), (5, "Hi"), (6, "hi"), (7, " \n ")]
+    """Whole copies of short texts go, short runs in longer ones stay."""
+    rows = [(1, "Yes. No. Well."), (2, "yes.  No. Well."), (3, "Say: Yes. No. Well."), (5, "Hi"), (6, "hi"), (7, " \n ")]
     got = {r.doc_id: r.text for r in sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "One. Two.", 5: "Hi", 6: "", 7: " \n "}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 5: "Hi", 6: "", 7: " \n "}
+
+
+def test_sentence_spans_planted_within_sentences(spark):
+    """Passages of 60 to 120 words cut from and put into the middle of sentences are found; texts of common words alone are left."""
+    rnd = random.Random(8)
+
+    def prose(n):
+        out = []
+        for i in range(n):
+            out.append(rnd.choice(["the", "of", "and", "in", f"w{rnd.randint(0, 5000)}"]))
+            if rnd.random() < 0.12:
+                out[-1] += rnd.choice([",", ".", ".", ";"])
+        return out
+
+    hosts, rows, planted = [prose(rnd.randint(150, 500)) for _ in range(200)], [], set()
+    for i, words in enumerate(hosts):
+        if i >= 120:
+            source = rnd.choice(hosts[:60])
+            n = rnd.randint(60, 120)
+            p, q = rnd.randrange(len(source) - n), rnd.randrange(len(words))
+            words = [*words[:q], *source[p : p + n], *words[q:]]
+            planted.add(i)
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.text for r in sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    changed = {d for d, t in rows if got[d] != t}
+    assert changed <= planted and len(changed) >= 0.95 * len(planted)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Helper names of the operators, in any case, come through unchanged."""
+    names = ["_d", "_v", "_gone", "_kept", "_text", "_new", "_leak", "_toxic", "_tokens", "_fits", "_index", "_runs", "_n", "d", "v", "x", "H", "lo", "hi", "version", "n_removed", "a.b", "component_id", "node", "score", "ids"]
+    rows = [(1, "alpha beta\ngamma\ndelta\nepsilon", *range(len(names))), (2, "alpha beta\ngamma\ndelta\nepsilon", *range(len(names))), (3, "me@example.com wrote", *range(len(names)))]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+    bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    for made in (line_dedup.dedup_lines(df), sentence_dedup.dedup_sentences(df), pii.replace_pii(df, "k"), decontam.decontaminate(df, bench), ngram_join.keep_one_each(df), toxicity.drop_toxic(df, model)):
+        assert made.columns == df.columns
+        for r in made.collect():
+            assert list(r)[2:] == list(range(len(names)))
+    pages = df.withColumnRenamed("text", "url")
+    out = url_filter.filter_urls(pages, url_filter.default_rules())
+    assert [c for c in out.columns if c in pages.columns] == pages.columns and out.count() == 3
 
 
 def test_urls(spark):
