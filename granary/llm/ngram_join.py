@@ -13,14 +13,17 @@ Large sets would need hundreds of parts. They emit the first ``MAX_PARTS`` only:
 a signature in each with probability 0.52, so it is missed with probability 0.48**28 < 2e-9, fewer above it.
 
 Equal sets are one node, named by a hash of the set, so copies cost one row a task and never meet in pairs.
-Rows of a signature are sorted by min-hashes of the rest of the set and read as a stream. The first ``WINDOW`` + 1 all
-meet; a later one meets its neighbours in that order and the first with its min-hashes, so that a hot signature makes a
-linear number of pairs. A set has up to 168 signatures, each with an order of its own, in which the sets most like it stand next to it.
-That finds most links; what it leaves out are pairs that share large signatures only. So all sets of large signatures
-are joined once more, exactly, wherever they are still in different classes: the n-grams of each are ordered from rare to frequent (by
+Rows of a signature are read as a stream in the order of their nodes. The first ``FEW`` + 1 all meet; a later one meets the first
+only, so a hot signature makes a pair a row. That order is the same in all signatures: the sets of a family share few
+firsts between them, so a set makes few pairs however many signatures it has. These pairs are checked and their classes formed.
+
+A link inside a class changes nothing, so what is left are pairs of different classes that share large signatures only. The
+nodes of every large signature that more than one class has are joined once more, exactly: the n-grams of each are ordered from rare to frequent (by
 counts of hash ranges; any one order is right, this one keeps groups small), and two similar sets share the first
 n-gram they have in common within the rarest quarter and one of each. Sizes and places there rule out most pairs, the texts decide.
-Pairs whose 64-byte sketches are six standard deviations too far apart are left out, all others are checked on the texts.
+In a first pass the sets that share an n-gram meet only ``FIRST`` of the largest class there, others for each n-gram, which joins most of
+what belongs together by a number of pairs in proportion to the rows; then all pairs that are still of different classes meet.
+Pairs whose 64-byte sketches are six standard deviations too far apart (a chance of 2e-9 for a pair at 0.75) are left out, all others are checked on the texts.
 
 Defined results: null, empty and blank texts have no n-grams and are linked with nothing; texts shorter than
 n words are one n-gram. Repeated rows are one class. Rows with a null doc_id are compared, but name no class.
@@ -40,7 +43,7 @@ from .scratch import written
 from .textkit import U64, mix, salted, shingle_sets
 
 MAX_PARTS = 28
-WINDOW, NEAR = 12, 2
+FEW, FIRST = 3, 8
 SMALL = 16
 #: Smallest set with a sketch, and the share of bins in which pairs must agree (for a similarity of 0.75).
 SKETCHED, AGREE = 128, 0.41
@@ -70,8 +73,8 @@ class Signer:
         k = 2 * r * (100 - self.percent) // (100 + self.percent)
         return k, int(1.35 * (k + 1) / 2) + 2
 
-    def cells(self, h: np.ndarray, instance: int, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Signatures in one instance with one seed, the order of each, and whether they are certain to suffice."""
+    def cells(self, h: np.ndarray, instance: int, seed: int) -> tuple[np.ndarray, bool]:
+        """Signatures in one instance with one seed, and whether they are certain to suffice."""
         k, n1 = self.parts(instance)
         parts = min(n1, MAX_PARTS)
         g = mix(h + salted(1, instance * 64 + seed)[0])
@@ -87,43 +90,27 @@ class Signer:
         end = np.cumsum(count)
         value = (total[end] - total[end - count]).reshape(parts, 3)
         full = (count > 0).reshape(parts, 3)
-        each = count.reshape(parts, 3).sum(axis=1)
-        least = np.zeros(parts, U64)
-        some = np.flatnonzero(each)
-        if len(some):
-            least[some] = np.minimum.reduceat(g, (np.cumsum(each) - each)[some])
         salt = salted(parts * 3, (instance * 64 + seed) * 1000003 + 5).reshape(parts, 3)
         pairs = ((0, 1), (0, 2), (1, 2))
         out = np.stack([mix(mix(value[:, a] + salt[:, i]) * U64(3) + value[:, b]) for i, (a, b) in enumerate(pairs)], axis=1)
         some = np.stack([full[:, a] | full[:, b] for a, b in pairs], axis=1)
-        # the least hashes of the next three parts: min-hashes of the rest of the set, of which alike sets share a long head
-        place = (np.roll(least, -1) >> U64(53) << U64(53)) | (np.roll(least, -2) >> U64(54) << U64(43)) | (np.roll(least, -3) >> U64(54) << U64(33))
-        place = np.repeat(place[:, None], 3, axis=1)
-        return out[some], place[some], parts < n1 or 2 * int((full.sum(axis=1) >= 2).sum()) > k
-
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signatures, order of each): alike sets are likely to be alike in order."""
-        out, orders = [], []
-
-        def single(salt: int) -> None:
-            g = mix(h + U64(salt))
-            out.append(g)
-            orders.append(np.full(len(g), mix(g).min()))
+        return out[some], parts < n1 or 2 * int((full.sum(axis=1) >= 2).sum()) > k
 
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = []
         if len(h) <= self.small:
-            single(11)
+            out.append(mix(h + U64(11)))
         if len(h) > SMALL:
             own = int(np.searchsorted(self.first, len(h), side="right")) - 1
             for instance in (own, own + 1):
                 for seed in range(3):
-                    signatures, place, enough = self.cells(h, instance, seed)
+                    signatures, enough = self.cells(h, instance, seed)
                     out.append(signatures)
-                    orders.append(place)
                     if enough:
                         break
                 else:
-                    single(12 + instance)
-        return np.concatenate(out), (np.concatenate(orders) >> U64(33)).astype(np.int32)
+                    out.append(mix(h + U64(12 + instance)))
+        return np.concatenate(out)
 
 
 def sketch(h: np.ndarray) -> bytes | None:
@@ -159,30 +146,30 @@ def node_of(h: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, place, node): a row for every signature of every set, once a task."""
+    """(sig, node): a row for every signature of every set, once a task."""
 
-    def rows(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-        node = np.repeat(np.array([x[2] for x in parts]), [len(x[0]) for x in parts])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(np.concatenate([x[1] for x in parts])), pa.array(node)], names=["sig", "place", "node"])
+    def rows(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        node = np.repeat(np.array([x[1] for x in parts]), [len(x[0]) for x in parts])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(node)], names=["sig", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen = Signer(percent), set()
         for batch in batches:
-            parts: list[tuple[np.ndarray, np.ndarray, int]] = []
+            parts: list[tuple[np.ndarray, int]] = []
             for h in shingle_sets(batch.column("text"), n):
                 node = node_of(h)
                 if len(h) and node not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(node)
-                    parts.append((*signer(h), node))
+                    parts.append((signer(h), node))
                 if len(parts) >= 500:
                     yield rows(parts)
                     parts = []
             if parts:
                 yield rows(parts)
 
-    return _texts(docs).mapInArrow(run, "sig bigint, place int, node bigint")
+    return _texts(docs).mapInArrow(run, "sig bigint, node bigint")
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,49 +186,41 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, 0) of different nodes from rows (sig, place, node) in order, and (a, a, n) of a node with n rows in large signatures.
-
-    The first ``WINDOW`` + 1 rows of a signature all meet. A later row meets the ``NEAR`` before it and the first of its place; with
-    the first of them, those before it count as rows of a large signature too."""
-    names = ("sig", "place", "node")
-    last = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)]  # the last rows so far
-    rank, head = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each its rank in its signature, and the first node of its place
+    """Pairs (a, b, hot) of different nodes from rows (sig, node) in order: the first ``FEW`` + 1 rows of a signature all meet,
+    later ones meet its first. The rows of a signature of more than ``FEW`` + 1 make hot pairs with its first, which is their a."""
+    last = [np.zeros(0, np.int64)] * 2  # the last rows so far
+    rank, head = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each its rank in its signature, and that one's first node
     for batch in batches:
         if not len(batch):
             continue
-        s, q, v = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in zip(last, names, strict=True))
+        s, v = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in zip(last, ("sig", "node"), strict=True))
         old = len(last[0])
-        keep = np.r_[True, (s[1:] != s[:-1]) | (q[1:] != q[:-1]) | (v[1:] != v[:-1])]
+        keep = np.r_[True, (s[1:] != s[:-1]) | (v[1:] != v[:-1])]
         keep[:old] = True
-        s, q, v = s[keep], q[keep], v[keep]
+        s, v = s[keep], v[keep]
         at = np.arange(len(s))
-        new_s = np.r_[True, s[1:] != s[:-1]]
-        new_q = np.r_[True, new_s[1:] | (q[1:] != q[:-1])]
-        place = at - np.maximum.accumulate(np.where(new_s, at, 0))
-        first = v[np.maximum.accumulate(np.where(new_q, at, 0))]
-        if old:  # the signature and the place that were open when these rows began
+        start = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], at, 0))
+        place, first = at - start, v[start]
+        if old:  # the signature that was open when these rows began
             same = s == s[0]
             place[same] += rank[0]
-            first[same & (q == q[0])] = head[0]
+            first[same] = head[0]
+        new, place_ = at[old:], place[old:]
         a, b = [], []
-        for lag in range(1, WINDOW + 1):
-            i = at[old if old > lag else lag :]
-            i = i[(s[i] == s[i - lag]) & ((place[i] <= WINDOW) | (lag <= NEAR))]
-            if len(i):
-                a.append(v[i - lag])
-                b.append(v[i])
-        far = at[old:][place[old:] > WINDOW]
-        a.append(first[far])
-        b.append(v[far])
-        a, b = np.concatenate(a), np.concatenate(b)
-        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-        one = np.unique(mix(a.view(U64)) * U64(3) + b.view(U64), return_index=True)[1]
-        early = at[old:][place[old:] == WINDOW + 1][:, None] - np.arange(1, WINDOW + 2)
-        hot, times = np.unique(np.r_[v[far], v[early].ravel()], return_counts=True)
-        columns = (np.concatenate(x) for x in ((a[one], hot), (b[one], hot), (np.zeros(len(one), np.int64), times)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "hot"])
-        tail = slice(max(0, len(s) - WINDOW - 1), None)
-        last, rank, head = [s[tail], q[tail], v[tail]], place[tail], first[tail]
+        for lag in range(1, FEW + 1):
+            i = new[(place_ >= lag) & (place_ <= FEW)]
+            a.append(v[i - lag])
+            b.append(v[i])
+        grown = new[place_ == FEW + 1]  # with this row the signature is large: those before it count too
+        early = (grown[:, None] - np.arange(1, FEW + 1)).ravel()
+        hot = np.concatenate([new[place_ > FEW], early])
+        a, b, warm = np.concatenate([*a, first[hot]]), np.concatenate([*b, v[hot]]), np.r_[np.zeros(sum(map(len, a)), bool), np.ones(len(hot), bool)]
+        order = np.lexsort((~warm, b, a))
+        a, b, warm = a[order], b[order], warm[order]
+        one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (a, b, warm)], names=["a", "b", "hot"])
+        tail = slice(max(0, len(s) - FEW - 1), None)
+        last, rank, head = [s[tail], v[tail]], place[tail], first[tail]
 
 
 def _check(percent: int, n: int):
@@ -304,30 +283,74 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(gram, component, at, n, node) of the rarest n-grams of each text, so many that two similar texts share the first that they have in common."""
+    """(gram, at, n, node) of the rarest n-grams of each text, so many that two similar texts share the first that they have in common."""
     times = _frequencies(texts, n)
-    schema = pa.schema([("gram", pa.int64()), ("component", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("node", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                heads, sizes = [], []
-                for h in shingle_sets(part.column("text"), n):
+                heads, sizes, nodes = [], [], []
+                for h, node in zip(shingle_sets(part.column("text"), n), part.column("node").to_pylist(), strict=True):
+                    if node_of(h) != node:
+                        continue  # another text of this doc_id
                     order = np.lexsort((h, times[_bucket(h)]))
                     heads.append(h[order[: len(h) - (len(h) * percent + 99) // 100 + 1]])
                     sizes.append(len(h))
-                many = [len(x) for x in heads]
-                component, node = (np.repeat(part.column(c).to_numpy(), many) for c in ("component", "node"))
-                columns = (np.concatenate(heads).view(np.int64), component, np.concatenate([np.arange(m) for m in many]), np.repeat(sizes, many), node)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    nodes.append(node)
+                if heads:
+                    many = [len(x) for x in heads]
+                    columns = (np.concatenate(heads).view(np.int64), np.concatenate([np.arange(m) for m in many]), np.repeat(sizes, many), np.repeat(nodes, many))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, "gram bigint, at int, n int, node bigint")
+
+
+_ROW = ("gram", "component", "at", "n", "node")
 
-    return texts.mapInArrow(run, "gram bigint, component bigint, at int, n int, node bigint")
+
+def _may_be(percent: int, at: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows x and y their sizes and places do not rule out."""
+    need = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
+    return (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+
+
+def _pairs_once(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    one = np.unique(mix(a.view(U64)) * U64(3) + b.view(U64), return_index=True)[1]
+    return pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], names=["a", "b"])
+
+
+def _to_first(percent: int):
+    """Pairs (a, b) of each row and the first ``FIRST`` of its n-gram, where they are of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: list[np.ndarray] = []  # the first rows of the n-gram that is open
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in _ROW]
+            gram, component, at, n, node = [np.concatenate(x) for x in zip(head, rows, strict=True)] if head else rows
+            i = np.arange(len(gram))
+            first = np.maximum.accumulate(np.where(np.r_[True, gram[1:] != gram[:-1]], i, 0))
+            new = i[len(head[0]) :] if head else i
+            a, b = [], []
+            for k in range(FIRST):
+                y = new[first[new] + k < new]
+                y = y[component[first[y] + k] != component[y]]
+                y = y[_may_be(percent, at, n, first[y] + k, y)]
+                a.append(node[first[y] + k])
+                b.append(node[y])
+            yield _pairs_once(np.concatenate(a), np.concatenate(b))
+            last = slice(int(first[-1]), int(first[-1]) + FIRST)
+            head = [x[last] for x in (gram, component, at, n, node)]
+
+    return run
 
 
 def _across(percent: int):
     """Pairs (a, b) of nodes of different components from rows (gram, component, at, n, node) in order, but those that their sizes or places rule out."""
-    names = ("gram", "component", "at", "n", "node")
 
     def pairs(gram: np.ndarray, component: np.ndarray, at: np.ndarray, n: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         i = np.arange(len(gram))
@@ -342,12 +365,9 @@ def _across(percent: int):
             m = many[lo:hi]
             y = np.repeat(i[lo:hi], m)
             x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
-            need = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
-            ok = (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
-            if len(a):
-                one = np.unique(mix(a.view(U64)) * U64(3) + b.view(U64), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], names=["a", "b"])
+            ok = _may_be(percent, at, n, x, y)
+            if ok.any():
+                yield _pairs_once(node[x[ok]], node[y[ok]])
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +375,7 @@ def _across(percent: int):
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in _ROW]
             ends = np.flatnonzero(rows[0] != rows[0][-1])  # the n-gram of the last row may go on
             cut = int(ends[-1]) + 1 if len(ends) else 0
             if held and (cut or held[-1][0][-1] != rows[0][0]):
@@ -370,13 +390,24 @@ def _across(percent: int):
     return run
 
 
-def _missed(hot: DataFrame, nodes: DataFrame, docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
-    """All pairs of nodes in different components that may be similar and share a large signature, by an exact prefix filter."""
-    some = nodes.join(hot, "node", "left_semi").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    some = some.select("id", "node", F.coalesce("component", "id").alias("component"))
-    texts = written(_texts(docs).join(some, F.col("doc_id") == F.col("id")).dropDuplicates(["node"]).select("node", "component", "text"))
-    rows = _prefixes(texts, n, percent).repartition("gram").sortWithinPartitions("gram", "component")
-    return rows.mapInArrow(_across(percent), "a bigint, b bigint").distinct()
+def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, id, component) of the nodes of large signatures that more than one class has, or whose first has another such signature."""
+    of = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    both = written(hot.join(of("a"), "a").join(of("b"), "b"))
+    mixed = both.join(both.where("ca <> cb").select("a").distinct(), "a", "left_semi")
+    return named.join(mixed.select(F.col("a").alias("node")).union(mixed.select("b")).distinct(), "node", "left_semi")
+
+
+def _rare_grams(some: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    texts = _texts(docs).join(some.select("id", "node"), F.col("doc_id") == F.col("id")).withColumn("version", F.xxhash64("text"))
+    return written(_prefixes(written(texts.dropDuplicates(["node", "version"]).select("node", "text")), n, percent))
+
+
+def _dealt(grams: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of each n-gram together, those of the largest component first."""
+    size = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    rows = grams.join(named.join(size, "component").select("node", "component", "size"), "node").withColumn("turn", F.xxhash64("gram", "node"))
+    return rows.repartition("gram").sortWithinPartitions("gram", F.desc("size"), "component", "turn").select(*_ROW)
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -384,21 +415,26 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     rows = written(described(docs, n))
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
     nodes = written(nodes)
-    met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "place", "node").mapInArrow(_meet, "a bigint, b bigint, hot bigint")
-    met = written(met.groupBy("a", "b").agg(F.sum("hot").alias("hot")))
-    hot = met.where("a = b").select(F.col("a").alias("node"), "hot")
-    tried = written(_plausible_pairs(met.where("a <> b").select("a", "b"), nodes, percent))
+
+    def classes(links: DataFrame) -> DataFrame:
+        found = nodes.select("node", "id").join(components(links, "a", "b").select(F.col("node").alias("id"), "component"), "id", "left")
+        return found.select("node", "id", F.coalesce("component", "id").alias("component"))
+
+    met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "a bigint, b bigint, hot boolean")
+    met = written(met.groupBy("a", "b").agg(F.max("hot").alias("hot")))
+    tried = written(_plausible_pairs(met, nodes, percent))
     links = written(_linked(tried, docs, n, percent))
-    found = components(links, "a", "b")
-    more = written(_plausible_pairs(_missed(hot, nodes, docs, found, n, percent), nodes, percent).join(tried, ["a", "b"], "left_anti"))
-    fresh = written(_linked(more, docs, n, percent))
-    if not fresh.isEmpty():
-        links = links.union(fresh)
-        found = components(links, "a", "b")
-    named = nodes.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = named.select("node", F.coalesce("component", "id").alias("component"))
-    classes = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return classes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), links
+    named = written(classes(links))
+    grams = _rare_grams(_mixed(met.where("hot").select("a", "b"), named), docs, n, percent)
+    for meet in (_to_first(percent), _across(percent)):
+        more = _dealt(grams, named).mapInArrow(meet, "a bigint, b bigint").distinct()
+        more = written(_plausible_pairs(more, nodes, percent).join(tried, ["a", "b"], "left_anti"))
+        fresh = written(_linked(more, docs, n, percent))
+        if not fresh.isEmpty():
+            tried, links = tried.union(more), links.union(fresh)
+            named = written(classes(links))
+    out = rows.join(named.select("node", "component"), "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), links
 
 
 def op1_ngram_jaccard(docs: DataFrame) -> DataFrame:
