@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,19 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, release: bool = False) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: cuts the lineage,
-    outlives lost executors, and keeps several consumers from computing it again.
-
-    With ``release`` the shuffle files of the finished step go at once: Spark removes them when its driver collects
-    garbage, which a job of few objects may not do for long."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    outlives lost executors, and keeps several consumers from computing it again."""
+    path = f"{shared_dir(df.sparkSession)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:

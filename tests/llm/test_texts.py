@@ -87,17 +87,33 @@ def test_repeats_equal_brute_force(spark, sf, odd_docs):
 
 
 def test_maximal_repeats_have_all_occurrences():
-    import numpy as np
-
     a, b = b"the quick brown fox jumps over the lazy dog again and again", b"0123456789"
-    group, piece, offset, length, first = repeats.maximal([b"x" + a + b"1", b"y" + a + b"2", b"z" + a + b"3" + b], np.array([5, 3, 9]), 50)
-    whole = [(p, o, n, f) for p, o, n, f in zip(piece.tolist(), offset.tolist(), length.tolist(), first.tolist(), strict=True) if n == len(a)]
-    assert sorted(whole) == [(0, 1, len(a), 3), (1, 1, len(a), 3), (2, 1, len(a), 3)] and len(set(group.tolist())) >= 1
+    group, piece, offset, length, lead, lead_at = repeats.maximal([b"x" + a + b"1", b"y" + a + b"2", b"z" + a + b"3" + b], 50)
+    whole = [(p, o, n, f, g) for p, o, n, f, g in zip(*(x.tolist() for x in (piece, offset, length, lead, lead_at)), strict=True) if n == len(a)]
+    assert sorted(whole) == [(0, 1, len(a), 0, 1), (1, 1, len(a), 0, 1), (2, 1, len(a), 0, 1)] and len(set(group.tolist())) >= 1
+
+
+def test_groups_of_long_repeats(spark):
+    """Stretches of 50 to 2,000 bytes in several documents are one group each, with all of their places."""
+    rnd = random.Random(7)
+    noise = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    passages, rows, due = [noise(n, "abcdefgh ") for n in (50, 51, 84, 85, 300, 2000)], [], {}
+    for i in range(30):
+        text = noise(rnd.randint(0, 80), "ijklmnop")
+        for k in rnd.sample(range(len(passages)), 2):
+            text += chr(33 + i)  # bounds that no two documents have in common
+            due.setdefault(k, set()).add((i, len(text), len(passages[k])))
+            text += passages[k] + chr(33 + i) + noise(rnd.randint(5, 30), "qrstuvw")
+        rows.append((i, text))
+    got = {}
+    for r in repeats.maximal_repeats(spark.createDataFrame([*rows, (99, rows[0][1]), (None, rows[1][1])], "doc_id long, text string")).collect():
+        got.setdefault(r.group, set()).add((r.doc_id, r.start, r.length))
+    assert sorted(got.values(), key=sorted) == sorted((x for x in due.values() if len(x) > 1), key=sorted)
 
 
 def test_repeats_carry_long_groups(monkeypatch, spark):
     """A passage in many documents, with arrays of few pieces each."""
-    monkeypatch.setattr(repeats, "RUN", 40)
+    monkeypatch.setattr(repeats, "RUN", 60_000)
     rnd = random.Random(5)
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(160))
     rows = [(i, "".join(rnd.choice("ijklmnop ") for _ in range(rnd.randint(0, 90))) + passage[rnd.randint(0, 40) :] + "".join(rnd.choice("qrstuv ") for _ in range(40))) for i in range(200)]
