@@ -398,9 +398,10 @@ def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
     return named.join(mixed.select(F.col("a").alias("node")).union(mixed.select("b")).distinct(), "node", "left_semi")
 
 
-def _rare_grams(some: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _texts_of(some: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, node, text) of the nodes' smallest documents."""
     texts = _texts(docs).join(some.select("id", "node"), F.col("doc_id") == F.col("id")).withColumn("version", F.xxhash64("text"))
-    return written(_prefixes(written(texts.dropDuplicates(["node", "version"]).select("node", "text")), n, percent))
+    return written(texts.dropDuplicates(["node", "version"]).select("doc_id", "node", "text"))
 
 
 def _dealt(grams: DataFrame, named: DataFrame) -> DataFrame:
@@ -425,11 +426,12 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     tried = written(_plausible_pairs(met, nodes, percent))
     links = written(_linked(tried, docs, n, percent))
     named = written(classes(links))
-    grams = _rare_grams(_mixed(met.where("hot").select("a", "b"), named), docs, n, percent)
+    texts = _texts_of(_mixed(met.where("hot").select("a", "b"), named), docs)
+    grams = written(_prefixes(texts, n, percent))
     for meet in (_to_first(percent), _across(percent)):
         more = _dealt(grams, named).mapInArrow(meet, "a bigint, b bigint").distinct()
         more = written(_plausible_pairs(more, nodes, percent).join(tried, ["a", "b"], "left_anti"))
-        fresh = written(_linked(more, docs, n, percent))
+        fresh = written(_linked(more, texts, n, percent))
         if not fresh.isEmpty():
             tried, links = tried.union(more), links.union(fresh)
             named = written(classes(links))
