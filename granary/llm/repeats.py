@@ -5,9 +5,9 @@ the least hash of its ``GRAM``-byte pieces (the last of equals), its anchor; equ
 of a text that share an anchor are consecutive and make one *piece*. Anchors are shuffled as hashes only; those of a single text
 are dropped; the pieces of the others meet, sorted by anchor and document.
 
-A piece is filed twice by more of its bytes: the strings that begin at least ``SIDE`` bytes before the anchor by those bytes and the anchor, the
-others by the anchor and as many bytes behind it. Equal strings lie alike around their anchor, so they still meet, and what meets has 33 bytes in
-common: a frequent anchor does not gather its contexts in one task.
+A piece of an anchor that ``HOT`` texts share is filed twice, by more of its bytes: the strings that begin at least ``SIDE`` bytes before the
+anchor by those bytes and the anchor, the others by the anchor and as many bytes behind it. Equal strings lie alike around their anchor, so they
+still meet, and what meets has 33 bytes in common: a frequent anchor does not gather its contexts in one task.
 
 There, suffixes of pieces whose first ``least`` bytes come but once are dropped, as are those that are all preceded by one byte
 within their pieces (they continue a repeat that starts earlier). The rest are sorted into a suffix array with their common
@@ -41,7 +41,7 @@ from .textkit import U64, mix, powers, salted
 
 GRAM = 16
 BLOCK = 1 << 18
-SIDE = 17
+SIDE, HOT = 17, 500
 RUN = 12_000_000  # bytes of the suffixes of one array
 _B = U64(0x9E3779B97F4A7C15)
 _BYTES = salted(256, 31)
@@ -103,26 +103,39 @@ def _anchors(least: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node), sorted, whose key more than one node has."""
-    k0, n0, shared0 = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, not yet put out, and whether its key is known to be shared
-    for batch in batches:
-        k = np.concatenate([k0, batch.column("key").to_numpy()])
-        n = np.concatenate([n0, batch.column("node").to_numpy()])
-        if not len(k):
-            continue
-        like = (k[1:] == k[:-1]) & (n[1:] != n[:-1])
-        group = np.cumsum(np.r_[False, k[1:] != k[:-1]])
-        many = np.zeros(group[-1] + 1, bool)
-        many[group[1:][like]] = True
-        many[0] |= shared0
-        # the last key may go on: its rows are known to be shared, or wait as one row (equal nodes)
-        out = many[group] & np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
-        out[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(n[out])], names=["key", "node"])
-        k0, n0, shared0 = k[-1:], n[-1:], bool(many[-1])
-    if shared0:
-        yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(n0)], names=["key", "node"])
+#: Bits of an anchor; the one above marks those that ``HOT`` texts share.
+_BITS = 48
+
+
+def _shared(many: int):
+    """Rows (key, node), sorted, whose key more than one node has, with the mark of the many. Fewer than ``many`` rows are held back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k0, n0, hot0 = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # rows of the key that is open; once it is hot, the last one, put out already
+        for batch in batches:
+            if not len(batch):
+                continue
+            done = len(k0) if hot0 else 0
+            k = np.concatenate([k0, batch.column("key").to_numpy()])
+            n = np.concatenate([n0, batch.column("node").to_numpy()])
+            keep = np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
+            k, n = k[keep], n[keep]
+            group = np.cumsum(np.r_[False, k[1:] != k[:-1]])
+            count = np.bincount(group)
+            if hot0 and k[0] == k0[0]:
+                count[0] += many
+            out = (count > 1)[group]
+            out[:done] = False
+            open_ = group == group[-1]
+            hot0 = bool(count[-1] >= many)
+            if not hot0:
+                out &= ~open_
+            yield pa.RecordBatch.from_arrays([pa.array(k[out] | (count >= many)[group[out]].astype(np.int64) << _BITS), pa.array(n[out])], names=["key", "node"])
+            k0, n0 = (k[-1:], n[-1:]) if hot0 else (k[open_], n[open_])
+        if not hot0 and len(k0) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(n0)], names=["key", "node"])
+
+    return run
 
 
 #: A place holds the start of a piece and, above, a part of the text's hash, for rows that share a doc_id.
@@ -151,10 +164,12 @@ def _cut(least: int, marks: bool):
                     continue  # another text of this doc_id
                 text = text.as_buffer().to_pybytes()
                 found, at, first, last = pieces_of(np.frombuffer(text, np.uint8), least)
-                keep = np.isin(found.view(np.int64), keys.values.to_numpy())
+                keys = keys.values.to_numpy()
+                keep = np.isin(found.view(np.int64), keys & ((1 << _BITS) - 1))
+                hot = set((keys[keys >> _BITS > 0] & ((1 << _BITS) - 1)).tolist())
                 tag <<= _START
                 for anchor in zip(found[keep].view(np.int64).tolist(), *(x[keep].tolist() for x in (at, first, last)), strict=True):
-                    for key, a, b in _halves(anchor[0], text, *anchor[1:]):
+                    for key, a, b in _halves(anchor[0], text, *anchor[1:]) if anchor[0] in hot else [(anchor[0] << 15, *anchor[2:])]:
                         part = text[a : b + least]
                         if marks:
                             if len(known) >= _KNOWN:
@@ -328,7 +343,7 @@ def _pieces(texts: DataFrame, first: DataFrame, least: int, marks: bool) -> Data
     """Shared pieces, each key's together in order, from ``named`` texts that have a doc_id and their ``first_copies``."""
     some = texts.where(f"octet_length(text) >= {least}")
     anchors = some.select("node", "text").mapInArrow(_anchors(least), "key bigint, node bigint")
-    shared = anchors.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
+    shared = anchors.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared(HOT), "key bigint, node bigint")
     keys = written(shared.groupBy("node").agg(F.collect_list("key").alias("keys")))  # a list is bounded by the length of one text
     of_first = keys.join(first, "node").select(F.col("first").alias("doc_id"), _tag(F.col("node")).alias("tag"), F.col("node").alias("first_node"), "keys")
     # joined by (doc_id, tag) alone, as the spans are later, so that the shuffled texts serve both joins

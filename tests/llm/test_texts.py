@@ -111,9 +111,28 @@ def test_groups_of_long_repeats(spark):
     assert sorted(got.values(), key=sorted) == sorted((x for x in due.values() if len(x) > 1), key=sorted)
 
 
-def test_repeats_carry_long_groups(monkeypatch, spark):
-    """A passage in many documents, with arrays of few pieces each."""
+def test_shared_anchors():
+    """What is put out does not depend on where batches end, and frequent anchors are marked."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    rows = sorted({(int(k), int(n)) for k, n in zip(rnd.integers(0, 60, 900), rnd.integers(0, 700, 900), strict=True)} | {(70, i) for i in range(repeats.HOT)} | {(71, i) for i in range(repeats.HOT - 1)} | {(72, 1)})
+    rows = sorted(rows + rows[::3])
+    nodes = {}
+    for k, n in rows:
+        nodes.setdefault(k, set()).add(n)
+    due = sorted({(k | (len(nodes[k]) >= repeats.HOT) << repeats._BITS, n) for k, n in rows if len(nodes[k]) > 1})
+    for size in (1, 7, 300, 5000):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["key", "node"]) for i in range(0, len(rows), size))
+        assert sorted((k, n) for b in repeats._shared(repeats.HOT)(batches) for k, n in zip(b["key"].to_pylist(), b["node"].to_pylist(), strict=True)) == due
+
+
+@pytest.mark.parametrize("hot", [500, 20])
+def test_repeats_carry_long_groups(hot, monkeypatch, spark):
+    """A passage in many documents, with arrays of few pieces each, and with frequent anchors."""
     monkeypatch.setattr(repeats, "RUN", 60_000)
+    monkeypatch.setattr(repeats, "HOT", hot)
     rnd = random.Random(5)
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(160))
     rows = [(i, "".join(rnd.choice("ijklmnop ") for _ in range(rnd.randint(0, 90))) + passage[rnd.randint(0, 40) :] + "".join(rnd.choice("qrstuv ") for _ in range(40))) for i in range(200)]
