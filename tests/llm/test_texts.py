@@ -163,6 +163,13 @@ def test_line_dedup_long_lines(spark):
     assert got == {1: rows[0][1], 2: "z", 3: "", 4: "q\nr", 5: rows[4][1], 6: "p"}
 
 
+def test_line_dedup_of_equal_lines(spark):
+    """Texts of one line many times, and of a few in turn, take no more than linear work."""
+    rows = [(1, "\n".join(["same line"] * 20_000)), (2, "\n".join(["one", "two", "three", "four"] * 5_000)), (3, "x\nsame line\nsame line\nsame line\ny")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "same line" and got[2] == "one\ntwo\nthree\nfour" and got[3] == "x\ny"
+
+
 def test_line_dedup_counts_all_earlier_occurrences(spark):
     """A run goes also where lines of it come first in another context."""
     rows = []
