@@ -9,6 +9,8 @@ and script, so the format stays; octets stay octets; a card number that passes i
 domains, IBAN countries and the fixed head of an access key stay. A given name becomes a name of the gender that its title tells and
 of its script. Surrogates that coincide with each other, or with any real entity, are drawn again until none do: this
 keeps different people different, and the same person the same (each mention then gets its own spacing and case back).
+Where a format is so full of real entities that ``WIDE`` draws do not do, it widens: octets may then have any width, and other
+values gain a letter or digit for every ``WIDE`` draws (cards, whose formats do not fill up, do not).
 
 Entities are counted and checked as grouped and joined tables; the distinct ones are shuffled, never collected.
 
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import let, written
+from .scratch import let, named, unused, written
 
 # Patterns of the entity types, in the order in which they are tried at a place.
 PATTERNS = {
@@ -48,7 +50,7 @@ _GIVEN = {
 }
 # letters and digits of a class, and what they may become
 _CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "áéíóúàèìòùäëïöüâêîôû", "ÁÉÍÓÚÀÈÌÒÙÄËÏÖÜÂÊÎÔÛ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
-MAX_DRAWS = 30
+MAX_DRAWS, WIDE = 200, 12
 
 
 def mentions(text: Column) -> Column:
@@ -88,7 +90,9 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     card = _drawn(key, kind, canon, draw, lambda i: i == 0)
     head = F.substr(card, F.lit(1), F.length(card) - 1)
     checked = F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0")))) % 10).cast("string"))
-    octets = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: F.pmod(F.conv(F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), canon, draw.cast("string"), i.cast("string")), 256), F.lit(1), F.lit(6)), 16, 10).cast("int"), F.when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156)) + F.when(F.length(o) == 1, 0).when(F.length(o) == 2, 10).otherwise(100)), ".")
+    drawn = lambda i: F.conv(F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), canon, draw.cast("string"), i.cast("string")), 256), F.lit(1), F.lit(6)), 16, 10).cast("int")
+    from_, many = (lambda o: F.when(draw >= WIDE, 0).when(F.length(o) == 1, 0).when(F.length(o) == 2, 10).otherwise(100)), (lambda o: F.when(draw >= WIDE, 256).when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156))
+    octets = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: F.pmod(drawn(i), many(o)) + from_(o)), ".")
     words = F.split(canon, " ")
     given = F.lit(None).cast("string")
     for (gender, script), names in _GIVEN.items():
@@ -97,14 +101,17 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     first = F.length(F.element_at(words, 1)) + F.when(F.size(words) > 2, F.length(F.element_at(words, 2)) + 1).otherwise(0)
     drawn_name = _drawn(key, kind, canon, draw, lambda i: i <= first)
     name = F.when(F.size(words) > 2, F.concat_ws(" ", F.element_at(words, 1), given, F.element_at(F.split(drawn_name, " "), -1))).otherwise(drawn_name)
+    more = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), canon, draw.cast("string"), F.lit("wide")), 256), 1, F.floor(draw / WIDE).cast("int"))  # none before WIDE draws
+    letters = lambda to: F.translate(more, "0123456789abcdef", to)
+    digits = letters("0123456789012345")
     return (
-        F.when(kind == "email", mail)
+        F.when(kind == "email", F.concat(letters("bcdfghjklmnpqrst"), mail))
         .when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(card))
         .when(kind == "ip", octets)
-        .when(kind == "key", _drawn(key, kind, canon, draw, lambda i: i < 4))
-        .when(kind == "iban", _drawn(key, kind, canon, draw, lambda i: i < 2))
-        .when(kind == "name", name)
-        .otherwise(_drawn(key, kind, canon, draw, none))
+        .when(kind == "key", F.concat(_drawn(key, kind, canon, draw, lambda i: i < 4), letters("BCDFGHJKLMNPQRST")))
+        .when(kind == "iban", F.concat(_drawn(key, kind, canon, draw, lambda i: i < 2), digits))
+        .when(kind == "name", F.concat(name, F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), letters("бвгджзклмнпрстфх")).otherwise(letters("bcdfghjklmnpqrst"))))
+        .otherwise(F.concat(_drawn(key, kind, canon, draw, none), digits))
     )
 
 
@@ -117,10 +124,14 @@ def rendered(kind: Column, mention: Column, canon: Column, value: Column) -> Col
         chars,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("k")),
         lambda a, c: F.when(counts(c), F.struct(F.concat(a["out"], F.substr(value, a["k"] + 1, F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substr(value, a["k"] + 1)),
     )
-    cased = F.array_join(F.transform(chars, lambda c, i: let(F.substr(value, i + 1, F.lit(1)), lambda v: F.when(c.rlike("[A-Z]"), F.upper(v)).otherwise(v))), "")
-    return F.when(kind == "email", cased).when(kind.isin("card", "phone", "ssn", "iban"), spaced).when(kind == "secret", F.replace(mention, canon, value)).otherwise(value)
+    longer = F.length(value) - F.length(mention)
+    cased = F.concat(F.substr(value, F.lit(1), longer), F.array_join(F.transform(chars, lambda c, i: let(F.substr(value, longer + i + 1, F.lit(1)), lambda v: F.when(c.rlike("[A-Z]"), F.upper(v)).otherwise(v))), ""))
+    # a secret is the last of its mention but for a quote; the word before it may be the same
+    quote = F.regexp_extract(mention, "[\"']?\\z", 0)
+    secret = F.concat(F.substr(mention, F.lit(1), F.length(mention) - F.length(canon) - F.length(quote)), value, quote)
+    return F.when(kind == "email", cased).when(kind.isin("card", "phone", "ssn", "iban"), spaced).when(kind == "secret", secret).otherwise(value)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -136,7 +147,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if now.where("bad").isEmpty():
             return now.select("kind", "canon", "value")
         now = now.drop("bad")
-    raise ValueError("some entities have no free surrogate: the format of their type leaves too few")
+    raise ValueError("some entities have no free surrogate, even in wider formats")
 
 
 def replace_pii(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
@@ -147,13 +158,13 @@ def replace_pii(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     found = found.withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
     found = written(found)
     value = found.join(surrogates(found, key), ["kind", "canon"]).select("doc_id", "version", "at", rendered(F.col("kind"), F.col("mention"), F.col("canon"), F.col("value")).alias("new"))
-    by_doc = value.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.sort_array(F.collect_set(F.struct("at", "new"))).alias("_new"))
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (version == F.col("_v")), "left")
+    d, v, x = (unused(docs, c) for c in ("d", "v", "x"))
+    by_doc = value.groupBy(F.col("doc_id").alias(d), F.col("version").alias(v)).agg(F.sort_array(F.collect_set(F.struct("at", "new"))).alias(x))
+    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col(d)) & (version == F.col(v)), "left")
     gaps = F.split(text, _ANY, -1)
-    filled = F.array_join(F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
-    out = joined.withColumn("_text", F.when(F.col("_v").isNull(), text).otherwise(filled))
-    extra = [F.when(F.col("_v").isNull(), 0).otherwise(F.size("_new")).cast("bigint").alias("n_entities")] if counts else []
-    return out.select(*(F.col("_text").alias("text") if c == "text" else c for c in docs.columns if not (counts and c == "n_entities")), *extra)
+    filled = F.array_join(F.zip_with(gaps, x, lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
+    extra = [F.when(F.col(v).isNull(), 0).otherwise(F.size(x)).cast("bigint").alias("n_entities")] if counts else []
+    return joined.select(*(F.when(F.col(v).isNull(), text).otherwise(filled).alias(c) if c == "text" else named(c) for c in docs.columns if not (counts and c == "n_entities")), *extra)
 
 
 def op7_pii(docs: DataFrame) -> DataFrame:
