@@ -20,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import unused, written
 from .textkit import U64, blocks, mix, ngrams, salted, words
 
 LEAST = 8
 WALKS, KEYS, BITS = 6, 36, 2
 MASK_BITS = 18
+CELLS = 2_000_000
 #: Items up to this number are sent to every task (36 keys of 24 bytes each); more are joined by shuffling.
 MAX_SENT = 20_000
 
@@ -208,8 +210,13 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
+        cells = np.add(*(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) // 8 for c in ("item", "words")))
+        at = 0
+        while at < len(batch):  # so many pairs at a time that their tables hold ``CELLS`` words
+            n = np.arange(1, min(512, len(batch) - at) + 1)
+            fits = int((np.maximum.accumulate(cells[at : at + 512]) * n <= CELLS).sum())
+            part = batch.slice(at, max(1, fits))
+            at += len(part)
             items, parts = ([np.frombuffer(x, U64) for x in part.column(c).to_pylist()] for c in ("item", "words"))
             d = distances(items, parts)
             ok = pa.array(d <= np.array([allowed(len(x)) for x in items]))
@@ -232,8 +239,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows with a null doc_id are kept."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
+    leak = unused(docs, "leak")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(leak), "left_anti")
 
 
 def op6_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
