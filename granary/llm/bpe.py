@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import named, with_new
+
 CACHE = 250_000
 SHORT = 48  # characters; longer pre-tokens are encoded anew
 BLOCK = 1 << 18
@@ -248,12 +249,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digests
     new += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * ids
     new += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] * digests
     kept = [c for c in docs.columns if c not in (text, *(f.name for f in new))]
-    source = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    source = docs.select(*map(named, kept), named(text).cast("string").alias(text))
+    names = [f"c{i}" for i in range(len(kept) + len(new))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            for at, texts in _runs(batch.column("_text")):
+            for at, texts in _runs(batch.column(len(kept))):
                 found, ends = bpe.encode(texts)
                 begin = np.concatenate([[0], ends])
                 columns = [pa.array(np.diff(begin))]
@@ -262,27 +264,27 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digests
                 if digests:
                     for parts in (bpe.as_decimals(found, ends), bpe.decode(found, ends)):
                         columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in parts]))
-                rest = [batch.column(c).slice(at, len(texts)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*rest, *columns], names=[*kept, *(f.name for f in new)])
+                rest = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*rest, *columns], names=names)
 
-    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in kept), *new]))
+    return with_new(source, run, len(kept), new)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``encoded`` with the text of its ids; bytes that are not UTF-8 become U+FFFD. Null ids give an empty text."""
     kept = [c for c in encoded.columns if c != text]
-    source = encoded.select(*kept)
+    source, at = encoded.select(*map(named, kept)), kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            rows = [x or [] for x in batch.column(ids).to_pylist()]
+            rows = [x or [] for x in batch.column(at).to_pylist()]
             ends = np.cumsum([len(x) for x in rows], dtype=np.int64)
             flat = np.array([i for x in rows for i in x], np.int64)
             texts = [x.decode("utf-8", "replace") for x in bpe.decode(flat, ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, f"c{len(kept)}"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(text, T.StringType())]))
+    return with_new(source, run, len(kept), [T.StructField(text, T.StringType())])
 
 
 def public_vocabulary() -> tuple[str, str]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,13 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_new(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: int, new: list[T.StructField]) -> DataFrame:
+    """``docs.mapInArrow(run)`` of its first ``keep`` columns and ``new`` ones, by place: Spark cannot map columns with dots in their names."""
+    numbers = lambda n: [f"c{i}" for i in range(n)]
+    fields = [T.StructField(c, f.dataType) for c, f in zip(numbers(keep + len(new)), [*docs.schema.fields[:keep], *new], strict=True)]
+    return docs.toDF(*numbers(len(docs.columns))).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns[:keep], *(f.name for f in new))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once a row, also where ``body`` uses it inside other lambdas
     (a column that is merely named there would be inlined and worked out for every element)."""

@@ -10,7 +10,7 @@ for each n-gram bucket; scoring is a gather and two running sums over the bytes
 
 Defined results: null and empty texts, and texts without letters, score as the model's bias alone.
 A null doc_id counts as held out. Repeated rows each get their score. Several labels of one doc_id
-count as their largest; null labels are left out. With no usable labels every score is 0.
+count as their largest, and several texts as the least of them; null labels are left out. With no usable labels every score is 0.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import named, unused, with_new
 from .textkit import U64, blocks
 
 
 @dataclass(frozen=True)
 class Params:
-    """max_toxic and max_clean bound the sample of labelled texts that the driver trains on."""
+    """max_toxic and max_clean bound the sample of labelled texts that the driver trains on, max_train_bytes their bytes (twice the
+    characters); texts of over a twentieth of these are not learned from."""
 
     max_toxic: int = 1500
     max_clean: int = 2500
@@ -79,7 +81,8 @@ def word_starts(data: np.ndarray) -> np.ndarray:
 
 
 def windows_of(data: np.ndarray, starts: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, first byte, end byte) of every window; a text has one at least."""
+    """(text index, first byte, end byte) of every window; a text has one at least. The space behind a text is not part of it:
+    n-grams that begin there are the next text's."""
     first = word_starts(data)
     at = np.searchsorted(first, starts)
     n = np.maximum(1, -(-np.maximum(np.diff(at) - p.window, 0) // p.step) + 1)
@@ -88,7 +91,7 @@ def windows_of(data: np.ndarray, starts: np.ndarray, p: Params) -> tuple[np.ndar
     a, b = at[text] + k * p.step, at[text] + k * p.step + p.window
     first = np.append(first, len(data))
     lo = np.where(k == 0, starts[text], first[np.minimum(a, len(first) - 1)] - 1)
-    hi = np.where(b >= at[text + 1], starts[text + 1], first[np.minimum(b, len(first) - 1)])
+    hi = np.where(b >= at[text + 1], starts[text + 1] - 1, first[np.minimum(b, len(first) - 1)])
     return text, np.maximum(lo, 0), hi
 
 
@@ -186,10 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), learn: Column
     if learn is not None:
         known = known.where(learn)
     order = F.xxhash64(F.lit(p.seed), "doc_id")
-    some = known.where("toxic = 1").orderBy(order).limit(p.max_toxic).union(known.where("toxic = 0").orderBy(order).limit(p.max_clean))
+    some = known.where("toxic = 1").orderBy(order, "doc_id").limit(p.max_toxic).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(p.max_clean))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")  # bounded by the two limits
-    size = F.sum(F.length("text") * 2.0)
-    texts = texts.dropDuplicates(["doc_id"]).withColumn("upto", size.over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= p.max_train_bytes)
+    texts = texts.where(F.length("text") * 2 <= p.max_train_bytes // 20).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    size = F.sum(F.length("text") * 2.0).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    texts = texts.withColumn("upto", size).where(F.col("upto") <= p.max_train_bytes).orderBy(order, "doc_id")
     rows = texts.select("text", "toxic").collect()
     return train([r.text for r in rows], np.array([int(r.toxic) for r in rows]), p)
 
@@ -198,16 +202,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params()
     """All columns of ``docs`` and its score; an existing column of that name is replaced."""
     table, bias = model
     share = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # 2**bucket_bits numbers, whatever the input
-    docs = docs.drop(name)
-    schema = pa.schema([pa.field(name, pa.float64())])
+    docs = docs.select(*(named(c) for c in docs.columns if c.lower() != name.lower()))
+    keep, at = len(docs.columns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = share.value
         for batch in batches:
-            found = score_texts(batch.column("text"), weights, bias, p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], schema=pa.schema([*batch.schema, schema.field(0)]))
+            found = score_texts(batch.column(at), weights, bias, p)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, f"c{keep}"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return with_new(docs, run, keep, [T.StructField(name, T.DoubleType())])
+
+
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5, p: Params = Params()) -> DataFrame:
+    """``docs`` without those that score ``least`` or more."""
+    name = unused(docs, "score")
+    return score(docs, model, p, name).where(F.col(name) < least).select(*map(named, docs.columns))
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
