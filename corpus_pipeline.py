@@ -3,6 +3,11 @@
 Stages: documents scored as toxic go; later copies of repeated runs of lines go; of near duplicates the one with the smallest
 doc_id stays; documents that hold a benchmark item go; what is left is encoded. All but the last keep the columns
 of ``documents`` (n_chars follows the text).
+
+Defined results: null and empty texts pass every filter (they score as the model's bias, hold no lines, have no n-grams and no benchmark items)
+and encode to no ids; rows with a null doc_id are kept by all stages. Rows alike in doc_id and text stand and fall together. An empty
+table gives an empty result; without usable labels nothing is toxic, without benchmark items nothing leaks. Further columns, whatever
+their names, are carried up to the last stage.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trained on the labels of the table; a document goes if it scores 0.5 or more."""
     model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_toxic").where("_toxic < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import written
+from .scratch import named, written
 from .textkit import U64, mix, salted, shingle_sets
 
 MAX_PARTS = 28
@@ -447,4 +447,4 @@ def keep_one_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of each class of near duplicates, and every row without a doc_id."""
     classes = similar_classes(docs, n, percent)[0]
     first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*map(named, docs.columns)).union(docs.where("doc_id is null"))

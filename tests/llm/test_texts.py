@@ -55,7 +55,9 @@ def test_bpe_frames(odd_docs, no_docs):
         ids = lib.encode_ordinary(r.text)
         assert (list(r.ids), r.n_tokens, r.score) == (ids, len(ids), 7)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
-    assert bpe.encode(no_docs, path, pattern).count() == 0
+    assert bpe.encode(no_docs, path, pattern).count() == 0 and bpe.op2_byte_bpe(no_docs).count() == 0
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [tuple(r) for r in bpe.op2_byte_bpe(odd_docs.where("text is null and doc_id = 3")).collect()] == [(3, 0, empty, empty)]
 
 
 def brute_repeats(rows, least=50):
@@ -230,7 +232,9 @@ def test_columns_of_any_name_are_kept(spark):
     df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     model = toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
-    for made in (line_dedup.dedup_lines(df), sentence_dedup.dedup_sentences(df), pii.replace_pii(df, "k"), decontam.decontaminate(df, bench), ngram_join.keep_one_each(df), toxicity.drop_toxic(df, model)):
+    for made in (line_dedup.dedup_lines(df), sentence_dedup.dedup_sentences(df), pii.replace_pii(df, "k"), decontam.decontaminate(df, bench), ngram_join.keep_one_each(df), toxicity.drop_toxic(df, model), bpe.decode(bpe.encode(df.drop("ids"), *bpe.public_vocabulary()), *bpe.public_vocabulary()).select("doc_id", "text", *(f"`{n}`" for n in names))):
+        if "ids" in made.columns and dict(made.dtypes)["ids"] != "int":
+            made = made.withColumn("ids", F.lit(names.index("ids")))
         assert made.columns == df.columns
         for r in made.collect():
             assert list(r)[2:] == list(range(len(names)))
@@ -251,6 +255,14 @@ def test_urls(spark):
     assert url_filter.op5_url_filter(df.limit(0)).count() == 0
 
 
+def test_many_rules(spark):
+    """Thousands of rules; each URL meets those of its own tokens."""
+    rules = [url_filter.prefix_rule("block", f"site{i}.net", f"/a/{i}/") for i in range(5000)] + url_filter.default_rules()
+    df = spark.createDataFrame([(i, f"http://www.site{i}.net/a/{i + i % 2}/x") for i in range(0, 5000, 7)] + [(9001, "https://best-casino.de/"), (9002, "https://bestcasino.de/"), (9003, "https://x.poker")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == {i: "allow" if i % 2 else "block" for i in range(0, 5000, 7)} | {9001: "block", 9002: "allow", 9003: "block"}
+
+
 def test_pii(spark, odd_docs, no_docs):
     rows = [
         (1, "Mail Ann.Lee@Mail.example.com or ann.lee@mail.EXAMPLE.com call +1 (988) 555-2485 or +1 988-555-2485."), (2, "card 4111 1111 1111 1111 and 4111111111111111; ip 10.2.33.255 ssn 427-43-1234"),
@@ -279,6 +291,83 @@ def test_surrogates_are_distinct(spark):
     assert len(values) == len(set(values)) == len(rows) and not set(values) & {c for _, c in rows}
 
 
+def test_full_formats_widen(spark):
+    """All addresses of four one-digit octets but one are real; secrets equal to their key word lose the right part only."""
+    rows = [("ip", f"{a}.{b}.{c}.{d}") for a in range(10) for b in range(10) for c in range(10) for d in range(10)][1:]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "key").collect()
+    values = [r.value for r in got]
+    assert len(values) == len(set(values)) == len(rows) and not set(values) & {c for _, c in rows} and all(int(x) < 256 for v in values for x in v.split("."))
+    wide = spark.createDataFrame([("email", "Al@b.com", "al@b.com"), ("name", "Mr Li", "Mr Li"), ("phone", "+1 234-567-8901", "12345678901")], "kind string, mention string, canon string")
+    for r in wide.select("kind", pii.rendered(F.col("kind"), F.col("mention"), F.col("canon"), pii.surrogate("k", F.col("kind"), F.col("canon"), F.lit(30))).alias("new")).collect():
+        assert re.fullmatch({"email": r"[a-z]{2}[A-Z][a-z]@[a-z]\.com", "name": r"Mr [A-Z][a-z]{3}", "phone": r"\+\d \d{3}-\d{3}-\d{6}"}[r.kind], r.new), r.new
+    text = pii.replace_pii(spark.createDataFrame([(1, "password: password token=\"token123\"")], "doc_id long, text string"), "k").first().text
+    assert re.fullmatch(r"password: (?!password)[a-z]{8} token=\"(?!token123)[a-z]{5}\d{3}\"", text), text
+
+
+def test_pii_against_plain_replacer(spark, sf):
+    """Over the real documents: what stands between mentions is untouched, equal entities have one surrogate, different ones different ones."""
+    import regex
+
+    any_ = regex.compile(pii._ANY.replace(r"\z", r"\Z"))
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+
+    def entity(mention):
+        kind = next(k for k, p in kinds.items() if p.fullmatch(mention))
+        squeezed = regex.sub(r"[^0-9]", "", mention)
+        value = {"email": mention.lower(), "card": squeezed, "phone": squeezed, "ssn": squeezed, "iban": mention.replace(" ", "")}.get(kind, mention)
+        return kind, regex.search(r"[=:]\s{0,2}[\"']?([A-Za-z0-9+/_-]+)[\"']?$", mention)[1] if kind == "secret" else value
+
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    new, of, seen = {r.doc_id: r for r in pii.op7_pii(df).collect()}, {}, 0
+    for r in df.collect():
+        text, at, pattern, due = r.text or "", 0, "", []
+        for m in any_.finditer(text):
+            pattern += regex.escape(text[at : m.start()]) + "(.+?)"
+            due.append(entity(m[0]))
+            at = m.end()
+        assert new[r.doc_id].n_entities == len(due)
+        found = regex.fullmatch(pattern + regex.escape(text[at:]), new[r.doc_id].text or "", regex.DOTALL)
+        assert found, r.doc_id
+        for e, value in zip(due, found.groups(), strict=True):
+            value = regex.sub(r"[\s().+-]", "", value) if e[0] in ("phone", "card", "ssn", "iban") else value.lower() if e[0] == "email" else regex.sub(r".*[=:]\s*", "", value).strip("\"'") if e[0] == "secret" else value
+            assert of.setdefault(e, value) == value and value != e[1]
+            seen += 1
+    assert seen > 20 and len({(k, v) for (k, _), v in of.items()}) == len(of) and not {(k, v) for (k, _), v in of.items()} & set(of)
+
+
+def test_toxicity_of_documents(spark, sf):
+    """Scores equal a plain loop over the model, and hold on held-out labels of the tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{sf}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, learn=toxicity.remainder(F.col("doc_id")) != 0)
+    assert (toxicity.fit(docs.repartition(7), labels, learn=toxicity.remainder(F.col("doc_id")) != 0)[0] == model[0]).all()
+    got = {r.doc_id: r for r in toxicity.op9_toxicity(docs, labels).collect()}
+    p = toxicity.Params()
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        data = np.frombuffer((r.text or "").encode() + b" ", np.uint8)
+        grams = sorted((int(a), int(b)) for at, bucket in toxicity.gram_buckets(data, p.grams, p.bucket_bits) for a, b in zip(at, bucket, strict=True))
+        _, lo, hi = toxicity.windows_of(data, np.array([0, len(data)]), p)
+        z = []
+        for a, b in zip(lo, hi, strict=True):
+            inside = [model[0].astype(np.float32)[k] for at, k in grams if a <= at < b]
+            z.append(sum(map(float, inside)) / max(1, len(inside)) + model[1])
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-max(-40, min(40, max(z)))))) < 1e-6
+    docs, labels = (spark.read.parquet(f"{sf}/../sf0.1/{t}.parquet") for t in ("documents", "labels"))  # enough toxic ones to learn from
+    got = {r.doc_id: r for r in toxicity.op9_toxicity(docs, labels).collect()}
+    held = [(got[r.doc_id].predicted, r.toxic) for r in labels.where("toxic is not null").collect() if r.doc_id in got and got[r.doc_id].held_out]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held) and sum(a for a, b in held if b) >= 0.8 * sum(b for _, b in held)
+    assert toxicity.score_texts(pa.array([None, ""]), *model, p).tolist() == [1 / (1 + np.exp(-model[1]))] * 2
+
+
+def test_long_labelled_texts_do_not_stop_training(spark):
+    rows = [(i, f"good text number {i} " * 5 + ("blorkface " * 3 if i % 2 else "")) for i in range(60)] + [(100 + i, "x" * 400_000) for i in range(3)]
+    labels = [(i, i % 2) for i in range(60)] + [(100 + i, 1) for i in range(3)]
+    out = toxicity.op9_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id < 100").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in out) >= 57
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(6)
     syllables = ["an", "er", "th", "on", "in", "re", "at", "en", "nd", "ou", "ea", "ti"]
@@ -321,6 +410,21 @@ def test_words_and_shingles():
     assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 0, 2] and (sets[0] == sets[1]).all() and sets[2][0] != sets[3][0] and len(set(sets[0]) & set(sets[7])) == 1
 
 
+def test_pipeline_of_odd_tables(spark, odd_docs, no_docs, tmp_path):
+    import corpus_pipeline as p
+
+    shaped = lambda d: d.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", "score")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shaped(odd_docs).write.parquet(f"{tmp_path}/documents.parquet")
+    out = p.run(spark, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, 6, 8, 11, 12, None} and out.where("doc_id is null").count() == 2
+    docs = shaped(no_docs)
+    for _, stage in p.STAGES:
+        docs, before = stage(spark, docs if "text" in docs.columns else shaped(no_docs), str(tmp_path)), docs
+        assert docs.count() == 0
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
