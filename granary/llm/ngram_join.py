@@ -14,16 +14,17 @@ a signature in each with probability 0.52, so it is missed with probability 0.48
 
 Equal sets are one node, named by a hash of the set, so copies cost one row a task and never meet in pairs.
 Rows of a signature are read as a stream in the order of their nodes. The first ``FEW`` + 1 all meet; a later one meets the first
-only, so a hot signature makes a pair a row. That order is the same in all signatures: the sets of a family share few
-firsts between them, so a set makes few pairs however many signatures it has. These pairs are checked and their classes formed.
+only, so a large signature makes a pair a row. That order is the same in all signatures: the sets of a family share few
+firsts between them, so a set makes few pairs however many signatures it has. All pairs that met in small signatures are checked, and
+of each node's pairs with firsts of large ones that of the most signatures in common. Their classes are formed.
 
 A link inside a class changes nothing, so what is left are pairs of different classes that share large signatures only. The
 nodes of every large signature that more than one class has are joined once more, exactly: the n-grams of each are ordered from rare to frequent (by
 counts of hash ranges; any one order is right, this one keeps groups small), and two similar sets share the first
 n-gram they have in common within the rarest quarter and one of each. Sizes and places there rule out most pairs, the texts decide.
-In a first pass the sets that share an n-gram meet only ``FIRST`` of the largest class there, others for each n-gram, which joins most of
-what belongs together by a number of pairs in proportion to the rows; then all pairs that are still of different classes meet.
-Pairs whose 64-byte sketches are six standard deviations too far apart (a chance of 2e-9 for a pair at 0.75) are left out, all others are checked on the texts.
+In first passes the sets that share an n-gram meet only so many as ``FIRST`` says of the largest class there, others for each n-gram, which joins
+most of what belongs together by a number of pairs in proportion to the rows; then all pairs that are still of different classes meet.
+Pairs whose 64-byte sketches are six standard deviations too far apart (a chance in the order of 1e-9 for a pair at 0.75) are left out, all others are checked on the texts.
 
 Defined results: null, empty and blank texts have no n-grams and are linked with nothing; texts shorter than
 n words are one n-gram. Repeated rows are one class. Rows with a null doc_id are compared, but name no class.
@@ -43,10 +44,10 @@ from .scratch import named, written
 from .textkit import U64, mix, salted, shingle_sets
 
 MAX_PARTS = 28
-FEW, FIRST = 3, 8
+FEW, FIRST = 3, (8, 100)
 SMALL = 16
-#: Smallest set with a sketch, and the share of bins in which pairs must agree (for a similarity of 0.75).
-SKETCHED, AGREE = 128, 0.41
+#: Smallest set with a sketch, and the standard deviations that a pair's agreement may fall short.
+SKETCHED, APART = 24, 6
 #: Ranges of hashes whose n-grams are counted together, and pairs held at a time.
 BUCKETS, _PAIRS = 1 << 18, 1 << 20
 _SEEN = 100_000
@@ -172,22 +173,29 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "sig bigint, node bigint")
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs but those whose sketches rule out the similarity: a pair at 0.75 agrees in 0.75 of its bins, with a
-    standard deviation under 0.055, so fewer than ``AGREE`` is six deviations off."""
-    for batch in batches:
-        keep = np.ones(len(batch), bool)
-        a, b = batch.column("sa"), batch.column("sb")
-        both = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
-        if len(both):
-            x, y = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, 64) for c in (a, b))
-            keep[both] = ((x == y) & (x > 0)).sum(axis=1) >= AGREE * ((x > 0) | (y > 0)).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+def _plausible(percent: int):
+    """Pairs but those whose sketches rule out the similarity: of the m bins that either has, a pair at the limit t agrees in t * m, with
+    a standard deviation of at most sqrt(m * t * (1 - t)); it may fall short by ``APART`` of these."""
+    t = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            a, b = batch.column("sa"), batch.column("sb")
+            both = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
+            if len(both):
+                x, y = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, 64) for c in (a, b))
+                m = ((x > 0) | (y > 0)).sum(axis=1)
+                keep[both] = ((x == y) & (x > 0)).sum(axis=1) >= t * m - APART * np.sqrt(m * t * (1 - t))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, hot) of different nodes from rows (sig, node) in order: the first ``FEW`` + 1 rows of a signature all meet,
-    later ones meet its first. The rows of a signature of more than ``FEW`` + 1 make hot pairs with its first, which is their a."""
+    """Pairs (a, b, hot, cold) of different nodes from rows (sig, node) in order: the first ``FEW`` + 1 rows of a signature all meet,
+    later ones meet its first. hot and cold count the signatures: the rows of one of more than ``FEW`` + 1 make hot pairs with its first,
+    which is their a; pairs among its first rows count as cold too."""
     last = [np.zeros(0, np.int64)] * 2  # the last rows so far
     rank, head = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each its rank in its signature, and that one's first node
     for batch in batches:
@@ -215,10 +223,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         early = (grown[:, None] - np.arange(1, FEW + 1)).ravel()
         hot = np.concatenate([new[place_ > FEW], early])
         a, b, warm = np.concatenate([*a, first[hot]]), np.concatenate([*b, v[hot]]), np.r_[np.zeros(sum(map(len, a)), bool), np.ones(len(hot), bool)]
-        order = np.lexsort((~warm, b, a))
+        order = np.lexsort((b, a))
         a, b, warm = a[order], b[order], warm[order]
-        one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (a, b, warm)], names=["a", "b", "hot"])
+        one = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        times = np.diff(np.r_[one, len(a)])
+        hots = np.add.reduceat(warm, one, dtype=np.int64) if len(one) else times
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[one], b[one], hots, times - hots)], names=["a", "b", "hot", "cold"])
         tail = slice(max(0, len(s) - FEW - 1), None)
         last, rank, head = [s[tail], v[tail]], place[tail], first[tail]
 
@@ -249,7 +259,7 @@ def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
         .join(side("b"), "b")
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ia <> ib")
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "sa", "sb")
-        .mapInArrow(_plausible, "a bigint, b bigint")
+        .mapInArrow(_plausible(percent), "a bigint, b bigint")
     )
 
 
@@ -322,8 +332,8 @@ def _pairs_once(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], names=["a", "b"])
 
 
-def _to_first(percent: int):
-    """Pairs (a, b) of each row and the first ``FIRST`` of its n-gram, where they are of different components."""
+def _to_first(percent: int, many: int):
+    """Pairs (a, b) of each row and the first ``many`` of its n-gram, where they are of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: list[np.ndarray] = []  # the first rows of the n-gram that is open
@@ -336,14 +346,14 @@ def _to_first(percent: int):
             first = np.maximum.accumulate(np.where(np.r_[True, gram[1:] != gram[:-1]], i, 0))
             new = i[len(head[0]) :] if head else i
             a, b = [], []
-            for k in range(FIRST):
+            for k in range(many):
                 y = new[first[new] + k < new]
                 y = y[component[first[y] + k] != component[y]]
                 y = y[_may_be(percent, at, n, first[y] + k, y)]
                 a.append(node[first[y] + k])
                 b.append(node[y])
             yield _pairs_once(np.concatenate(a), np.concatenate(b))
-            last = slice(int(first[-1]), int(first[-1]) + FIRST)
+            last = slice(int(first[-1]), int(first[-1]) + many)
             head = [x[last] for x in (gram, component, at, n, node)]
 
     return run
@@ -421,14 +431,15 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
         found = nodes.select("node", "id").join(components(links, "a", "b").select(F.col("node").alias("id"), "component"), "id", "left")
         return found.select("node", "id", F.coalesce("component", "id").alias("component"))
 
-    met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "a bigint, b bigint, hot boolean")
-    met = written(met.groupBy("a", "b").agg(F.max("hot").alias("hot")))
-    tried = written(_plausible_pairs(met, nodes, percent))
+    met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "a bigint, b bigint, hot bigint, cold bigint")
+    met = written(met.groupBy("a", "b").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")))
+    best = met.where("hot > 0").groupBy("b").agg(F.max(F.struct("hot", "a")).alias("x")).select("x.a", "b")
+    tried = written(_plausible_pairs(met.where("cold > 0").select("a", "b").union(best).distinct(), nodes, percent))
     links = written(_linked(tried, docs, n, percent))
     named = written(classes(links))
-    texts = _texts_of(_mixed(met.where("hot").select("a", "b"), named), docs)
+    texts = _texts_of(_mixed(met.where("hot > 0").select("a", "b"), named), docs)
     grams = written(_prefixes(texts, n, percent))
-    for meet in (_to_first(percent), _across(percent)):
+    for meet in (*(_to_first(percent, k) for k in FIRST), _across(percent)):
         more = _dealt(grams, named).mapInArrow(meet, "a bigint, b bigint").distinct()
         more = written(_plausible_pairs(more, nodes, percent).join(tried, ["a", "b"], "left_anti"))
         fresh = written(_linked(more, texts, n, percent))
