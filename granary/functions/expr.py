@@ -66,7 +66,7 @@ def whole_match(value: Column, patterns: list[str]) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = 0.5 - F.cos(F.radians(lat2 - lat1)) / 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * (1 - F.cos(F.radians(lon2 - lon1))) / 2
-    return EARTH_DIAMETER_KM * F.asin(F.sqrt(F.least(F.greatest(half, F.lit(0.0)), F.lit(1.0))))
+    return F.when(half.isNotNull(), EARTH_DIAMETER_KM * F.asin(F.sqrt(F.least(F.greatest(half, F.lit(0.0)), F.lit(1.0)))))  # least and greatest pass over nulls
 
 
 def euclid(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

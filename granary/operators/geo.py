@@ -35,11 +35,19 @@ def detect_coordinates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def points_near(centers: DataFrame, points: DataFrame, km: float = 100.0) -> DataFrame:
-    """(id, near): how many points lie within ``km`` of each centre. Points within a band of latitude meet a centre only."""
-    band = lambda lat: F.floor(lat / (km / 111.0))  # noqa: E731  a degree of latitude is over 110 km
-    c = centers.select(F.col("id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("band"))
-    p = points.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), band(F.col("lat")).alias("band"))
-    near = c.join(p, "band").where(haversine_km(F.col("clat"), F.col("clon"), F.col("plat"), F.col("plon")) < km).groupBy("id").agg(F.count(F.lit(1)).alias("near"))
+    """(id, near): how many points lie within ``km`` of each centre. A centre meets the points of the cells of latitude and longitude
+    around it only; towards the poles, where degrees of longitude are short, these are more cells, up to a whole ring."""
+    step = km / 111.0  # a degree of latitude is over 110 km
+    many = max(1, int(360 / step))
+    wide = 360.0 / many
+    band = lambda lat: F.floor(lat / step)
+    east = lambda lon: F.pmod(lon + 180.0, F.lit(360.0))
+    reach = F.degrees(F.asin(F.sin(F.lit(km / 6300.0)) / F.cos(F.radians("lat")))) * 1.01
+    cells = F.when(F.abs("lat") + 2 * step >= 90, F.sequence(F.lit(0).cast("bigint"), F.lit(many - 1).cast("bigint"))).otherwise(F.array_distinct(F.transform(F.sequence(F.floor((east(F.col("lon")) - reach) / wide), F.floor((east(F.col("lon")) + reach) / wide)), lambda x: F.pmod(x, F.lit(many)))))
+    c = centers.select("id", F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("band"), cells.alias("cells"))
+    c = c.select("id", "clat", "clon", "band", F.explode("cells").alias("cell"))
+    p = points.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), band(F.col("lat")).alias("band"), F.least(F.floor(east(F.col("lon")) / wide), F.lit(many - 1)).alias("cell"))
+    near = c.join(p, ["band", "cell"]).where(haversine_km(F.col("clat"), F.col("clon"), F.col("plat"), F.col("plon")) < km).groupBy("id").agg(F.count(F.lit(1)).alias("near"))
     return centers.select("id").join(near, "id", "left").fillna(0, ["near"])
 
 

@@ -48,7 +48,7 @@ KEYWORDS = {
     "creditcard": ["creditcard", "ccnumber"], "ssn": ["ssn", "ssnnumber", "ssnno"], "address": ["address", "addr"], "email": ["emailaddress", "emailaddr", "email"],
     "name": ["name", "firstname", "lastname"], "latitude": ["lat", "latitude"], "longitude": ["long", "longitude"], "npi": ["npi"], "url": ["url"],
     "telephone": ["telephone", "tel"], "swiftcode": ["swiftcode"], "passport": ["passport", "passportnumber"], "ipaddress": ["ipaddress", "ipaddr", "ip"],
-    "bankaccount": ["bankaccount", "account", "accountnumber"], "cvv": ["cvv"], "mrn": ["mrn"], "height": ["height"], "weight": ["weight"], "IBAN_Detection": ["IBAN", "InternationalBankAccountNumber"],
+    "bankaccount": ["bankaccount", "account", "accountnumber"], "cvv": ["cvv"], "mrn": ["mrn"], "height": ["height"], "weight": ["weight"], "IBAN_Detection": ["IBAN", "International Bank Account Number"],
 }
 REGEX_WEIGHT, NAME_WEIGHT, THRESHOLD = 85, 15, 70
 

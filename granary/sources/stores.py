@@ -67,12 +67,13 @@ def write_daily_and_snapshot(df: DataFrame, base: str, metric: str, date: dt.dat
     return daily, snapshot
 
 
-def compact(spark: SparkSession, source: str, target: str, files: int = 1) -> bool:
-    """All partitions of ``source`` in a few files at another path; nothing is written, and False returned, if there are no rows."""
+def compact(spark: SparkSession, source: str, target: str, files: int | None = None) -> bool:
+    """All partitions of ``source`` in a few files at another path, by default as many as their bytes ask for (Spark's advisory
+    partition size); nothing is written, and False returned, if there are no rows."""
     rows = spark.read.parquet(source)
     if rows.isEmpty():
         return False
-    rows.repartition(files).write.mode("overwrite").parquet(target)
+    (rows.repartition(files) if files else rows.hint("rebalance")).write.mode("overwrite").parquet(target)
     return True
 
 

@@ -1,12 +1,14 @@
 """Edge tables and properties of the profiling operators."""
 
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import expr
-from granary.operators import audit, history, sensitive, stats
+from granary.operators import audit, geo, history, sensitive, stats
 from granary.sources import stores
 from granary.sources.scratch import fresh_dir
 
@@ -55,7 +57,7 @@ def test_whole_match_is_not_fooled_by_newline(spark):
     assert [r[0] for r in df.select(expr.whole_match(F.col("v"), sensitive.PATTERNS["ipaddress"])).collect()] == [True, False, None]
 
 
-# acceptance values: label, must match, must not match
+# fixed acceptance values: label, must match, must not match
 LABELS = [
     ("creditcard", ["5499180893080110", "4556354271809940"], ["123we", "$%%DFGDF"]),
     ("email", ["nancyjpowers@jourrapide.com"], ["ksfnkfn#$%$", "@djffdjf.ma"]),
@@ -90,18 +92,27 @@ def test_labels(spark):
         assert got == []
 
 
-# drop filters, pick filters, assets, kept: all, none, a (starts with a)
-SELECTION = [
-    ("A", "", "d", ""), ("N", "", "d", ""), ("", "", "d", ""), ("", "A", "d", "d"), ("", "N", "d", ""), ("N", "NA", "d", "d"),
-    ("Na", "NA", "d ad", "d"), ("N", "Na", "d ad", "ad"), ("NA", "NAa", "d ad", ""), ("NA", "NA", "d", ""),
-]
-
-
-@pytest.mark.parametrize("drop,pick,assets,kept", SELECTION)
-def test_selection(drop, pick, assets, kept, spark):
-    tests = {"A": F.lit(True), "N": F.lit(False), "a": F.col("id").startswith("a")}
-    df = spark.createDataFrame([(x,) for x in assets.split()], "id string")
-    assert [r.id for r in history.select_assets(df, [tests[x] for x in drop], [tests[x] for x in pick]).collect()] == kept.split()
+def test_selection(spark):
+    """All choices of up to two filters on each side, against the rule told in plain Python."""
+    names = ["apple", "avocado", "banana", "melon"]
+    filters = {"every": (F.lit(True), lambda x: True), "no": (F.lit(False), lambda x: False), "unknown": (F.lit(None).cast("boolean"), lambda x: False), "with an": (F.col("id").contains("an"), lambda x: "an" in x)}
+    choices = [c for n in range(3) for c in itertools.combinations(filters, n)]
+    df = spark.createDataFrame([(x,) for x in names], "id string").coalesce(1).cache()
+    for drop, pick in itertools.product(choices, choices):
+        due = [x for x in names if not any(filters[f][1](x) for f in drop) and any(filters[f][1](x) for f in pick)]
+        assert [r.id for r in history.select_assets(df, [filters[f][0] for f in drop], [filters[f][0] for f in pick]).collect()] == due, (drop, pick)
+
+
+def test_points_near_poles_and_the_date_line(spark):
+    """Cells of latitude and longitude lose no point, against all pairs."""
+    rnd = random.Random(2)
+    place = lambda: (rnd.choice([0, 45, 60, 85, 89.5, 90, -89.9, -70]) + rnd.uniform(-0.6, 0.6), rnd.choice([0, 90, 179.7, -179.8, 12]) + rnd.uniform(-0.8, 0.8))
+    centers, points = [(i, *place()) for i in range(60)], [place() for _ in range(800)]
+    c, p = spark.createDataFrame(centers, "id int, lat double, lon double"), spark.createDataFrame([*points, (None, 1.0)], "lat double, lon double")
+    c, p = (x.where("lat is null or abs(lat) <= 90") for x in (c, p))
+    both = c.crossJoin(p.select(F.col("lat").alias("y"), F.col("lon").alias("x"))).where(expr.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) < 100.0)
+    due = {r.id: r["count"] for r in both.groupBy("id").count().collect()}
+    assert {r.id: r.near for r in geo.points_near(c, p).where("near > 0").collect()} == due and sum(due.values()) > 100
 
 
 def test_unknown_sort_column_and_types_are_errors(spark):
