@@ -23,6 +23,40 @@ PASSPORTS = {
 }
 
 
+_MONTH, _DAY = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
+_YMD, _DMY = f"[0-9]{{2}}{_MONTH}{_DAY}", f"{_DAY}{_MONTH}[0-9]{{2}}"
+# National identity numbers by country, from their public descriptions. Women's months are 50 more in CZE and SVK; later
+# centuries' 20 or 40 more in BGR. POL takes births before 2000 only: the acceptance values call a later month no identity number.
+NATIONAL_IDS = {
+    "CZE": f"[0-9]{{2}}(?:[05][1-9]|[16][0-2]|[27][1-9]|[38][0-2]){_DAY}/?[0-9]{{4}}",
+    "SWE": f"(?:19|20)?{_YMD}[-+]?[0-9]{{4}}",
+    "BGR": f"[0-9]{{2}}(?:[024][1-9]|[135][0-2]){_DAY}[0-9]{{4}}",
+    "SVK": f"[0-9]{{2}}(?:[05][1-9]|[16][0-2]){_DAY}/?[0-9]{{4}}",
+    "DNK": f"{_DMY}-?[0-9]{{4}}",
+    "LVA": f"(?:{_DMY}|32[0-9]{{4}})-?[0-9]{{5}}",
+    "PRT": "[0-9]{8}[ -]?[0-9] ?[A-Z0-9]{2}[0-9]",
+    "EST": f"[1-8]{_YMD}[0-9]{{4}}",
+    "POL": f"{_YMD}[0-9]{{5}}",
+    "ISL": f"{_DMY}-?[0-9]{{3}}[089]",
+    "ROU": f"[1-9]{_YMD}(?:0[1-9]|[1-3][0-9]|4[0-8]|5[12])[0-9]{{4}}",
+    "LTU": f"[1-6]{_YMD}[0-9]{{4}}",
+    "CHE": r"756\.?[0-9]{4}\.?[0-9]{4}\.?[0-9]{2}",
+    "FIN": f"{_DMY}[-+A-FU-Y](?:00[2-9]|0[1-9][0-9]|[1-8][0-9]{{2}})[0-9A-FHJ-NPR-Y]",
+    "ESP": "(?:[0-9]{8}|[XYZ][0-9]{7})-?[A-HJ-NP-TV-Z]",
+    "ITA": "[A-Z]{6}[0-9]{2}[A-EHLMPR-T](?:[04][1-9]|[1256][0-9]|[37][01])[A-Z][0-9]{3}[A-Z]",
+    "IRL": "[0-9]{7}[A-W][A-IW]?",
+    "GRC": "[A-Z]{1,2}-?[0-9]{6}",
+    "NOR": f"{_DMY}[0-9]{{5}}",
+}
+# Names of countries in column names.
+COUNTRIES = {
+    "DEU": ["Germany"], "GBR": ["United Kingdom"], "LVA": ["Latvia"], "FIN": ["Finland"], "EST": ["Estonia"], "PRT": ["Portugal"], "SWE": ["Sweden"], "NOR": ["Norway"],
+    "CHE": ["Switzerland"], "BGR": ["Bulgaria"], "POL": ["Poland"], "IRL": ["Ireland"], "LTU": ["Lithuania"], "SVN": ["Slovenia"], "DNK": ["Denmark"], "SVK": ["Slovakia"],
+    "MLT": ["Malta"], "LUX": ["Luxembourg"], "LIE": ["Liechtenstein"], "FRA": ["France"], "HUN": ["Hungary"], "AUT": ["Austria"], "ITA": ["Italy"],
+    "CYP": ["Cyprus"], "ISL": ["Iceland"], "HRV": ["Croatia"], "CZE": ["Czech Republic", "Czechia"], "ESP": ["Spain"], "GRC": ["Greece"], "NLD": ["Netherlands"], "ROU": ["Romania"], "BEL": ["Belgium"],
+}
+
+
 def _iban(structure: str) -> str:
     import re
 
@@ -42,6 +76,8 @@ PATTERNS: dict[str, list[str]] = {
     "IBAN_Detection": [_iban(v) for v in IBANS.values()],
     **{f"{k}_Passport_Detection": [v] for k, v in PASSPORTS.items()},
     "Passport_Detection": sorted(set(PASSPORTS.values())),
+    **{f"{k}_NationalID_Detection": [v] for k, v in NATIONAL_IDS.items()},
+    "NationalID_Detection": sorted(set(NATIONAL_IDS.values())),
 }
 # Words by which column names tell a label.
 KEYWORDS = {
@@ -49,7 +85,10 @@ KEYWORDS = {
     "name": ["name", "firstname", "lastname"], "latitude": ["lat", "latitude"], "longitude": ["long", "longitude"], "npi": ["npi"], "url": ["url"],
     "telephone": ["telephone", "tel"], "swiftcode": ["swiftcode"], "passport": ["passport", "passportnumber"], "ipaddress": ["ipaddress", "ipaddr", "ip"],
     "bankaccount": ["bankaccount", "account", "accountnumber"], "cvv": ["cvv"], "mrn": ["mrn"], "height": ["height"], "weight": ["weight"], "IBAN_Detection": ["IBAN", "International Bank Account Number"],
+    "Passport_Detection": ["Passport Number"], "NationalID_Detection": ["National ID", "National identification number"],
 }
+for _kind, _known in (("IBAN_Detection", IBANS), ("Passport_Detection", PASSPORTS), ("NationalID_Detection", NATIONAL_IDS)):
+    KEYWORDS |= {f"{k}_{_kind}": [f"{country} {token}" for country in COUNTRIES[k] for token in KEYWORDS[_kind]] for k in _known}
 REGEX_WEIGHT, NAME_WEIGHT, THRESHOLD = 85, 15, 70
 
 

@@ -81,6 +81,24 @@ LABELS = [
     ("FRA_Passport_Detection", ["05CK02237"], ["LN500432P"]),
     ("BEL_Passport_Detection", ["EH000001"], ["LN500432P"]),
     ("Passport_Detection", ["EH000001", "05CK02237", "C01X00T47", "AE0000005"], ["LN500432PA2"]),
+    ("NOR_NationalID_Detection", ["29029900157"], ["89029900157"]),
+    ("CZE_NationalID_Detection", ["7103192745"], ["590312123"]),
+    ("SWE_NationalID_Detection", ["811228-9874"], ["811328-9873"]),
+    ("BGR_NationalID_Detection", ["7523169263", "8032056031"], ["8019010008"]),
+    ("SVK_NationalID_Detection", ["710319/2745"], ["710332/2746"]),
+    ("DNK_NationalID_Detection", ["211062-5629"], ["511062-5629"]),
+    ("LVA_NationalID_Detection", ["161175-19997"], ["161375-19997"]),
+    ("PRT_NationalID_Detection", ["00000000-0ZZ4"], ["00000000-AZZ4"]),
+    ("EST_NationalID_Detection", ["37605030299"], ["376050302999"]),
+    ("POL_NationalID_Detection", ["83010411457", "87123116221"], ["04271113861"]),
+    ("ISL_NationalID_Detection", ["120174-3399"], ["1201743397"]),
+    ("ROU_NationalID_Detection", ["1630615123457", "1800101221199"], ["1630615983458"]),
+    ("LTU_NationalID_Detection", ["38703181745"], ["38703421745"]),
+    ("CHE_NationalID_Detection", ["756.1234.5678.95"], ["856.1234.5678.95"]),
+    ("FIN_NationalID_Detection", ["311280-888Y"], ["131052-001U"]),
+    ("ESP_NationalID_Detection", ["99999999R"], ["X-2482300A"]),
+    ("ITA_NationalID_Detection", ["MRTMTT25D09F205Z", "MLLSNT82P65Z404U"], ["4RTMTT25D09F205Z"]),
+    ("NationalID_Detection", ["MRTMTT25D09F205Z", "99999999R", "38703181745", "1800101221199"], ["4RTMTT25D09F205Z", "X-2482300A", "38703421745", "1630615983458"]),
 ]
 
 
@@ -92,6 +110,14 @@ def test_labels(spark):
         assert got == []
 
 
+def test_keywords_name_countries(spark):
+    columns = spark.createDataFrame([("Czechia National ID",), ("my Spain IBAN",), ("Ireland Passport Number",)], "column_name string")
+    got = {tuple(r) for r in sensitive.keyword_matches(columns, sensitive.keyword_table(spark)).collect()}
+    due = {("Czechia National ID", "CZE_NationalID_Detection"), ("Czechia National ID", "NationalID_Detection"), ("my Spain IBAN", "ESP_IBAN_Detection"), ("my Spain IBAN", "IBAN_Detection"),
+           ("Ireland Passport Number", "IRL_Passport_Detection"), ("Ireland Passport Number", "Passport_Detection")}
+    assert got == due
+
+
 def test_selection(spark):
     """All choices of up to two filters on each side, against the rule told in plain Python."""
     names = ["apple", "avocado", "banana", "melon"]
