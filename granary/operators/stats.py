@@ -120,7 +120,11 @@ def top_strings(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """Long form (column_name, metric, value) of the whole profile: counts for every column, moments of numbers and lengths of
-    strings, approximate distinct values, quantiles, histograms and frequent items. Two passes over the table."""
+    strings, approximate distinct values, quantiles, histograms and frequent items.
+
+    Reads the table once for the wide aggregate, once for quantile sketches, twice for histograms (ends, then counts) and twice for items (sketches,
+    then exact counts); each read takes only the columns it needs and shuffles partial aggregates, no rows.
+    """
     numeric, strings, booleans = (columns_of(df, k) for k in ("numeric", "string", "boolean"))
     wanted = {c: ["non_null_count", "null_count", "approx_distinct"] for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))}
     for cs, more in ((numeric, ["mean", "stddev", "min", "max"]), (strings, ["mean_length", "stddev_length", "min_length", "max_length"]), (booleans, ["true_count", "false_count"])):

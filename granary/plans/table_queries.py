@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import expr
@@ -282,6 +282,54 @@ def _profile_sql(t: str, numeric: tuple[str, ...], strings: tuple[str, ...]) ->
 _ORDER_COLUMNS = (("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority"))
 query("table_profile", "orders", oracle=_profile_sql("orders", *_ORDER_COLUMNS))(lambda t: st.profile(t.select(*_ORDER_COLUMNS[0], *_ORDER_COLUMNS[1])).where(F.col("metric").isin(*_EXACT)))
 query("table_profile_full", "lineitem")(st.profile)
+_LINE_COLUMNS = (("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_NUM), ("l_returnflag", "l_linestatus"), ("l_shipdate",))
+
+
+def _exact_profile_sql(t: str, numeric: tuple[str, ...], strings: tuple[str, ...], others: tuple[str, ...]) -> str:
+    """Zero is added so that -0.0, which the tables hold, is 0.0."""
+    counts = (("non_null_count", "count({c})"), ("null_count", "count(*) - count({c})"))
+    numbers = (("mean", "avg({c})"), ("stddev", "stddev_samp({c})"), ("min", "min({c})"), ("max", "max({c})"))
+    lengths = tuple((f"{m}_length", f"{f}(coalesce(length({{c}}), 0))") for m, f in (("mean", "avg"), ("stddev", "stddev_samp"), ("min", "min"), ("max", "max")))
+    wanted = [(c, m, x) for cs, ms in (((*numeric, *strings, *others), counts), (numeric, numbers), (strings, lengths)) for c in cs for m, x in ms]
+    parts = [f"SELECT '{c}' AS column_name, '{m}' AS metric, round(CAST({x.format(c=c)} AS DOUBLE), 4) + 0.0 AS value FROM {t}" for c, m, x in wanted]
+    parts += [f"SELECT column_name, 'bin ' || CAST(round(bin, 4) AS VARCHAR), CAST(count AS DOUBLE) FROM ({_hist_sql(t, c)})" for c in numeric]
+    return " UNION ALL ".join(parts)
+
+
+@query("table_profile_exact", "lineitem", oracle=_exact_profile_sql("lineitem", *_LINE_COLUMNS))
+def _profile_exact(t: DataFrame) -> DataFrame:
+    """All of the profile that is not an estimate: counts, moments and extremes of every column, and histograms."""
+    return _rounded(st.profile(t).where(~F.col("metric").rlike("^(approx_distinct$|q[0-9]+$|item )")), "value", places=4)
+
+
+@query("table_profile_bounds", "lineitem", oracle=" UNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, 'approx_distinct' AS metric, TRUE AS within_bound" for cs in _LINE_COLUMNS for c in cs]
+    + [f"SELECT '{c}', 'q{round(p * 100)}', TRUE" for c in _LINE_COLUMNS[0] for p in st.PROBABILITIES]
+    + [f"SELECT '{c}', 'item ' || CAST({c} AS VARCHAR), TRUE FROM lineitem GROUP BY {c} HAVING count(*) >= 0.05 * (SELECT count(*) FROM lineitem)" for c in (*_LINE_COLUMNS[1], "l_linenumber")]
+))
+def _profile_bounds(t: DataFrame) -> DataFrame:
+    """The estimates of the profile against exact figures: distinct values, the ranks of quantiles, and that every item of 5 % of the rows
+    is there with its count. Exact distinct counts make this a check and not a part of the profile."""
+    columns, numeric, frequent = [c for cs in _LINE_COLUMNS for c in cs], list(_LINE_COLUMNS[0]), [*_LINE_COLUMNS[1], "l_linenumber"]
+    profile = st.profile(t)
+    exact = st.aggregate_columns(t, columns, ["exact_distinct"])
+    distinct = profile.where("metric = 'approx_distinct'").join(F.broadcast(exact), "column_name")
+    distinct = distinct.select("column_name", "metric", (F.abs(F.col("value") - F.col("exact_distinct")) <= 3 * st.DISTINCT_ERROR * F.col("exact_distinct")).alias("within_bound"))
+
+    marks = profile.where(F.col("metric").rlike("^q[0-9]+$")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "column_name", "metric"), "value"))).alias("marks"))
+    names = [(c, f"q{round(p * 100)}", p) for c in numeric for p in st.PROBABILITIES]
+    value = lambda c, m: F.element_at("marks", f"{c}|{m}")
+    ranks = t.crossJoin(F.broadcast(marks)).agg(*(x for c, m, _ in names for x in (F.count_if(F.col(c) < value(c, m)).alias(f"{c}|{m}|under"), F.count_if(F.col(c) <= value(c, m)).alias(f"{c}|{m}|upto"))), *(F.count(c).alias(f"{c}|n") for c in numeric))  # one row
+
+    def holds(c: str, m: str, p: float) -> Column:
+        n = F.col(f"`{c}|n`")
+        return (F.col(f"`{c}|{m}|under`") <= n * (p + 1 / st.ACCURACY) + 1) & (F.col(f"`{c}|{m}|upto`") >= n * (p - 1 / st.ACCURACY) - 1)
+
+    quantiles = ranks.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), holds(c, m, p).alias("within_bound")) for c, m, p in names))).alias("r")).select("r.*")
+    items = profile.where("metric like 'item %'")
+    due = st.frequent_items(t, frequent, 0.05).select("column_name", F.concat(F.lit("item "), "item").alias("metric"), "count")
+    items = due.join(items, ["column_name", "metric"], "left").select("column_name", "metric", F.coalesce(F.col("value") == F.col("count"), F.lit(False)).alias("within_bound"))
+    return st.union_metrics(distinct, quantiles, items)
 
 
 @query("metrics_merge", "lineitem", oracle=" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(3 AS INT) AS n, CAST(max({c}) AS DOUBLE) AS max FROM lineitem" for c in _NUM))
