@@ -1,17 +1,32 @@
-"""A fresh folder for written results, where driver and executors both see it."""
+"""Fresh folders and written tables where driver and executors both see them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """Under the cluster's spark.checkpoint.dir; where none is set (tests), under a folder of our own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where none is set, a folder of this machine serves a local master (tests);
+    other machines could not see it, so there the setting is asked for."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, what: str) -> str:
+    """A folder of a new name; it is made by whoever writes there."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back: it is not worked out again, and outlives lost executors."""
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
