@@ -68,10 +68,10 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space, A-Z lower-cased), their first and
+def words(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without ASCII white space, or whatever bytes ``breaks`` marks, A-Z lower-cased), their first and
     end bytes, and for each text the index of its first word (one entry more than texts)."""
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     inside[starts[1:] - 1] = False
     edge = np.diff(inside.astype(np.int8), prepend=0)
     first = np.flatnonzero(edge == 1)
