@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, importance, lexical, line_dedup, ngram_join, pii, repeats, sentence_dedup, toxicity, url_filter
+from . import ann, bpe, decontam, digests, importance, lexical, line_dedup, ngram_join, pii, repeats, sentence_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": _over(line_dedup.op8_line_dedup, "documents"),
         "op9_toxicity": _over(toxicity.op9_toxicity, "documents", "labels"),
         "op10_sentence_spans": _over(sentence_dedup.op10_sentence_spans, "documents"),
+        "op11_improbable_digest": _over(digests.op11_improbable_digest, "documents"),
         "op12_importance": _over(importance.op12_importance, "documents", "benchmark"),
         "op13_lexical": _over(lexical.op13_lexical, "documents", "benchmark"),
     }
