@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.expr import audit_table
+from granary.operators.ranks import numbered
 
 DIMENSIONS = ("access", "action", "result")
 
@@ -17,10 +18,15 @@ def with_table_name(audit: DataFrame) -> DataFrame:
     return audit.withColumn("htable", audit_table(F.col("resource"), F.col("restype")))
 
 
+def dimension_rows(audit: DataFrame, *keys: str) -> DataFrame:
+    """(keys, dim, value): a row for each dimension; null values of a dimension are skipped."""
+    each = F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in DIMENSIONS))
+    return audit.select(*keys, F.explode(each).alias("r")).select(*keys, "r.dim", "r.value").where("value is not null")
+
+
 def breakdown(audit: DataFrame, *keys: str) -> DataFrame:
     """(keys, dim, value, count): rows by key and by each dimension; null values of a dimension are skipped."""
-    each = F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in DIMENSIONS))
-    return audit.select(*keys, F.explode(each).alias("r")).select(*keys, "r.dim", "r.value").where("value is not null").groupBy(*keys, "dim", "value").agg(F.count(F.lit(1)).alias("count"))
+    return dimension_rows(audit, *keys).groupBy(*keys, "dim", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def hive_rollup(audit: DataFrame, by_user: bool = False) -> DataFrame:
@@ -54,8 +60,14 @@ def top_k(df: DataFrame, field: str, n: int, condition: str | None = None) -> Da
 
 
 def activity_tiles(audit: DataFrame, tiles: int = 10) -> DataFrame:
-    """Tables in ``tiles`` classes of activity. The ranking is over one row a table."""
-    return action_counts(audit).select("htable", "count", F.ntile(tiles).over(Window.orderBy("count", "htable")).alias("tile"))
+    """(htable, count, tile): tables in ``tiles`` classes of activity of even size, the first of which take what is over.
+
+    Places come from ranges of the order and their counts, not from a window over all tables."""
+    ranked = numbered(action_counts(audit).select("htable", "count"), F.asc("count"), F.asc("htable"))
+    place, size, over = F.col("place"), F.floor(F.col("total") / tiles), F.col("total") % tiles
+    large = over * (size + 1)  # places in tiles of one more
+    tile = F.when(place <= large, F.ceil(place / (size + 1))).otherwise(over + F.ceil((place - large) / F.greatest(size, F.lit(1))))
+    return ranked.select("htable", "count", tile.cast("int").alias("tile"))
 
 
 def sql_job(df: DataFrame, view: str, statement: str) -> DataFrame:

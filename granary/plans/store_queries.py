@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from granary.operators import audit as au
 from granary.operators import catalog as ca
 from granary.sources import stores
-from granary.sources.scratch import fresh_dir
+from granary.sources.scratch import fresh_dir, written
 from granary.streaming import streams
 
 from .registry import query
-from .table_queries import _HTABLE
+from .table_queries import _HTABLE, _rollup_sql
 
 _DATE = dt.date(2024, 1, 31)
 _LAST = "(SELECT max(CAST(evttime AS DATE)) FROM audit)"
@@ -50,6 +50,9 @@ def _daily(audit: DataFrame) -> DataFrame:
 _DAILY = f"SELECT CAST(evttime AS DATE) AS date, {_HTABLE} AS htable, count(*) AS count, count(CASE WHEN action = 'select' THEN 1 END) AS selects FROM audit GROUP BY 1, 2 HAVING htable IS NOT NULL"
 
 
+_DAILY_SCHEMA = "htable string, count bigint, selects bigint"
+
+
 @query("rollup_scan_dates", "audit", oracle=f"SELECT * FROM ({_DAILY}) WHERE date > {_LAST} - 7")
 def _scan_dates(audit: DataFrame) -> DataFrame:
     base = fresh_dir(audit.sparkSession, "rollup")
@@ -57,6 +60,16 @@ def _scan_dates(audit: DataFrame) -> DataFrame:
     return stores.read_rollup(audit.sparkSession, base, "tables", _last_day(audit), "weekly").select("date", "htable", "count", "selects")
 
 
+@query("rollup_scan_gaps", "audit", oracle=f"SELECT * FROM ({_DAILY}) WHERE date > {_LAST} - 7 AND date NOT IN ({_LAST} - 2, {_LAST} - 5)")
+def _scan_gaps(audit: DataFrame) -> DataFrame:
+    """A week of which two days were never rolled up, beside a metric that has no tree at all."""
+    spark, base, end = audit.sparkSession, fresh_dir(audit.sparkSession, "rollup"), _last_day(audit)
+    gone = [end - dt.timedelta(days=n) for n in (2, 5)]
+    stores.write_dated(_daily(audit).where(~F.col("date").isin(gone)), base, "tables", "daily")
+    none = stores.read_rollup(spark, base, "absent", end, "weekly", _DAILY_SCHEMA)
+    return stores.read_rollup(spark, base, "tables", end, "weekly", _DAILY_SCHEMA).unionByName(none).select("date", "htable", "count", "selects")
+
+
 @query("sink_dated_partition", "audit", oracle=_DAILY)
 def _dated(audit: DataFrame) -> DataFrame:
     """Written, one day written again, and read: rerunning a day changes nothing, other days stay."""
@@ -97,7 +110,7 @@ def _table_partition(t: DataFrame) -> DataFrame:
 def _compact(t: DataFrame) -> DataFrame:
     source, target = fresh_dir(t.sparkSession, "store"), fresh_dir(t.sparkSession, "snapshot")
     stores.write_partitions(t, source, "database")
-    stores.compact(t.sparkSession, source, target, 2)
+    stores.compact(t.sparkSession, source, target)
     return t.sparkSession.read.parquet(target).select(*_SENS_COLUMNS)
 
 
@@ -109,28 +122,31 @@ def _partition_count(t: DataFrame) -> DataFrame:
 
 @query("dataset_mapping_replace", "dataset_asset", oracle="SELECT datasetname, count(assetid) AS assets FROM dataset_asset WHERE datasetname <> 'ds1' OR assetid LIKE '%2' GROUP BY 1")
 def _replace(t: DataFrame) -> DataFrame:
-    """The members of one dataset are replaced."""
-    path = stores.write_partitions(t, fresh_dir(t.sparkSession, "datasets"), "datasetname")
-    stores.write_partitions(t.where("datasetname = 'ds1' and assetid like '%2'"), path, "datasetname")
-    return t.sparkSession.read.parquet(path).groupBy("datasetname").agg(F.count("assetid").alias("assets"))
+    """The members of one dataset are replaced in the store."""
+    spark, base = t.sparkSession, fresh_dir(t.sparkSession, "datasets")
+    stores.replace(t, base, "datasetname")
+    stores.replace(t.where("datasetname = 'ds1' and assetid like '%2'"), base, "datasetname")
+    return stores.read_store(spark, base, "datasetname").groupBy("datasetname").agg(F.count("assetid").alias("assets"))
 
 
 @query("dataset_mapping_delete", "dataset_asset", oracle="SELECT datasetname, assetid, priority FROM dataset_asset WHERE datasetname <> 'ds2'")
 def _delete(t: DataFrame) -> DataFrame:
-    source, target = fresh_dir(t.sparkSession, "members"), fresh_dir(t.sparkSession, "members")
-    t.write.parquet(source)
-    t.sparkSession.read.parquet(source).where("datasetname <> 'ds2'").write.parquet(target)
-    return t.sparkSession.read.parquet(target)
+    """One dataset is taken out of the store."""
+    spark, base = t.sparkSession, fresh_dir(t.sparkSession, "members")
+    stores.replace(t, base, "datasetname")
+    stores.drop_partition(spark, base, "datasetname", "ds2")
+    return stores.read_store(spark, base, "datasetname").select("datasetname", "assetid", "priority")
 
 
 @query("profile_upsert", "table_catalog", oracle="""SELECT db, substr(outputformat, 1, 5) AS tbl, table_name AS column_name, CASE WHEN numpartitions % 2 = 0 OR NOT (db <> 'db3') THEN numrows + 1 ELSE numrows END AS non_null_count FROM table_catalog
 WHERE (db <> 'db3' AND numpartitions % 3 <> 0) OR (NOT EXISTS (SELECT 1 FROM table_catalog s WHERE s.db <> 'db3' AND s.numpartitions % 3 <> 0 AND s.db = table_catalog.db AND substr(s.outputformat, 1, 5) = substr(table_catalog.outputformat, 1, 5)) AND (numpartitions % 2 = 0 OR db = 'db3'))""")
 def _upsert(t: DataFrame) -> DataFrame:
-    """Stored profiles of some tables meet new ones: known columns change, unknown tables come in."""
+    """Stored profiles of some tables meet new ones: known columns change, unknown tables come in. The store is written, changed and read."""
+    spark, path = t.sparkSession, fresh_dir(t.sparkSession, "profiles")
     base = t.select("db", F.substring("outputformat", 1, 5).alias("tbl"), F.col("table_name").alias("column_name"), F.col("numrows").alias("non_null_count"), "numpartitions")
-    stored = base.where("db <> 'db3' and numpartitions % 3 <> 0").drop("numpartitions")
-    new = base.where("numpartitions % 2 = 0 or db = 'db3'").withColumn("non_null_count", F.col("non_null_count") + 1).drop("numpartitions")
-    return stores.upsert_profiles(stored, new)
+    stores.replace(base.where("db <> 'db3' and numpartitions % 3 <> 0").drop("numpartitions"), path, "db")
+    stores.upsert_stored(base.where("numpartitions % 2 = 0 or db = 'db3'").withColumn("non_null_count", F.col("non_null_count") + 1).drop("numpartitions"), path)
+    return stores.read_store(spark, path, "db").select("db", "tbl", "column_name", "non_null_count")
 
 
 query("json_rows", "region", oracle="SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS value FROM region")(lambda t: t.select(F.to_json(F.struct("r_regionkey", "r_name")).alias("value")))
@@ -146,9 +162,13 @@ def _append(d: DataFrame, j: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-query("history_status_update", "run_history", oracle="SELECT id, jobid, CASE WHEN jobid % 5 = 0 THEN 'SUCCESS' ELSE status END AS status FROM run_history")(
-    lambda t: stores.set_status(t, t.where("jobid % 5 = 0").select("jobid").distinct().withColumn("new_status", F.lit("SUCCESS"))).select("id", "jobid", "status")
-)
+@query("history_status_update", "run_history", oracle="SELECT id, jobid, CASE WHEN jobid % 5 = 0 THEN 'SUCCESS' ELSE status END AS status FROM run_history")
+def _status(t: DataFrame) -> DataFrame:
+    """A stored history, dealt by job, in which every fifth job ends: of 25 partitions 5 are rewritten."""
+    spark, base, part = t.sparkSession, fresh_dir(t.sparkSession, "history"), F.pmod("jobid", F.lit(25))
+    stores.replace(t.withColumn("jobs", part), base, "jobs")
+    stores.set_stored_status(t.where("jobid % 5 = 0").select("jobid").distinct().withColumn("new_status", F.lit("SUCCESS")), base, "jobs", part)
+    return stores.read_store(spark, base, "jobs").select("id", "jobid", "status")
 
 
 @query("metric_view_sql", "table_catalog", oracle="SELECT db, count(*) AS n, max(size) AS largest FROM table_catalog GROUP BY db")
@@ -156,7 +176,10 @@ def _view(t: DataFrame) -> DataFrame:
     spark, path, name = t.sparkSession, fresh_dir(t.sparkSession, "metric"), f"metric_{uuid.uuid4().hex}"
     t.write.parquet(path)
     stores.open_view(spark, path, name)
-    return spark.sql(f"SELECT db, count(*) AS n, max(size) AS largest FROM {name} GROUP BY db")
+    try:
+        return written(spark.sql(f"SELECT db, count(*) AS n, max(size) AS largest FROM {name} GROUP BY db"))
+    finally:
+        stores.close_view(spark, name)
 
 
 @query("metric_cache_refresh", "table_catalog", oracle="SELECT 'after' AS moment, count(*) AS n FROM table_catalog UNION ALL SELECT 'before', count(*) FROM table_catalog WHERE db = 'db0'")
@@ -166,43 +189,67 @@ def _refresh(t: DataFrame) -> DataFrame:
     t.where("db = 'db0'").write.parquet(path)
     before = stores.open_view(spark, path, name).count()
     t.write.mode("overwrite").parquet(path)
-    after = stores.refresh_view(spark, path, name)
-    return after.agg(F.count(F.lit(1)).alias("n")).select(F.lit("after").alias("moment"), "n").union(spark.createDataFrame([("before", before)], "moment string, n bigint"))
+    after = stores.refresh_view(spark, path, name).count()
+    stores.close_view(spark, name)
+    return spark.createDataFrame([("before", before), ("after", after)], "moment string, n bigint")
 
 
-@query("catalog_inventory", "part", "supplier")
+@query("catalog_inventory", "part", "supplier", oracle="SELECT 'part' AS \"table\", count(DISTINCT p_brand) AS numPartitions, 'parquet' AS inputFormat FROM part UNION ALL SELECT 'supplier', 0, 'parquet'")
 def _inventory(part: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Two tables are saved in a database of their own and crawled."""
+    """Two tables are saved in a database of their own and crawled; the database goes afterwards."""
     spark, db = part.sparkSession, f"granary_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE {db} LOCATION '{fresh_dir(spark, 'catalog')}'")
-    part.write.partitionBy("p_brand").saveAsTable(f"{db}.part")
-    supplier.write.saveAsTable(f"{db}.supplier")
-    found = ca.inventory(spark, [db]).select("table", "numPartitions", "inputFormat")
-    return found
+    try:
+        part.write.partitionBy("p_brand").saveAsTable(f"{db}.part")
+        supplier.write.saveAsTable(f"{db}.supplier")
+        return written(ca.inventory(spark, [db]).select("table", "numPartitions", F.lower("inputFormat").alias("inputFormat")))
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
 
 
 # --- streams
-def _events_folder(events: DataFrame, by_time: bool) -> tuple[str, T.StructType]:
-    """The events in five folders of files, in order of time or interleaved, with ``ts`` as a timestamp."""
-    path = fresh_dir(events.sparkSession, "events")
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    n = F.floor(F.col("event_id") * 5 / (events.agg(F.max("event_id")).first()[0] + 1)) if by_time else F.col("event_id") % 5
-    rows.withColumn("part", n.cast("int")).repartition(5, "part").write.parquet(path)
-    return path, T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
+def _events_folder(rows: DataFrame, by_time: bool, key: str = "event_id") -> tuple[str, T.StructType]:
+    """Rows in five files, in order of time or interleaved, with times as timestamps."""
+    path = fresh_dir(rows.sparkSession, "events")
+    rows = rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if isinstance(f.dataType, T.TimestampNTZType)})
+    n = F.floor(F.col(key) * 5 / (rows.agg(F.max(key)).first()[0] + 1)) if by_time else F.col(key) % 5
+    for i in range(5):  # one after the other, as files come in
+        rows.where(n == i).coalesce(1).write.mode("append").parquet(path)
+    return path, rows.schema
+
+
+def _messages(events: DataFrame) -> DataFrame:
+    """Events as records of a topic: table and database messages, and four kinds that can't be read."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "hive_table").otherwise("hive_db")
+    name = F.format_string("db%d.t%d@cl", F.col("user_id") % 3, "user_id")
+    whole = F.to_json(F.struct(kind.alias("typeName"), name.alias("qualifiedName"), F.col("ts").alias("at")))
+    nameless = F.to_json(F.struct(F.lit("hive_table").alias("typeName"), F.lit("t").alias("qualifiedName")))
+    odd = F.col("event_id") % 4
+    broken = F.when(odd == 0, F.lit("{broken").cast("binary")).when(odd == 1, nameless.cast("binary")).when(odd == 2, F.unhex(F.lit("C328")))
+    value = F.when(F.col("event_type") == "error", broken).otherwise(whole.cast("binary"))
+    return events.select(F.lit(None).cast("binary").alias("key"), value.alias("value"), F.lit("changes").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit(0).alias("timestampType"))
+
+
+def _change_stores(events: DataFrame) -> tuple[str, str]:
+    spark = events.sparkSession
+    path, schema = _events_folder(_messages(events), True, "offset")
+    tables, unreadable = fresh_dir(spark, "changes"), fresh_dir(spark, "unreadable")
+    streams.drain_changes(streams.file_stream(spark, path, schema), tables, unreadable, fresh_dir(spark, "mark"))
+    return tables, unreadable
 
 
 @query("stream_table_changes", "events", oracle="SELECT 'db' || CAST(user_id % 3 AS STRING) AS db, 't' || CAST(user_id AS STRING) AS tbl, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2")
 def _changes(events: DataFrame) -> DataFrame:
-    """Events as entity messages, some of them unreadable, through the change stream."""
-    spark = events.sparkSession
-    path, schema = _events_folder(events, True)
-    target, mark = fresh_dir(spark, "changes"), fresh_dir(spark, "mark")
-    kind = F.when(F.col("event_type").isin("view", "click"), "hive_table").otherwise("hive_db")
-    name = F.format_string("db%d.t%d@cl", F.col("user_id") % 3, "user_id")
-    message = F.when(F.col("event_type") == "error", "{broken").otherwise(F.to_json(F.struct(kind.alias("typeName"), name.alias("qualifiedName"), F.col("ts").alias("at"))))
-    good, _ = streams.table_changes(streams.file_stream(spark, path, schema).select(message.alias("value")))
-    streams.drain(good, target, mark)
-    return spark.read.parquet(target).groupBy("db", "tbl").agg(F.count(F.lit(1)).alias("n"))
+    """Changed tables of a topic, some records of which are unreadable."""
+    tables, _ = _change_stores(events)
+    return events.sparkSession.read.parquet(tables).groupBy("db", "tbl").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_unreadable_records", "events", oracle="SELECT event_id AS \"offset\", ['not json', 'no name', 'not text', 'empty'][event_id % 4 + 1] AS reason, [7, length('{\"typeName\":\"hive_table\",\"qualifiedName\":\"t\"}'), 2, NULL][event_id % 4 + 1] AS bytes FROM events WHERE event_type = 'error'")
+def _unreadable(events: DataFrame) -> DataFrame:
+    """What the same batches could not read, as it came."""
+    _, unreadable = _change_stores(events)
+    return events.sparkSession.read.parquet(unreadable).select("offset", "reason", F.length("value").alias("bytes"))
 
 
 @query("stream_microbatch_dedupe", "events", oracle="SELECT DISTINCT user_id, event_type FROM events")
@@ -215,21 +262,39 @@ def _dedupe(events: DataFrame) -> DataFrame:
     return spark.read.parquet(target).select("user_id", "event_type").distinct()
 
 
-@query("stream_rate_limit", "events")
+@query("stream_rate_limit", "events", oracle="WITH e AS (SELECT CAST(floor(event_id * 5 / (max(event_id) OVER () + 1)) AS BIGINT) AS batch FROM events) SELECT batch, count(*) AS taken, count(*) AS stored FROM e GROUP BY 1")
 def _rate(events: DataFrame) -> DataFrame:
-    """Rows taken by each batch of a stream that may read one file at a time."""
+    """Rows that each trigger of a stream took which may read one file at a time, by its progress event and by what it stored."""
     spark = events.sparkSession
     path, schema = _events_folder(events, True)
     target = fresh_dir(spark, "limited")
-    streams.drain(streams.file_stream(spark, path, schema, 1).select("event_id"), target, fresh_dir(spark, "mark"))
-    return spark.read.parquet(target).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    done = streams.drain(streams.file_stream(spark, path, schema, 1).select("event_id"), target, fresh_dir(spark, "mark"))
+    taken = spark.createDataFrame([(d["batch"], d["rows"]) for d in done], "batch bigint, taken bigint")
+    return taken.join(spark.read.parquet(target).groupBy("batch").agg(F.count(F.lit(1)).alias("stored")), "batch", "left").select("batch", "taken", "stored")
 
 
 @query("stream_same_day_rollup", "events", oracle="SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def _same_day(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
-    path, schema = _events_folder(events, False)
-    return streams.complete(streams.daily_rollup(streams.file_stream(spark, path, schema), "ts", "event_type"), fresh_dir(spark, "mark"))
+    path, schema = _events_folder(events, True)
+    target = fresh_dir(spark, "today")
+    streams.keep_rollup(streams.file_stream(spark, path, schema), target, fresh_dir(spark, "mark"), "ts", "event_type")
+    return streams.kept_rollup(spark, target, "event_type").withColumnRenamed("date", "day")
+
+
+@query("stream_audit_rollup", "audit", oracle=_rollup_sql("CAST(evttime AS DATE) AS date, split_part(h, '.', 1) AS db, split_part(h, '.', 2) AS tbl", f"SELECT {_HTABLE} AS h, * FROM audit", "h IS NOT NULL"))
+def _audit_stream(audit: DataFrame) -> DataFrame:
+    """The roll-up of audit rows by table, kept in its days by a stream that is stopped after three of five files and started again;
+    the first week is then settled in the daily store, and both are read."""
+    spark = audit.sparkSession
+    path, schema = _events_folder(audit, True)
+    inbox, target, store, mark = fresh_dir(spark, "inbox"), fresh_dir(spark, "today"), fresh_dir(spark, "days"), fresh_dir(spark, "mark")
+    keys, ends = ("db", "tbl", "dim", "value"), audit.agg(F.floor(F.max("event_id") * 3 / 5).alias("half"), F.min(F.to_date("evttime")).alias("day")).first()
+    for part in ("event_id <= {0}", "event_id > {0}"):
+        spark.read.schema(schema).parquet(path).where(part.format(ends.half)).coalesce(1).write.mode("append").parquet(inbox)
+        streams.keep_rollup(streams.audit_rollup_rows(streams.file_stream(spark, inbox, schema)), target, mark, "evttime", *keys)
+    streams.settle_rollup(spark, target, store, ends.day + dt.timedelta(days=7), *keys)
+    return spark.read.parquet(store).unionByName(streams.kept_rollup(spark, target, *keys)).select("date", *keys, "count")
 
 
 @query("catch_up_run", "events", oracle="SELECT event_id % 2 = 1 AS late, count(*) AS n FROM events GROUP BY 1")
@@ -241,5 +306,3 @@ def _catch_up(events: DataFrame) -> DataFrame:
         rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(path)
         streams.drain(streams.file_stream(spark, path, rows.schema, 100), target, mark)
     return spark.read.parquet(target).groupBy((F.col("event_id") % 2 == 1).alias("late")).agg(F.count(F.lit(1)).alias("n"))
-
-

@@ -339,8 +339,8 @@ def _merge(t: DataFrame) -> DataFrame:
     return st.merged_metrics(long).select("column_name", F.size("metrics").alias("n"), F.element_at("metrics", "max").alias("max"))
 
 
-def _rollup_sql(keys: str, source: str) -> str:
-    return " UNION ALL ".join(f"SELECT {keys}, '{d}' AS dim, CAST({d} AS STRING) AS value, count(*) AS count FROM ({source}) WHERE {d} IS NOT NULL GROUP BY ALL" for d in au.DIMENSIONS)
+def _rollup_sql(keys: str, source: str, condition: str = "TRUE") -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, '{d}' AS dim, CAST({d} AS STRING) AS value, count(*) AS count FROM ({source}) WHERE {d} IS NOT NULL AND {condition} GROUP BY ALL" for d in au.DIMENSIONS)
 
 
 _HIVE = f"SELECT split_part(h, '.', 1) AS db, split_part(h, '.', 2) AS tbl, coalesce(requser, '') AS requser, access, action, result FROM (SELECT {_HTABLE} AS h, * FROM audit) WHERE h IS NOT NULL"
