@@ -112,17 +112,19 @@ def keyword_matches(columns: DataFrame, keywords: DataFrame, name: str = "column
     return columns.join(F.broadcast(keywords), F.contains(F.col(name), F.col("token"))).select(name, "label").distinct()
 
 
-def label_counts(df: DataFrame, columns: list[str], labels: dict[str, list[str]], chunk: int = 400) -> DataFrame:
-    """(column_name, label, matches, nulls, total) by one aggregate for every ``chunk`` of column and label pairs."""
-    pairs = [(c, k) for c in columns for k in labels]
-    out = None
-    for at in range(0, len(pairs), chunk):
-        part = pairs[at : at + chunk]
-        wide = df.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(c).isNull()).alias(f"{c}|nulls") for c in sorted({c for c, _ in part})), *(F.count_if(whole_match(F.col(c), labels[k])).alias(f"{c}|{k}") for c, k in part))
-        rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("label"), F.col(f"`{c}|{k}`").alias("matches"), F.col(f"`{c}|nulls`").alias("nulls"), F.col("total")) for c, k in part))
-        found = wide.select(F.explode(rows).alias("r")).select("r.*")
-        out = found if out is None else out.unionByName(found)
-    return out
+def label_counts(df: DataFrame, columns: list[str], labels: dict[str, list[str]]) -> DataFrame:
+    """(column_name, label, matches, nulls, total), from one scan and one aggregate however many columns and labels there are.
+
+    Values are unpivoted as text beside their column's name, so the plan has an expression a label and not one a column and label; what is
+    shuffled is one row of counts a column and task."""
+    names = list(labels)
+    values = df.select(*(F.col("`" + c.replace("`", "``") + "`").cast("string").alias(f"c{i}") for i, c in enumerate(columns))).unpivot([], [f"c{i}" for i in range(len(columns))], "column", "value")
+    counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value").isNull()).alias("nulls"), *(F.count_if(whole_match(F.col("value"), labels[k])).alias(f"n{i}") for i, k in enumerate(names)))
+    every = df.sparkSession.createDataFrame([(f"c{i}", c) for i, c in enumerate(columns)], "column string, column_name string")
+    rows = F.array(*(F.struct(F.lit(k).alias("label"), F.coalesce(f"n{i}", F.lit(0)).alias("matches")) for i, k in enumerate(names)))
+    whole = every.join(counts, "column", "left")  # a row a column, also of an empty table
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return whole.select("column_name", F.explode(rows).alias("r"), zero("nulls"), zero("total")).select("column_name", "r.label", "r.matches", "nulls", "total")
 
 
 def label_percent(counts: DataFrame) -> DataFrame:

@@ -10,9 +10,12 @@ from granary.operators import audit as au
 from granary.operators import catalog as ca
 from granary.operators import geo
 from granary.operators import history as hi
+from granary.operators import mergeable as mg
 from granary.operators import sensitive as se
 from granary.operators import stats as st
 
+from granary.sources.scratch import written
+
 from .registry import query
 
 _NTZ = "timestamp_ntz"
@@ -208,7 +211,7 @@ def _merge_tags(t: DataFrame) -> DataFrame:
 @query("frequent_item_exact_counts", "orders", oracle="SELECT 'o_orderpriority' AS column_name, o_orderpriority AS item, count(*) AS count FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2")
 def _exact(t: DataFrame) -> DataFrame:
     columns = ["o_orderpriority", "o_orderstatus"]
-    return st.exact_counts(t, st.frequent_candidates(t, columns), columns)
+    return st.exact_counts(t, columns)
 
 
 # --- aggregates
@@ -219,14 +222,14 @@ query("null_counts", "documents", "labels", oracle="SELECT unnest(['doc_id', 'te
 query("boolean_counts", "profiler_instances", oracle="SELECT 'active' AS column_name, count(CASE WHEN active THEN 1 END) AS true_count, count(CASE WHEN NOT active THEN 1 END) AS false_count, count(*) - count(active) AS null_count FROM profiler_instances")(
     lambda t: st.aggregate_columns(t, ["active"], ["true_count", "false_count", "null_count"])
 )
-_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
-_DESC = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null_count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, min({c}) AS min, max({c}) AS max FROM lineitem" for c in _NUM)
+_DESC = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null_count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem" for c in _NUM)
 query("describe_numeric", "lineitem", oracle=_DESC)(lambda t: _rounded(st.aggregate_columns(t, _NUM, ["non_null_count", "mean", "stddev", "min", "max"]), "mean", "stddev"))
 query("describe_string_length", "documents", oracle=" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null_count, round(avg(coalesce(length({c}), 0)), 4) AS mean_length, round(stddev_samp(coalesce(length({c}), 0)), 4) AS stddev_length, min(coalesce(length({c}), 0)) AS min_length, max(coalesce(length({c}), 0)) AS max_length FROM documents" for c in ("text", "lang", "source")))(
     lambda t: _rounded(st.aggregate_columns(t, ["text", "lang", "source"], ["non_null_count", "mean_length", "stddev_length", "min_length", "max_length"]), "mean_length", "stddev_length")
@@ -250,58 +253,66 @@ def _hist_sql(t: str, c: str, value: str | None = None) -> str:
 LEFT JOIN (SELECT {v} AS v FROM {t}) x ON least(floor((v - lo) / (hi - lo) * 10), 9) = i GROUP BY lo, hi, i"""
 
 
-query("equal_width_histogram", "orders", oracle=" UNION ALL ".join(f"SELECT * FROM ({_hist_sql('orders', c)})" for c in ("o_totalprice", "o_custkey")))(lambda t: _rounded(st.histogram(t, ["o_totalprice", "o_custkey"]), "bin", places=6))
+_ORDER_COLUMNS = (("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority"), ("o_orderdate",))
+query("equal_width_histogram", "orders", oracle=" UNION ALL ".join(f"SELECT * FROM ({_hist_sql('orders', c)})" for c in _ORDER_COLUMNS[0]))(lambda t: _rounded(st.histogram(t, list(_ORDER_COLUMNS[0])), "bin", places=6))
 query("histogram_legacy", "lineitem", oracle=f"SELECT * FROM ({_hist_sql('lineitem', 'l_extendedprice', 'coalesce(l_extendedprice, 0.0)')})")(lambda t: _rounded(st.histogram(t, ["l_extendedprice"], nulls_as_zero=True), "bin", places=6))
 
 
-@query("frequent_items_sketch", "orders", oracle="SELECT column_name, item, TRUE AS found FROM (SELECT 'o_orderpriority' AS column_name, o_orderpriority AS item, count(*) AS n FROM orders GROUP BY 2) WHERE n >= 0.005 * (SELECT count(*) FROM orders)")
+_LIKELY = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+
+
+@query("frequent_items_sketch", "lineitem", oracle=" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS item, TRUE AS found FROM lineitem GROUP BY {c} HAVING count(*) >= {1 / st.TOP_ITEMS} * (SELECT count(*) FROM lineitem)" for c in _LIKELY))
 def _sketch(t: DataFrame) -> DataFrame:
-    """Every item above the support is among the candidates."""
-    found = st.frequent_candidates(t, ["o_orderpriority"]).withColumn("found", F.lit(True))
-    return st.frequent_items(t, ["o_orderpriority"], 1 / st.COUNTERS).join(found, ["column_name", "item"], "left").select("column_name", "item", F.coalesce("found", F.lit(False)).alias("found"))
+    """Every item that a sketch must name is among the candidates, in columns of two to fifty values."""
+    found = st.frequent_candidates(t, list(_LIKELY)).withColumn("found", F.lit(True))
+    return st.frequent_items(t, list(_LIKELY), 1 / st.TOP_ITEMS).join(found, ["column_name", "item"], "left").select("column_name", "item", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 query("frequent_items_5pct", "orders", oracle="SELECT * FROM (SELECT 'o_orderpriority' AS column_name, o_orderpriority AS item, count(*) AS count FROM orders GROUP BY 2 UNION ALL SELECT 'o_custkey', CAST(o_custkey AS STRING), count(*) FROM orders GROUP BY 2) WHERE count >= 0.05 * (SELECT count(*) FROM orders)")(
     lambda t: st.frequent_items(t, ["o_orderpriority", "o_custkey"], 0.05)
 )
 query("string_top20", "documents", oracle="SELECT source AS item, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda t: st.top_strings(t, "source"))
-query("multi_column_aggregate", "lineitem", oracle=" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, count({c}) AS non_null_count, min({c}) AS min, max({c}) AS max, round(sum({c}), 2) AS sum FROM lineitem" for c in _NUM))(
+query("multi_column_aggregate", "lineitem", oracle=" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, count({c}) AS non_null_count, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(CAST(sum({c}) AS DOUBLE), 2) AS sum FROM lineitem" for c in _NUM))(
     lambda t: _rounded(st.aggregate_columns(t, _NUM, ["null_count", "non_null_count", "min", "max", "sum"]), "sum", places=2)
 )
-_EXACT = ("non_null_count", "null_count", "min", "max", "min_length", "max_length", "q0")
-
-
-def _profile_sql(t: str, numeric: tuple[str, ...], strings: tuple[str, ...]) -> str:
-    one = lambda c, m, x: f"SELECT '{c}' AS column_name, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM {t}"
-    parts = [one(c, m, x) for c in (*numeric, *strings) for m, x in (("non_null_count", f"count({c})"), ("null_count", f"count(*) - count({c})"))]
-    parts += [one(c, m, x) for c in numeric for m, x in (("min", f"min({c})"), ("max", f"max({c})"), ("q0", f"min({c})"))]
-    parts += [one(c, m, x) for c in strings for m, x in (("min_length", f"min(length({c}))"), ("max_length", f"max(length({c}))"))]
-    return " UNION ALL ".join(parts)
-
-
-_ORDER_COLUMNS = (("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority"))
-query("table_profile", "orders", oracle=_profile_sql("orders", *_ORDER_COLUMNS))(lambda t: st.profile(t.select(*_ORDER_COLUMNS[0], *_ORDER_COLUMNS[1])).where(F.col("metric").isin(*_EXACT)))
 query("table_profile_full", "lineitem")(st.profile)
-_LINE_COLUMNS = (("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_NUM), ("l_returnflag", "l_linestatus"), ("l_shipdate",))
+_LINE_COLUMNS = (tuple(_NUM), ("l_returnflag", "l_linestatus"), ("l_shipdate",))
 
 
-def _exact_profile_sql(t: str, numeric: tuple[str, ...], strings: tuple[str, ...], others: tuple[str, ...]) -> str:
+def _exact_profile_sql(t: str, numeric: tuple[str, ...], strings: tuple[str, ...], others: tuple[str, ...], bins: bool = True) -> str:
     """Zero is added so that -0.0, which the tables hold, is 0.0."""
     counts = (("non_null_count", "count({c})"), ("null_count", "count(*) - count({c})"))
     numbers = (("mean", "avg({c})"), ("stddev", "stddev_samp({c})"), ("min", "min({c})"), ("max", "max({c})"))
     lengths = tuple((f"{m}_length", f"{f}(coalesce(length({{c}}), 0))") for m, f in (("mean", "avg"), ("stddev", "stddev_samp"), ("min", "min"), ("max", "max")))
     wanted = [(c, m, x) for cs, ms in (((*numeric, *strings, *others), counts), (numeric, numbers), (strings, lengths)) for c in cs for m, x in ms]
     parts = [f"SELECT '{c}' AS column_name, '{m}' AS metric, round(CAST({x.format(c=c)} AS DOUBLE), 4) + 0.0 AS value FROM {t}" for c, m, x in wanted]
-    parts += [f"SELECT column_name, 'bin ' || CAST(round(bin, 4) AS VARCHAR), CAST(count AS DOUBLE) FROM ({_hist_sql(t, c)})" for c in numeric]
+    parts += [f"SELECT column_name, 'bin ' || CAST(round(bin, 4) AS VARCHAR), CAST(count AS DOUBLE) FROM ({_hist_sql(t, c)})" for c in numeric if bins]
     return " UNION ALL ".join(parts)
 
 
-@query("table_profile_exact", "lineitem", oracle=_exact_profile_sql("lineitem", *_LINE_COLUMNS))
-def _profile_exact(t: DataFrame) -> DataFrame:
+def _exact_part(t: DataFrame) -> DataFrame:
     """All of the profile that is not an estimate: counts, moments and extremes of every column, and histograms."""
     return _rounded(st.profile(t).where(~F.col("metric").rlike("^(approx_distinct$|q[0-9]+$|item )")), "value", places=4)
 
 
+query("table_profile", "orders", oracle=_exact_profile_sql("orders", *_ORDER_COLUMNS))(_exact_part)
+query("table_profile_exact", "lineitem", oracle=_exact_profile_sql("lineitem", *_LINE_COLUMNS))(_exact_part)
+
+
+def _ranks_hold(t: DataFrame, found: DataFrame, numeric: list[str], probabilities: tuple[float, ...], error: float) -> DataFrame:
+    """(column_name, metric, within_bound): is the rank of each quantile (column_name, metric, value) what it should be, but for the error."""
+    marks = found.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "column_name", "metric"), "value"))).alias("marks"))
+    names = [(c, f"q{round(p * 100)}", p) for c in numeric for p in probabilities]
+    value = lambda c, m: F.element_at("marks", f"{c}|{m}")
+    ranks = t.crossJoin(F.broadcast(marks)).agg(*(x for c, m, _ in names for x in (F.count_if(F.col(c) < value(c, m)).alias(f"{c}|{m}|under"), F.count_if(F.col(c) <= value(c, m)).alias(f"{c}|{m}|upto"))), *(F.count(c).alias(f"{c}|n") for c in numeric))  # one row
+
+    def holds(c: str, m: str, p: float) -> Column:
+        n = F.col(f"`{c}|n`")
+        return (F.col(f"`{c}|{m}|under`") <= n * (p + error) + 1) & (F.col(f"`{c}|{m}|upto`") >= n * (p - error) - 1)
+
+    return ranks.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), holds(c, m, p).alias("within_bound")) for c, m, p in names))).alias("r")).select("r.*")
+
+
 @query("table_profile_bounds", "lineitem", oracle=" UNION ALL ".join(
     [f"SELECT '{c}' AS column_name, 'approx_distinct' AS metric, TRUE AS within_bound" for cs in _LINE_COLUMNS for c in cs]
     + [f"SELECT '{c}', 'q{round(p * 100)}', TRUE" for c in _LINE_COLUMNS[0] for p in st.PROBABILITIES]
@@ -316,16 +327,7 @@ def _profile_bounds(t: DataFrame) -> DataFrame:
     distinct = profile.where("metric = 'approx_distinct'").join(F.broadcast(exact), "column_name")
     distinct = distinct.select("column_name", "metric", (F.abs(F.col("value") - F.col("exact_distinct")) <= 3 * st.DISTINCT_ERROR * F.col("exact_distinct")).alias("within_bound"))
 
-    marks = profile.where(F.col("metric").rlike("^q[0-9]+$")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "column_name", "metric"), "value"))).alias("marks"))
-    names = [(c, f"q{round(p * 100)}", p) for c in numeric for p in st.PROBABILITIES]
-    value = lambda c, m: F.element_at("marks", f"{c}|{m}")
-    ranks = t.crossJoin(F.broadcast(marks)).agg(*(x for c, m, _ in names for x in (F.count_if(F.col(c) < value(c, m)).alias(f"{c}|{m}|under"), F.count_if(F.col(c) <= value(c, m)).alias(f"{c}|{m}|upto"))), *(F.count(c).alias(f"{c}|n") for c in numeric))  # one row
-
-    def holds(c: str, m: str, p: float) -> Column:
-        n = F.col(f"`{c}|n`")
-        return (F.col(f"`{c}|{m}|under`") <= n * (p + 1 / st.ACCURACY) + 1) & (F.col(f"`{c}|{m}|upto`") >= n * (p - 1 / st.ACCURACY) - 1)
-
-    quantiles = ranks.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), holds(c, m, p).alias("within_bound")) for c, m, p in names))).alias("r")).select("r.*")
+    quantiles = _ranks_hold(t, profile.where(F.col("metric").rlike("^q[0-9]+$")), numeric, st.PROBABILITIES, 1 / st.ACCURACY)
     items = profile.where("metric like 'item %'")
     due = st.frequent_items(t, frequent, 0.05).select("column_name", F.concat(F.lit("item "), "item").alias("metric"), "count")
     items = due.join(items, ["column_name", "metric"], "left").select("column_name", "metric", F.coalesce(F.col("value") == F.col("count"), F.lit(False)).alias("within_bound"))
@@ -415,6 +417,57 @@ def _custom(t: DataFrame) -> DataFrame:
     return st.aggregate_columns(t, ["l_quantity", "l_tax"], ["energy"])
 
 
+def _daily_states(t: DataFrame) -> DataFrame:
+    """States of five parts of lineitem, as of five days, written one beside the other."""
+    return written(mg.states(t.withColumn("day", F.col("l_orderkey") % 5), "day"))
+
+
+@query("profile_merged", "lineitem", oracle=_exact_profile_sql("lineitem", *_LINE_COLUMNS, bins=False))
+def _profile_merged(t: DataFrame) -> DataFrame:
+    """The profiles of five days, kept and merged: all that is exact, against the whole table."""
+    found = mg.finished(mg.merged(_daily_states(t)))
+    return _rounded(found.where(~F.col("metric").rlike("^(approx_distinct|q[0-9]+)$")), "value", places=4)
+
+
+@query("profile_merged_bounds", "lineitem", oracle=" UNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, 'approx_distinct' AS metric, TRUE AS within_bound" for cs in _LINE_COLUMNS for c in cs]
+    + [f"SELECT '{c}', 'q{round(p * 100)}', TRUE" for c in _LINE_COLUMNS[0] for p in mg.QUANTILES]
+    + [f"SELECT '{c}', 'item ' || CAST({c} AS VARCHAR), TRUE FROM lineitem GROUP BY {c} HAVING count(*) >= 0.05 * (SELECT count(*) FROM lineitem)" for c in (*_LINE_COLUMNS[1], "l_linenumber")]
+))
+def _merged_bounds(t: DataFrame) -> DataFrame:
+    """What is estimated in merged profiles, within the bounds of its sketches: distinct values, ranks of quantiles, and frequent items."""
+    columns, frequent = [c for cs in _LINE_COLUMNS for c in cs], [*_LINE_COLUMNS[1], "l_linenumber"]
+    whole = written(mg.merged(_daily_states(t)))
+    found = mg.finished(whole)
+    exact = st.aggregate_columns(t, columns, ["exact_distinct"])
+    distinct = found.where("metric = 'approx_distinct'").join(F.broadcast(exact), "column_name")  # a row a column
+    distinct = distinct.select("column_name", "metric", (F.abs(F.col("value") - F.col("exact_distinct")) <= 4 * mg.DISTINCT_ERROR * F.col("exact_distinct") + 1).alias("within_bound"))
+    quantiles = _ranks_hold(t, found.where(F.col("metric").rlike("^q[0-9]+$")), list(_LINE_COLUMNS[0]), mg.QUANTILES, mg.RANK_ERROR)
+    due = st.frequent_items(t, frequent, 0.05).select("column_name", "item", F.col("count").alias("exact"))
+    items = due.join(mg.frequent(whole), ["column_name", "item"], "left").select("column_name", F.concat(F.lit("item "), "item").alias("metric"), F.coalesce(F.col("count") == F.col("exact"), F.lit(False)).alias("within_bound"))
+    return st.union_metrics(distinct, quantiles, items)
+
+
+def _add(state, values):
+    import pyarrow.compute as pc
+
+    v = pc.drop_null(values.cast("float64"))
+    v = v.filter(pc.not_equal(v, 0.0))
+    return {"n": state["n"] + len(v), "s": state["s"] + (pc.sum(pc.divide(1.0, v)).as_py() or 0.0)}
+
+
+#: An aggregator that Spark lacks, folded in Python: the harmonic mean of values that are not 0.
+HARMONIC = mg.Folding("struct<n:bigint,s:double>", lambda: {"n": 0, "s": 0.0}, _add, lambda a, b: {"n": a["n"] + b["n"], "s": a["s"] + b["s"]}, lambda s: s["n"] / s["s"] if s["s"] else None)
+
+
+@query("custom_folding", "lineitem", oracle=" UNION ALL ".join(f"SELECT '{c}' AS column_name, 'harmonic' AS metric, round(count(v) / sum(1 / v), 6) AS value FROM (SELECT nullif(CAST({c} AS DOUBLE), 0) AS v FROM lineitem)" for c in _NUM))
+def _folding(t: DataFrame) -> DataFrame:
+    """An aggregator of one's own over five days, each folded and kept, then merged."""
+    days = [written(mg.folded(t.where(F.col("l_orderkey") % 5 == d), _NUM, HARMONIC).withColumn("day", F.lit(d))) for d in range(5)]
+    kept = st.union_metrics(*days)
+    return _rounded(mg.finished_folds(mg.merged_folds(kept, HARMONIC), HARMONIC, "harmonic"), "value", places=6)
+
+
 _OWN = '[{"label":"corp_mail","type":"regex","patterns":["[a-z.0-9]+@mail[0-9]+[.]example[.]com"],"isEnabled":true},{"label":"off","type":"regex","patterns":["x"],"isEnabled":false}]'
 query("custom_label_set", "pii_cells", oracle=f"WITH {_PII} SELECT 'email_cell' AS column_name, 'corp_mail' AS label, count(CASE WHEN regexp_full_match(email_cell, '[a-z.0-9]+@mail[0-9]+[.]example[.]com') THEN 1 END) AS matches, count(*) - count(email_cell) AS nulls, count(*) AS total FROM x")(lambda t: se.label_counts(_cells(t), ["email_cell"], se.read_labels(_OWN)))
 query("custom_keyword_set", "column_list", oracle="SELECT DISTINCT column_name, 'money' AS label FROM column_list WHERE contains(column_name, 'amount') OR contains(column_name, 'price')")(lambda t: se.keyword_matches(t.select("column_name").distinct(), se.keyword_table(t.sparkSession, {"money": ["amount", "price"]})))
