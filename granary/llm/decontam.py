@@ -1,6 +1,10 @@
 """Benchmark decontamination: passages of documents within a quarter of a benchmark item's length in word edits.
 
-Items fall into bands of length. A window of a document is as long as a band's items. Windows that cannot match are
+Items of up to ``WHOLE`` words are looked for as they are. Longer ones are cut into parts of about fifty words: of a match within a quarter
+of the item's length, one part at least is within a quarter of its own. Parts that are found say where the item would lie (places are
+gathered by document, item and diagonal), and the whole item is verified there.
+
+Items (and parts) fall into bands of length. A window of a document is as long as a band's items. Windows that cannot match are
 left out by counting: e edits leave at least L - 1 - 2e of an item's word pairs, so a window with fewer pairs
 known from the band's items is no match. (The known pairs travel as a table of 2**18 bit masks, whatever the number of items.)
 
@@ -10,7 +14,10 @@ into step and their embeddings differ in few places. ``KEYS`` keys, each of ``BI
 those of the items. Pairs that meet are verified by the exact least edit distance of the item to any part of
 the window with its surroundings. Tests measure the recall of the sampling; it was over 0.99 for windows at the limit.
 
-Defined results: items under ``LEAST`` words, null or empty, match nothing, as do null, empty and blank texts. Letter case
+Items under ``LEAST`` words are too short to embed. They may have one edit at most, so one half of theirs (or all of it) stands in a match as it
+is: hashes of those few words are joined, and the least edit distance decides. This finds all matches.
+
+Defined results: null and empty items match nothing, as do null, empty and blank texts. Letter case
 A-Z and white space do not count. Rows with a null doc_id are kept. Rows alike in doc_id count together. Equal items all match.
 """
 
@@ -28,6 +35,8 @@ from .scratch import unused, written
 from .textkit import U64, blocks, mix, ngrams, salted, words
 
 LEAST = 8
+#: Items over WHOLE words are cut into parts of PART words at most.
+WHOLE, PART = 60, 48
 WALKS, KEYS, BITS = 6, 36, 2
 MASK_BITS = 18
 CELLS = 2_000_000
@@ -112,30 +121,53 @@ def distances(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _source(docs: DataFrame, name: str) -> DataFrame:
+    return docs.select(F.col(name).cast("bigint").alias(name), F.col("text").cast("string").alias("text")).where("text is not null")
+
+
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(first word, end) of the parts of an item of n words: of even size, and only one up to ``WHOLE`` words."""
+    k = 1 if n <= WHOLE else -(-n // PART)
+    ends = [n * i // k for i in range(k + 1)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, band, words, keys, pairs): of items that are long enough."""
+    """(item_id, whole, piece, first, size, band, words, keys, pairs): a row a part of each item that is long enough to embed, and for those of several
+    parts one of band -1 with all words. ``whole`` tells items of one id apart, ``piece`` their parts."""
+    kinds = {"whole": pa.int64(), "piece": pa.int64(), "first": pa.int32(), "size": pa.int32(), "band": pa.int32(), "words": pa.binary(), "keys": pa.list_(pa.int64()), "pairs": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("row", "band", "words", "keys", "pairs")}
-            for first, data, starts in blocks(batch.column("text")):
+            rows: list[tuple] = []
+            for begin, data, starts in blocks(batch.column("text")):
                 h, _, _, at = words(data, starts)
                 for k in range(len(starts) - 1):
                     w = h[at[k] : at[k + 1]]
                     if len(w) < LEAST:
                         continue
-                    band = band_of(len(w))
-                    rows["row"].append(first + k)
-                    rows["band"].append(band)
-                    rows["words"].append(w.tobytes())
-                    rows["keys"].append(keys(np.append(w, U64(0))[None, :], band)[0].view(np.int64))
-                    rows["pairs"].append(np.unique(ngrams(w, 2) >> U64(64 - MASK_BITS)).astype(np.int32))
-            ids = batch.column("item_id").take(pa.array(rows["row"], pa.int64()))
-            kinds = {"band": pa.int32(), "words": pa.binary(), "keys": pa.list_(pa.int64()), "pairs": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(rows[k], t) for k, t in kinds.items())], names=["item_id", *kinds])
+                    whole = _identity(w)
+                    parts = parts_of(len(w))
+                    for a, b in parts:
+                        x, band = w[a:b], band_of(b - a)
+                        piece = int(mix(np.array([whole], np.int64).view(U64) + U64(a))[0].view(np.int64))
+                        rows.append((begin + k, whole, piece, a, len(w), band, x.tobytes(), keys(np.append(x, U64(0))[None, :], band)[0].view(np.int64), np.unique(ngrams(x, 2) >> U64(64 - MASK_BITS)).astype(np.int32)))
+                    if len(parts) > 1:
+                        rows.append((begin + k, whole, whole, 0, len(w), -1, w.tobytes(), [], []))
+            ids = batch.column("item_id").take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values(), 1))], names=["item_id", *kinds])
+
+    return _source(benchmark, "item_id").mapInArrow(run, "item_id bigint, whole bigint, piece bigint, first int, size int, band int, words binary, keys array<bigint>, pairs array<int>")
+
+
+def _identity(w: np.ndarray) -> int:
+    """A hash of a sequence of words."""
+    return int(mix(np.array([(mix(w + np.arange(len(w), dtype=U64))).sum(dtype=U64)], U64))[0].view(np.int64))
 
-    source = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return source.mapInArrow(run, "item_id bigint, band int, words binary, keys array<bigint>, pairs array<int>")
+
+def _version(w: np.ndarray) -> int:
+    """Tells texts of one doc_id apart."""
+    return int(mix(w.sum(dtype=U64, keepdims=True))[0].view(np.int64))
 
 
 def _texts_at(at: np.ndarray, places: np.ndarray, wide: int) -> list[int]:
@@ -188,7 +220,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
                         offset = np.arange(len(good)) - np.maximum.accumulate(np.where(new, np.arange(len(good)), 0))
                         p = good[(offset % stride == 0) | np.r_[new[1:], True]]
                         padded = np.concatenate([w, np.zeros(hi + 1, U64)])
-                        version = mix(w.sum(dtype=U64, keepdims=True))[0].view(np.int64)
+                        version = _version(w)
                         parts = [w[max(0, q - around) : q + hi + around].tobytes() for q in p.tolist()]
                         waiting.setdefault(band, []).append((np.full(len(p), ids[first + k]), p, np.full(len(p), version), parts, padded[p[:, None] + np.arange(hi + 1)]))
                         if sum(len(x[1]) for x in waiting[band]) >= 4096:
@@ -204,39 +236,124 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         columns = [pa.array(ids), pa.array(p), pa.array(version), pa.array(np.full(len(p), band, np.int32)), pa.array([y for x in found for y in x[3]], pa.binary()), lists]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "version", "band", "words", "keys"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    return source.mapInArrow(run, "doc_id bigint, place bigint, version bigint, band int, words binary, keys array<bigint>")
+    return _source(docs, "doc_id").where("doc_id is not null and text <> ''").mapInArrow(run, "doc_id bigint, place bigint, version bigint, band int, words binary, keys array<bigint>")
+
+
+def _verified(pairs: DataFrame, *own: str) -> DataFrame:
+    """(own, distance) of the pairs (own, words, item) that match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.add(*(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) // 8 for c in ("item", "words")))
+            at = 0
+            while at < len(batch):  # so many pairs at a time that their tables hold ``CELLS`` words
+                n = np.arange(1, min(512, len(batch) - at) + 1)
+                fits = int((np.maximum.accumulate(cells[at : at + 512]) * n <= CELLS).sum())
+                part = batch.slice(at, max(1, fits))
+                at += len(part)
+                items, parts = ([np.frombuffer(x, U64) for x in part.column(c).to_pylist()] for c in ("item", "words"))
+                d = distances(items, parts)
+                ok = pa.array(d <= np.array([allowed(len(x)) for x in items]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(d)], names=[*own, "distance"]).filter(ok)
 
+    return pairs.select(*own, "words", "item").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in own), "distance int"]))
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells = np.add(*(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) // 8 for c in ("item", "words")))
-        at = 0
-        while at < len(batch):  # so many pairs at a time that their tables hold ``CELLS`` words
-            n = np.arange(1, min(512, len(batch) - at) + 1)
-            fits = int((np.maximum.accumulate(cells[at : at + 512]) * n <= CELLS).sum())
-            part = batch.slice(at, max(1, fits))
-            at += len(part)
-            items, parts = ([np.frombuffer(x, U64) for x in part.column(c).to_pylist()] for c in ("item", "words"))
-            d = distances(items, parts)
-            ok = pa.array(d <= np.array([allowed(len(x)) for x in items]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), pa.array(d)], names=["doc_id", "item_id", "distance"]).filter(ok)
+
+def _regions(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, whole, words): of documents where parts of long items were found, the words where the whole items would lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, data, starts in blocks(batch.column("text")):
+                h, _, _, at = words(data, starts)
+                rows: list[tuple] = []
+                for k in range(len(starts) - 1):
+                    w = h[at[k] : at[k + 1]]
+                    version = _version(w) if len(w) else 0
+                    for x in batch.column("hits")[begin + k].as_py():
+                        if x["version"] == version:
+                            slack = allowed(x["size"]) + 3 * PART
+                            rows.append((batch.column("doc_id")[begin + k].as_py(), x["item_id"], x["whole"], w[max(0, x["low"] - slack) : max(0, x["high"] + x["size"] + slack)].tobytes()))
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "whole", "words"])
+
+    # parts whose places agree but for the item's edits lie on one diagonal
+    near = F.floor(F.col("start") / (F.floor(F.col("size") / 4) + 3 * PART))
+    places = hits.groupBy("doc_id", "version", "item_id", "whole", "size", near.alias("near")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("version", "item_id", "whole", "size", "low", "high")).alias("hits"))  # at most a document's own length over 64 for each item
+    return _source(docs, "doc_id").join(listed, "doc_id").mapInArrow(run, "doc_id bigint, item_id bigint, whole bigint, words binary")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance): items that documents hold, with the fewest word edits."""
     items = written(_items(benchmark))
-    windows = written(_windows(docs, items))
-    of_items = items.select(F.explode("keys").alias("key"), "item_id").distinct()
+    pieces, long = items.where("band >= 0"), items.where("band < 0").select("item_id", "whole", F.col("words").alias("item"))
+    windows = written(_windows(docs, pieces))
+    of_items = pieces.select(F.explode("keys").alias("key"), "item_id", "piece").distinct()
     if items.count() <= MAX_SENT:
         of_items = F.broadcast(of_items)
     own = ["doc_id", "version", "place", "band"]
-    met = windows.select(*own, F.explode("keys").alias("key")).join(of_items, "key").select(*own, "item_id").distinct()
-    pairs = met.join(windows.select(*own, "words"), own).join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    found = pairs.select("doc_id", "item_id", "words", "item").mapInArrow(_verify, "doc_id bigint, item_id bigint, distance int")
+    met = windows.select(*own, F.explode("keys").alias("key")).join(of_items, "key").select(*own, "item_id", "piece").distinct()
+    of_piece = pieces.select("item_id", "piece", "whole", F.col("first").cast("bigint").alias("first"), F.col("size").cast("bigint").alias("size"), F.col("words").alias("item"))
+    pairs = met.join(windows.select(*own, "words"), own).join(of_piece, ["item_id", "piece"])
+    out = [_verified(pairs.where(F.col("size") <= WHOLE), "doc_id", "item_id")]
+    if not long.isEmpty():
+        hits = _verified(pairs.where(F.col("size") > WHOLE).withColumn("start", F.col("place") - F.col("first")), "doc_id", "version", "item_id", "whole", "size", "start")
+        out.append(_verified(_regions(docs, hits).join(long, ["item_id", "whole"]), "doc_id", "item_id"))
+    short = written(_short_items(benchmark))
+    if not short.isEmpty():
+        out.append(_verified(_short_places(docs, short), "doc_id", "item_id"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
+def _short_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, grams, key, item): items under ``LEAST`` words by the words that stand in every match as they are, or in every one where the others do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for begin, data, starts in blocks(batch.column("text")):
+                h, _, _, at = words(data, starts)
+                for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < LEAST)).tolist():
+                    w = h[at[k] : at[k + 1]]
+                    halves = [w] if allowed(len(w)) == 0 else [w[: len(w) // 2], w[len(w) // 2 :]]
+                    rows += [(begin + k, len(x), int(ngrams(x, len(x))[0].view(np.int64)), w.tobytes()) for x in halves]
+            ids = batch.column("item_id").take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()), 1))], names=["item_id", "grams", "key", "item"])
+
+    return _source(benchmark, "item_id").mapInArrow(run, "item_id bigint, grams int, key bigint, item binary")
+
+
+def _short_places(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, item_id, words, item): places of documents that hold such words of an item. What is known of the items in each task are 2**18 bit masks."""
+    known = short.groupBy(F.shiftrightunsigned("key", 64 - MASK_BITS).cast("int").alias("bits")).agg(F.expr("bit_or(shiftleft(1, grams))").alias("mask")).collect()  # 2**MASK_BITS rows at most
+    mask = np.zeros(1 << MASK_BITS, np.int32)
+    for r in known:
+        mask[r["bits"]] = r["mask"]
+    share, sizes = docs.sparkSession.sparkContext.broadcast(mask), range(1, LEAST // 2 + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = share.value
+        for batch in batches:
+            for begin, data, starts in blocks(batch.column("text")):
+                h, _, _, at = words(data, starts)
+                ids = batch.column("doc_id").slice(begin, len(starts) - 1)
+                for grams in sizes:
+                    keys = ngrams(h, grams)
+                    p = np.flatnonzero(mask[(keys >> U64(64 - MASK_BITS)).astype(np.int64)] >> grams & 1)
+                    text = np.searchsorted(at, p, side="right") - 1
+                    p, text = p[p + grams <= at[text + 1]], text[p + grams <= at[text + 1]]
+                    around = [h[max(a, q - LEAST) : min(b, q + 2 * LEAST)].tobytes() for q, a, b in zip(p.tolist(), at[text].tolist(), at[text + 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(np.full(len(p), grams, np.int32)), pa.array(keys[p].view(np.int64)), pa.array(around, pa.binary())], names=["doc_id", "grams", "key", "words"])
+
+    places = _source(docs, "doc_id").where("doc_id is not null and text <> ''").mapInArrow(run, "doc_id bigint, grams int, key bigint, words binary")
+    few = F.broadcast(short) if short.count() <= MAX_SENT else short
+    return places.join(few, ["grams", "key"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows with a null doc_id are kept."""
     leak = unused(docs, "leak")

@@ -149,6 +149,48 @@ def test_decontamination_recall_and_precision(spark, sf):
     assert not any(d >= 1000 for d, _ in got)
 
 
+def test_items_of_every_length(spark):
+    """Verbatim copies are certain at every length; at the limit of edits nearly all are found."""
+    rnd = random.Random(8)
+    word = lambda: f"v{rnd.randint(0, 4000)}"
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 40, 59, 60, 61, 75, 96, 130, 400, 1600, 5000]
+    items, docs, verbatim, edited, number = [], [], [], [], 0
+    for n in sizes:
+        for _ in range(20 if n < 1000 else 5):
+            item = [f"i{number}n{n}", *(word() for _ in range(n - 1))][:n] if n > 1 else [f"only{number}"]
+            items.append((number, " ".join(item)))
+            copy = list(item)
+            spots = rnd.sample(range(n), n // 4)
+            for p in sorted(spots, reverse=True):
+                copy[p : p + 1] = rnd.choice([[], ["zz"], [copy[p], "yy"]])
+            for w, to in ((item, verbatim), (copy, edited)):
+                before, after = ([word() for _ in range(rnd.randint(0, 300))] for _ in range(2))
+                to.append((len(docs), number))
+                docs.append((len(docs), " ".join([*before, *w, *after])))
+            number += 1
+    clean = [(10**6 + i, " ".join(word() for _ in range(800))) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(spark.createDataFrame(docs + clean, "doc_id long, text string").repartition(8), bench).collect()}
+    texts, wanted, length = dict(docs), dict(items), {i: len(t.split()) for i, t in items}
+    assert [x for x in verbatim if got.get(x) != 0] == []
+    for n in sizes:
+        due = [x for x in edited if length[x[1]] == n]
+        assert sum(x in got for x in due) >= 0.95 * len(due), n
+    for (d, i), x in got.items():
+        if length[i] <= 130:
+            assert x <= length[i] // 4 and x == edit_distance(wanted[i].split(), texts[d].split())
+    assert not any(d >= 10**6 and length[i] >= 8 for d, i in got)
+
+
+def test_short_items_equal_brute_force(spark):
+    rnd = random.Random(5)
+    items = [(i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 7)))) for i in range(40)] + [(40, None), (41, " ")]
+    docs = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 14)))) for i in range(60)]
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    due = {(d, i): x for d, t in docs for i, w in items if w and w.split() and (x := edit_distance(w.split(), t.split())) <= len(w.split()) // 4}
+    assert got == due
+
+
 def test_decontamination_odd(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
     rows = decontam.op6_decontamination(odd_docs, bench).collect()
