@@ -9,8 +9,8 @@ and script, so the format stays; octets stay octets; a card number that passes i
 domains, IBAN countries and the fixed head of an access key stay. A given name becomes a name of the gender that its title tells and
 of its script. Surrogates that coincide with each other, or with any real entity, are drawn again until none do: this
 keeps different people different, and the same person the same (each mention then gets its own spacing and case back).
-Where a format is so full of real entities that ``WIDE`` draws do not do, it widens: octets may then have any width, and other
-values gain a letter or digit for every ``WIDE`` draws (cards, whose formats do not fill up, do not).
+Where a format is so full of real entities that ``WIDE`` draws do not do, it widens: octets may then have any width (and after
+as many draws more there is a fifth), and other values gain a letter or digit for every ``WIDE`` draws.
 
 Entities are counted and checked as grouped and joined tables; the distinct ones are shuffled, never collected.
 
@@ -50,7 +50,7 @@ _GIVEN = {
 }
 # letters and digits of a class, and what they may become
 _CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "áéíóúàèìòùäëïöüâêîôû", "ÁÉÍÓÚÀÈÌÒÙÄËÏÖÜÂÊÎÔÛ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
-MAX_DRAWS, WIDE = 200, 12
+WIDE = 12
 
 
 def mentions(text: Column) -> Column:
@@ -106,8 +106,8 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     digits = letters("0123456789012345")
     return (
         F.when(kind == "email", F.concat(letters("bcdfghjklmnpqrst"), mail))
-        .when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(card))
-        .when(kind == "ip", octets)
+        .when(kind == "card", F.concat(F.when(_luhn(canon) == 0, checked).otherwise(card), digits))
+        .when(kind == "ip", F.concat(octets, F.when(draw >= 2 * WIDE, F.concat(F.lit("."), F.pmod(drawn(F.lit(99)), F.lit(256)).cast("string"))).otherwise("")))
         .when(kind == "key", F.concat(_drawn(key, kind, canon, draw, lambda i: i < 4), letters("BCDFGHJKLMNPQRST")))
         .when(kind == "iban", F.concat(_drawn(key, kind, canon, draw, lambda i: i < 2), digits))
         .when(kind == "name", F.concat(name, F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), letters("бвгджзклмнпрстфх")).otherwise(letters("bcdfghjklmnpqrst"))))
@@ -135,19 +135,24 @@ def rendered(kind: Column, mention: Column, canon: Column, value: Column) -> Col
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, value) for distinct (kind, canon): no two values alike within a kind, and none a real entity."""
-    now = written(entities.select("kind", "canon").distinct().withColumn("draw", F.lit(0)).withColumn("value", surrogate(key, F.col("kind"), F.col("canon"), F.col("draw"))))
-    real = now.select(F.col("kind").alias("rk"), F.col("canon").alias("rc"))
-    for _ in range(MAX_DRAWS):
-        rank = F.row_number().over(Window.partitionBy("kind", "value").orderBy("draw", "canon"))  # coinciding draws, few
-        judged = now.withColumn("rank", rank).join(real, (F.col("kind") == F.col("rk")) & (F.col("value") == F.col("rc")), "left")
-        lost = (F.col("rank") > 1) | F.col("rc").isNotNull()
-        again = judged.select("kind", "canon", (F.col("draw") + lost.cast("int")).alias("draw"), F.when(~lost, F.col("value")).alias("value"))
-        now = written(again.withColumn("bad", F.col("value").isNull()).withColumn("value", F.coalesce("value", surrogate(key, F.col("kind"), F.col("canon"), F.col("draw")))))
-        if now.where("bad").isEmpty():
-            return now.select("kind", "canon", "value")
-        now = now.drop("bad")
-    raise ValueError("some entities have no free surrogate, even in wider formats")
+    """(kind, canon, value) for distinct (kind, canon): no two values alike within a kind, and none a real entity.
+
+    Of coinciding draws the first by canon stands, and what stands is never touched again: a further round draws only for those that lost, few as they
+    are, and holds them against the real entities and all values that stand. Formats widen with the number of draws, so some round is the last."""
+    real = written(entities.select("kind", "canon").distinct())
+    names, stand, rows = real.select(F.col("kind").alias("rk"), F.col("canon").alias("rc")), [], real.withColumn("draw", F.lit(0))
+    while True:
+        drawn = rows.withColumn("value", surrogate(key, F.col("kind"), F.col("canon"), F.col("draw")))
+        judged = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "value").orderBy("canon")))
+        used = reduce(DataFrame.unionByName, [names, *(s.select(F.col("kind").alias("rk"), F.col("value").alias("rc")) for s in stand)]).distinct() if stand else names
+        judged = judged.join(used, (F.col("kind") == F.col("rk")) & (F.col("value") == F.col("rc")), "left")
+        judged = written(judged.select("kind", "canon", "draw", "value", ((F.col("rank") > 1) | F.col("rc").isNotNull()).alias("lost")))
+        stand.append(judged.where("not lost").select("kind", "canon", "value"))
+        if len(stand) > 16:
+            stand = [written(reduce(DataFrame.unionByName, stand))]
+        if judged.where("lost").isEmpty():
+            return reduce(DataFrame.unionByName, stand)
+        rows = judged.where("lost").select("kind", "canon", (F.col("draw") + 1).alias("draw"))
 
 
 def replace_pii(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:

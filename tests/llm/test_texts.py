@@ -304,6 +304,17 @@ def test_full_formats_widen(spark):
     assert re.fullmatch(r"password: (?!password)[a-z]{8} token=\"(?!token123)[a-z]{5}\d{3}\"", text), text
 
 
+def test_crowded_formats_end(spark):
+    """Cards, addresses and secrets far beyond what their formats hold get distinct surrogates, and none of a real entity, without an end to the draws."""
+    rows = [("secret", f"{c}") for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("card", f"4{d:02d}") for d in range(100)] + [("ssn", f"{d:02d}") for d in range(100)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "key").collect()
+    for kind in ("secret", "card", "ssn"):
+        values, real = [r.value for r in got if r.kind == kind], {c for k, c in rows if k == kind}
+        assert len(values) == len(set(values)) == len(real) and not set(values) & real
+    far = spark.createDataFrame([("ip", "1.2.3.4")], "kind string, canon string").select(pii.surrogate("k", F.col("kind"), F.col("canon"), F.lit(2 * pii.WIDE)).alias("v")).first().v
+    assert re.fullmatch(r"\d+(\.\d+){4}", far)
+
+
 def test_pii_against_plain_replacer(spark, sf):
     """Over the real documents: what stands between mentions is untouched, equal entities have one surrogate, different ones different ones."""
     import regex
