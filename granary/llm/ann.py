@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,7 @@ def neighbour_graph(nodes: DataFrame, p: Params = Params()) -> DataFrame:
     halves = written(v.mapInArrow(_halves, "node bigint, half binary"))
     runs = halves.mapInArrow(_codes(p.seed, p.orders), "turn int, code bigint, node bigint, half binary")
     first = runs.repartitionByRange("turn", "code", "node").sortWithinPartitions("turn", "code", "node").mapInArrow(_nearest_in_run(p.run, p.degree), "node bigint, near bigint, dist float")
-    graph = written(_merged(first.withColumn("age", F.lit(1)), p.degree))
+    graph = kept = written(_merged(first.withColumn("age", F.lit(1)), p.degree))
     for turn in range(p.rounds):
         radius = graph.groupBy("node").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).select(F.col("node").alias("near"), F.when(F.col("n") < p.degree, float("inf")).otherwise(F.col("far")).cast("float").alias("radius"))
         out = graph.select(F.col("node").alias("centre"), "near", (F.col("age") == 1).alias("fresh"))
@@ -202,10 +202,12 @@ def neighbour_graph(nodes: DataFrame, p: Params = Params()) -> DataFrame:
         old = graph.join(met, ["node", "near"], "left").select("node", "near", "dist", F.when(F.col("met"), 0).otherwise(F.col("age")).alias("age"))
         pairs = old.union(proposals.withColumn("age", F.lit(2)))
         merged = written(_merged(pairs, p.degree))
-        changed = merged.where("age = 2").count()
+        discard(kept)
+        kept, changed = merged, merged.where("age = 2").count()
         graph = merged.withColumn("age", F.least("age", F.lit(1)))
         if changed <= p.settled * max(1, merged.count()):
             break
+    discard(halves)
     return graph
 
 
@@ -220,8 +222,9 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, p: Params = Params()) -> DataFrame:
     """(query, node, score): the pool of each query of (query, start, qvec); start is the node to begin at."""
-    both = graph.select("node", "near").union(graph.select(F.col("near").alias("node"), F.col("node").alias("near")))
-    lists = both.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("near")))).where(F.col("rank") <= 3 * p.degree)
+    both = graph.select("node", "near", F.lit(0).alias("reverse")).union(graph.select(F.col("near").alias("node"), F.col("node").alias("near"), F.lit(1).alias("reverse")))
+    both = both.groupBy("node", "near").agg(F.min("reverse").alias("reverse"))  # a node's own neighbours are kept, those it is a neighbour of are thinned
+    lists = both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("reverse", F.xxhash64("near")))).where(F.col("rank") <= 3 * p.degree)
     lists = written(lists.groupBy("node").agg(F.collect_list("near").alias("near")))
     vec = nodes.select("node", F.col("vec").cast("array<double>").alias("vec"))
     entries = nodes.select("node").orderBy(F.xxhash64(F.lit(p.seed), "node")).limit(8)
@@ -236,13 +239,16 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, p: Pa
         turn = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("open"), "score", "node"))
         ranked = pool.withColumn("next", F.col("open") & (turn <= p.expand))
         ranked = written(ranked)
+        discard(pool)
         found = ranked.where("next").join(lists, "node").select("query", F.explode("near").alias("node")).distinct()
         fresh = found.join(ranked.select("query", "node"), ["query", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "node"))
         rows = ranked.select("query", "node", "score", (F.col("open") & ~F.col("next")).alias("open")).union(measured(fresh).withColumn("open", F.lit(True)))
         pool = written(rows.withColumn("rank", rank).where(F.col("rank") <= p.pool).drop("rank"))
+        discard(ranked)
         if pool.where("open").isEmpty():
             break
+    discard(lists)
     return pool.select("query", "node", "score")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,6 +23,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         step = labels.join(near, F.col("node") == F.col("n1")).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         up = step.select(F.col("node").alias("n2"), F.col("label").alias("above"))
         new = written(step.join(up, F.col("label") == F.col("n2"), "left").select("node", "old", F.coalesce(F.least("label", "above"), "label").alias("label")))
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if new.where("label < old").isEmpty():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import named, written
+from .scratch import discard, named, written
 from .textkit import U64, mix, salted, shingle_sets
 
 MAX_PARTS = 28
@@ -435,17 +435,20 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     met = written(met.groupBy("a", "b").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")))
     best = met.where("hot > 0").groupBy("b").agg(F.max(F.struct("hot", "a")).alias("x")).select("x.a", "b")
     tried = written(_plausible_pairs(met.where("cold > 0").select("a", "b").union(best).distinct(), nodes, percent))
-    links = written(_linked(tried, docs, n, percent))
+    checked, links = [tried], written(_linked(tried, docs, n, percent))
     named = written(classes(links))
     texts = _texts_of(_mixed(met.where("hot > 0").select("a", "b"), named), docs)
     grams = written(_prefixes(texts, n, percent))
+    discard(met)
     for meet in (*(_to_first(percent, k) for k in FIRST), _across(percent)):
         more = _dealt(grams, named).mapInArrow(meet, "a bigint, b bigint").distinct()
         more = written(_plausible_pairs(more, nodes, percent).join(tried, ["a", "b"], "left_anti"))
+        checked.append(more)
         fresh = written(_linked(more, texts, n, percent))
         if not fresh.isEmpty():
             tried, links = tried.union(more), links.union(fresh)
             named = written(classes(links))
+    discard(grams, texts, *checked)
     out = rows.join(named.select("node", "component"), "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), links
 
