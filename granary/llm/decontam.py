@@ -101,12 +101,27 @@ def keys(x: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def distances(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
-    """Least edit distance of each item to any run of its part, by rows of the usual table for all pairs together."""
+def _side_by_side(items: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n, most, wide = len(items), max(map(len, items)), max(map(len, parts))
     a, b = np.zeros((n, most), U64), np.full((n, wide), 1, U64)
     for k, (x, y) in enumerate(zip(items, parts, strict=True)):
         a[k, : len(x)], b[k, : len(y)] = x, y
+    return a, b
+
+
+def lacking(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
+    """How many words of each item do not occur in its part at all: no edit distance is less."""
+    a, b = _side_by_side(items, parts)
+    lengths, out = np.array([len(x) for x in items]), np.zeros(len(items), np.int64)
+    for i in range(a.shape[1]):
+        out += (i < lengths) & ~(b == a[:, i : i + 1]).any(axis=1)
+    return out
+
+
+def distances(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
+    """Least edit distance of each item to any run of its part, by rows of the usual table for all pairs together."""
+    a, b = _side_by_side(items, parts)
+    n, most, wide = len(items), a.shape[1], b.shape[1]
     lengths = np.array([len(x) for x in items])
     cut = np.arange(wide + 1)[None, :] > np.array([len(y) for y in parts])[:, None]
     row, out, place = np.zeros((n, wide + 1), np.int32), np.zeros(n, np.int32), np.arange(wide + 1, dtype=np.int32)
@@ -252,8 +267,12 @@ def _verified(pairs: DataFrame, *own: str) -> DataFrame:
                 part = batch.slice(at, max(1, fits))
                 at += len(part)
                 items, parts = ([np.frombuffer(x, U64) for x in part.column(c).to_pylist()] for c in ("item", "words"))
-                d = distances(items, parts)
-                ok = pa.array(d <= np.array([allowed(len(x)) for x in items]))
+                most = np.array([allowed(len(x)) for x in items])
+                may = np.flatnonzero(lacking(items, parts) <= most)
+                d = np.full(len(items), 1 << 20, np.int32)
+                if len(may):
+                    d[may] = distances([items[i] for i in may], [parts[i] for i in may])
+                ok = pa.array(d <= most)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(d)], names=[*own, "distance"]).filter(ok)
 
     return pairs.select(*own, "words", "item").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in own), "distance int"]))
