@@ -366,14 +366,16 @@ def _match_sql(labels: dict[str, list[str]]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS label, count(CASE WHEN regexp_full_match({c}, '{'|'.join(p)}') THEN 1 END) AS matches, count(*) - count({c}) AS nulls, count(*) AS total FROM x" for c in _CELLS for k, p in labels.items())
 
 
-_MATCH = _match_sql(_TWO)
 _cells = lambda t: t.select(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in _CELLS))
-query("label_match_counts", "pii_cells", oracle=f"WITH {_PII} {_MATCH}")(lambda t: se.label_counts(_cells(t), _CELLS, _TWO))
+query("label_match_counts", "pii_cells", oracle=f"WITH {_PII} {_match_sql(_TWO)}")(lambda t: se.label_counts(_cells(t), _CELLS, _TWO))
 query("label_match_counts_all", "pii_cells", oracle=f"WITH {_PII} {_match_sql(se.PATTERNS)}")(lambda t: se.label_counts(_cells(t), _CELLS, se.PATTERNS))
-_PERCENT = f"{_PII}, m AS ({_MATCH}), p AS (SELECT *, CASE WHEN total > nulls THEN CAST(floor(matches * 100 / (total - nulls)) AS BIGINT) ELSE 0 END AS percent FROM m)"
-query("label_percent", "pii_cells", oracle=f"WITH {_PERCENT} SELECT * FROM p")(lambda t: se.label_percent(se.label_counts(_cells(t), _CELLS, _TWO)))
-query("label_decision", "pii_cells", oracle=f"WITH {_PERCENT} SELECT column_name, label, percent * 0.85 + CASE WHEN label = 'ipaddress' AND contains(column_name, 'ip') THEN 15 ELSE 0 END AS score, 'suggested' AS status FROM p WHERE percent * 0.85 + CASE WHEN label = 'ipaddress' AND contains(column_name, 'ip') THEN 15 WHEN label = 'email' AND contains(column_name, 'email') THEN 15 ELSE 0 END > 70".replace("percent * 0.85 + CASE WHEN label = 'ipaddress' AND contains(column_name, 'ip') THEN 15 ELSE 0 END AS", "CAST(percent * 0.85 + CASE WHEN label = 'ipaddress' AND contains(column_name, 'ip') THEN 15 WHEN label = 'email' AND contains(column_name, 'email') THEN 15 ELSE 0 END AS DOUBLE) AS"))(
-    lambda t: se.label_decisions(se.label_percent(se.label_counts(_cells(t), _CELLS, _TWO)), se.keyword_matches(t.sparkSession.createDataFrame([(c,) for c in _CELLS], "column_name string"), se.keyword_table(t.sparkSession)))
+_PERCENT = f"{_PII}, m AS ({_match_sql(se.PATTERNS)}), p AS (SELECT *, CASE WHEN total > nulls THEN CAST(floor(matches * 100 / (total - nulls)) AS BIGINT) ELSE 0 END AS percent FROM m)"
+_TOKENS = ", ".join(f"('{k}', '{t}')" for k, ts in se.KEYWORDS.items() for t in ts)
+query("label_percent", "pii_cells", oracle=f"WITH {_PERCENT} SELECT * FROM p")(lambda t: se.label_percent(se.label_counts(_cells(t), _CELLS, se.PATTERNS)))
+query("label_decision", "pii_cells", oracle=f"""WITH {_PERCENT}, k(label, token) AS (VALUES {_TOKENS}),
+s AS (SELECT column_name, label, CAST(percent * 0.85 + CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.label = p.label AND contains(p.column_name, k.token)) THEN 15 ELSE 0 END AS DOUBLE) AS score FROM p)
+SELECT column_name, label, score, 'suggested' AS status FROM s WHERE score > 70""")(
+    lambda t: se.label_decisions(se.label_percent(se.label_counts(_cells(t), _CELLS, se.PATTERNS)), se.keyword_matches(t.sparkSession.createDataFrame([(c,) for c in _CELLS], "column_name string"), se.keyword_table(t.sparkSession)))
 )
 _SENS = [("database",), ("database", "label"), ("table_name",), ("table_name", "label")]
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import audit as au
-from granary.operators import ranks
+from granary.operators import catalog, ranks
 from granary.sources import stores
 from granary.sources.scratch import fresh_dir
 from granary.streaming import streams
@@ -160,3 +160,20 @@ def test_places_and_tiles(spark, n):
     tiles = au.activity_tiles(audit, 10)
     tiles.createOrReplaceTempView("tiles")
     assert spark.sql("SELECT * FROM (SELECT tile, ntile(10) OVER (ORDER BY count, htable) AS t FROM tiles) WHERE tile <> t").collect() == [] and tiles.count() == n
+
+
+def test_inventory_reads_the_catalog(spark, sf):
+    db = "granary_inventory_test"
+    spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+    spark.sql(f"CREATE DATABASE {db}")
+    try:
+        spark.read.parquet(f"{sf}/nation.parquet").write.saveAsTable(f"{db}.nation")
+        spark.read.parquet(f"{sf}/nation.parquet").write.partitionBy("n_regionkey").saveAsTable(f"{db}.by_region")
+        spark.sql(f"CREATE VIEW {db}.some AS SELECT 1 AS x")
+        spark.sql(f"ANALYZE TABLE {db}.nation COMPUTE STATISTICS")
+        got = {r.table: r for r in catalog.inventory(spark, [db]).collect()}
+        assert set(got) == {"nation", "by_region", "some"} and all(abs((r.createTime - dt.date.today()).days) <= 1 for r in got.values())
+        assert (got["nation"].numRows, got["nation"].numPartitions, got["by_region"].numPartitions) == (25, 0, 5) and got["nation"]["size"] > 0 and got["by_region"].numRows is None
+        assert len(catalog.inventory(spark, [db, "default"]).collect()) >= 3
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
