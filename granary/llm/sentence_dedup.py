@@ -20,10 +20,15 @@ first. Rows with one doc_id count as one document and are treated by their own t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import let, named, unused, written
+from .textkit import _BASE, _INVERSE, U64, blocks, mix, powers, salted
 
 LEAST = 20
 _ENDS = r".!?,;:\n"
@@ -34,44 +39,87 @@ def pieces(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(rf"([^{_ENDS}]*+[{_ENDS}]*+\s*+)"), F.lit(1)), lambda x: x != "")
 
 
-def span_hashes(parts: Column, least: int) -> Column:
-    """(h, lo, hi) of the span from each piece, in order: 64-bit hash, first and last piece."""
-
-    def spans(plain: Column) -> Column:
-        def enough(a: Column) -> Column:
-            return (a["words"] >= least) & (a["size"] >= 2)
-
-        def span(p: Column) -> Column:
-            # every piece counts as a word at least, so ``least`` of them are enough (and two, if that is one)
-            some = F.slice(plain, p + 1, max(least, 2))
-            more = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + _words(x)).alias("words"), (a["size"] + 1).alias("size")))
-            size = F.aggregate(some, F.struct(F.lit(0).alias("words"), F.lit(0).alias("size")), more, lambda a: F.when(enough(a), a["size"]))
-            return let(size, lambda k: F.struct(F.when(k.isNotNull(), F.xxhash64(F.array_join(F.slice(plain, p + 1, k), " "))).alias("h"), p.alias("lo"), (p + k - 1).alias("hi")))
-
-        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(plain) - 1), span), lambda r: r["h"].isNotNull())
-        rest = lambda lo: F.array(F.struct(F.xxhash64(F.array_join(F.slice(plain, lo + 1, F.size(plain)), " ")).alias("h"), lo.alias("lo"), (F.size(plain) - 1).alias("hi")))
-        last = lambda x: F.element_at(x, -1)
-        every = lambda x: F.when(last(x)["hi"] < F.size(plain) - 1, F.concat(x, rest(last(x)["lo"]))).otherwise(x)
-        return let(found, lambda x: F.when(F.size(x) > 0, F.array_sort(every(x))).otherwise(rest(F.lit(0))))
-
-    return let(F.transform(parts, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), spans)
-
-
-def _words(plain: Column) -> Column:
-    return F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
+_WHITE, _PURE = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_PURE[[ord(c) for c in ".!?,;:"]] = True
+_BYTE = salted(256, 79)
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """First byte of every piece of texts that follow each other, each with a space behind it; as ``pieces`` has them."""
+    i = np.arange(len(data))
+    white, newline = _WHITE[data], data == 10
+    begin = np.repeat(starts[:-1], np.diff(starts))  # of each byte its text
+    before = lambda mark: np.r_[-1, np.maximum.accumulate(np.where(mark, i, -1))[:-1]]  # noqa: E731  the last such byte before each
+    other, space, line = before(~white), before(white & ~newline), before(newline)
+    inside = other >= begin  # else nothing but white space stands before it in its text
+    closed = inside & _PURE[data[np.maximum(other, 0)]]
+    other = np.where(inside, other, begin - 1)
+    coming = np.r_[np.minimum.accumulate(np.where(newline, i, len(data))[::-1])[::-1], len(data)]  # the first newline from each byte on
+    # punctuation and the newlines after it end a piece, which takes the white space behind; more punctuation after that white space is a piece of its own
+    new = np.where(_PURE[data], np.where(closed, space > other, coming[other + 1] < space), closed | (line > other)) & ~white
+    new[starts[:-1]] = True
+    return np.flatnonzero(new)
+
+
+def spans_of(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(text, hash, first piece, last piece) of the span from each piece, and of the rests, of lower-cased texts that are not blank."""
+    first = piece_starts(data, starts)
+    at = np.searchsorted(first, starts)  # of each text its first piece
+    solid = np.flatnonzero(~_WHITE[data])
+    piece = np.searchsorted(first, solid, "right") - 1
+    gap = np.zeros(len(solid), np.int64)  # white space between words of a piece is one space, and one stands between pieces
+    gap[1:] = (np.diff(solid) > 1) & (np.diff(piece) == 0)
+    plain = np.full(len(solid) + int(gap.sum()) + len(first), 0x20, np.uint8)
+    plain[np.arange(len(solid)) + np.cumsum(gap) + piece] = data[solid]
+    gaps = np.bincount(piece, gap, len(first)).astype(np.int64)
+    begin = np.append(0, np.cumsum(np.bincount(piece, minlength=len(first)) + gaps + 1))
+    words = np.append(0, np.cumsum(gaps + 1))
+
+    lo = np.arange(len(first))
+    last = np.repeat(at[1:] - 1, np.diff(at))
+    hi = np.maximum(np.searchsorted(words, words[:-1] + least) - 1, lo + 1)
+    good = hi <= last
+    final = np.zeros(len(at) - 1, np.int64)  # the last piece from which a span starts, if any
+    np.maximum.at(final, np.searchsorted(at, lo[good], "right") - 1, lo[good])
+    has = np.zeros(len(at) - 1, bool)
+    has[np.searchsorted(at, lo[good], "right") - 1] = True
+    rest = np.where(has, final, at[:-1])
+    more = ~has | (hi[np.minimum(rest, len(hi) - 1)] < at[1:] - 1)
+    lo, hi = np.concatenate([lo[good], rest[more]]), np.concatenate([hi[good], (at[1:] - 1)[more]])
+
+    total = np.zeros(len(plain) + 1, U64)
+    np.cumsum(_BYTE[plain] * powers(_BASE, len(plain)), out=total[1:])
+    a, e = begin[lo], begin[hi + 1] - 1
+    h = mix((total[e] - total[a]) * powers(_INVERSE, len(plain) + 1)[a] + (e - a).astype(U64) * U64(0xD6E8FEB86659FD93))
+    text = np.searchsorted(at, lo, "right") - 1
+    return text, h.view(np.int64), lo - at[text], hi - at[text]
+
+
+_SPANS = "array<struct<h:bigint,lo:int,hi:int>>"
 
 
 def _spans(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, version, first, again): distinct spans of a document at their first place, and those at other places."""
-    text = F.col("text").cast("string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lower = pa.array([t.decode(errors="surrogateescape").lower().encode(errors="surrogateescape") for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+            for row, data, starts in blocks(lower):
+                text, h, lo, hi = spans_of(data, starts, least)
+                order = np.lexsort((lo, h, text))
+                text, h, lo, hi = text[order], h[order], lo[order], hi[order]
+                fresh = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])][: len(h)]
+                lists = []
+                for some in (fresh, ~fresh):
+                    struct = pa.StructArray.from_arrays([pa.array(h[some]), pa.array(lo[some], pa.int32()), pa.array(hi[some], pa.int32())], names=["h", "lo", "hi"])
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[some], np.arange(len(starts))), pa.int32()), struct))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(row, len(starts) - 1) for k in (0, 1)), *lists], names=["doc_id", "version", "first", "again"])
 
-    def parts(spans: Column) -> Column:
-        fresh = lambda r, j: (j == 0) | (F.get(spans, (j - 1).cast("int"))["h"] != r["h"])
-        return F.struct(F.filter(spans, fresh).alias("first"), F.filter(spans, lambda r, j: ~fresh(r, j)).alias("again"))
-
-    both = let(span_hashes(pieces(text), least), parts)
-    some = docs.where(F.col("doc_id").isNotNull() & text.rlike(r"\S")).select("doc_id", F.xxhash64(text).alias("version"), both.alias("x"))
-    return written(some.select("doc_id", "version", "x.first", "x.again"))
+    text = F.col("text").cast("string")
+    some = docs.where(F.col("doc_id").isNotNull() & text.rlike(r"\S")).select("doc_id", F.xxhash64(text).alias("version"), text.alias("text"))
+    return written(some.mapInArrow(run, f"doc_id {kind}, version bigint, first {_SPANS}, again {_SPANS}"))
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
