@@ -117,20 +117,22 @@ def train(texts: list[str], toxic: np.ndarray, p: Params) -> tuple[np.ndarray, f
     size, rng = 1 << p.bucket_bits, np.random.default_rng(p.seed)
     if len(texts) == 0 or toxic.min() == toxic.max():
         return np.zeros(size), 30.0 if len(texts) and toxic.max() == 1 else -30.0
-    text_of, ids, lens, row = [], [], [], 0
+    text_of, begin, lens, held = [], [], [], 0
+    # every n-gram once: windows that overlap are stretches of the same ones. A place holds one of each length at most; what is not written takes no memory
+    ids = np.empty(len(p.grams) * sum(len(t.encode()) + 1 for t in texts), np.int32)
     for first, data, starts in blocks(pa.array(texts, pa.string())):
         at, bucket = (np.concatenate(x) for x in zip(*gram_buckets(data, p.grams, p.bucket_bits), strict=True)) if len(data) >= max(p.grams) else (np.zeros(0, np.int64),) * 2
         order = np.argsort(at, kind="stable")
         at, bucket = at[order], bucket[order].astype(np.int32)
         text, lo, hi = windows_of(data, starts, p)
         a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
-        pick = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]) if len(a) else at
-        ids.append(bucket[pick])
+        ids[held : held + len(bucket)] = bucket
+        begin.append(a + held)
         lens.append(b - a)
         text_of.append(text + first)
-    ids, lens, text_of = np.concatenate(ids), np.concatenate(lens), np.concatenate(text_of)
+        held += len(bucket)
+    begin, lens, text_of = (np.concatenate(x) for x in (begin, lens, text_of))
     keep = lens > 0
-    begin = np.cumsum(lens) - lens
     begin, lens, text_of = begin[keep], lens[keep], text_of[keep]
     if not len(lens):
         return np.zeros(size), -30.0
