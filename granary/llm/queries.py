@@ -34,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_sentence_spans": sentence_dedup.ORACLE, "op12_importance": importance.ORACLE, "op13_lexical": lexical.ORACLE}
+    return {"op1_ngram_jaccard": ngram_join.ORACLE, "op4_suffix_array": repeats.ORACLE, "op5_url_filter": url_filter.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_sentence_spans": sentence_dedup.ORACLE, "op12_importance": importance.ORACLE, "op13_lexical": lexical.ORACLE}

@@ -410,3 +410,17 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
 
 def op4_suffix_array(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs.select("doc_id", "text"))
+
+
+#: Every 50-byte string by its hexadecimal digits, cut from blocks of a thousand bytes.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), l AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
+k1 AS (SELECT doc_id, b, n, substr(x, 2000 * b + 1, 2098) AS y FROM (SELECT doc_id, x, n, unnest(range(0, (n + 999) // 1000)) AS b FROM l)),
+s AS (SELECT doc_id, 1000 * b + q AS p, md5(substr(y, 2 * q + 1, 100)) AS h FROM (SELECT doc_id, b, y, unnest(range(0, least(1000, n - 49 - 1000 * b))) AS q FROM k1)),
+f AS (SELECT h, min(doc_id) AS d0 FROM s GROUP BY h), later AS (SELECT doc_id, p FROM s JOIN f USING (h) WHERE d0 < doc_id),
+new AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM later),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM new) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_ FROM runs),
+k AS (SELECT g.doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, string_agg(substr(x, 2 * from_ + 1, 2 * (lo - from_)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept FROM gaps g JOIN l ON l.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT l.doc_id, l.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM l LEFT JOIN k ON k.doc_id = l.doc_id
+"""
