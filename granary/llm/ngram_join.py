@@ -19,12 +19,13 @@ firsts between them, so a set makes few pairs however many signatures it has. Al
 of each node's pairs with firsts of large ones that of the most signatures in common. Their classes are formed.
 
 A link inside a class changes nothing, so what is left are pairs of different classes that share large signatures only. The
-nodes of every large signature that more than one class has are joined once more, exactly: the n-grams of each are ordered from rare to frequent (by
-counts of hash ranges; any one order is right, this one keeps groups small), and two similar sets share the first
-n-gram they have in common within the rarest quarter and one of each. Sizes and places there rule out most pairs, the texts decide.
+nodes of every large signature that more than one class has (and a few more, see ``_mixed``) are joined once more, exactly: the n-grams of each are ordered
+from rare to frequent (by counts of hash ranges; any one order is right, this one keeps groups small), and two similar sets share the first
+n-gram they have in common within the rarest quarter and one of each. N-grams of one row are left out first. Sizes, places and sketches rule out most pairs
+where the rows of an n-gram meet, the texts decide.
 In first passes the sets that share an n-gram meet only so many as ``FIRST`` says of the largest class there, others for each n-gram, which joins
 most of what belongs together by a number of pairs in proportion to the rows; then all pairs that are still of different classes meet.
-Pairs whose 64-byte sketches are six standard deviations too far apart (a chance in the order of 1e-9 for a pair at 0.75) are left out, all others are checked on the texts.
+Pairs whose 128-byte sketches are six standard deviations too far apart (a chance in the order of 1e-9 for a pair at 0.75) are left out, all others are checked on the texts.
 
 Defined results: null, empty and blank texts have no n-grams and are linked with nothing; texts shorter than
 n words are one n-gram. Repeated rows are one class. Rows with a null doc_id are compared, but name no class.
@@ -47,9 +48,11 @@ MAX_PARTS = 28
 FEW, FIRST = 3, (8, 100)
 SMALL = 16
 #: Smallest set with a sketch, and the standard deviations that a pair's agreement may fall short.
-SKETCHED, APART = 24, 6
+SKETCHED, APART, BINS = 24, 6, 128
+#: Bits of the table of first nodes, in which two may share a bit.
+FIRSTS = 1 << 24
 #: Ranges of hashes whose n-grams are counted together, and pairs held at a time.
-BUCKETS, _PAIRS = 1 << 18, 1 << 20
+BUCKETS, _PAIRS, _COMPARED = 1 << 18, 1 << 20, 1 << 16
 _SEEN = 100_000
 
 
@@ -115,12 +118,12 @@ class Signer:
 
 
 def sketch(h: np.ndarray) -> bytes | None:
-    """One byte of the least hash in each of 64 bins, 0 where a bin is empty; none for sets under ``SKETCHED``."""
+    """One byte of the least hash in each of ``BINS`` bins, 0 where a bin is empty; none for sets under ``SKETCHED``."""
     if len(h) < SKETCHED:
         return None
     g = np.sort(mix(h + U64(4)))[::-1]
-    out = np.zeros(64, np.uint8)
-    out[(g & U64(63)).astype(np.int64)] = (g >> U64(32)) % U64(255) + U64(1)  # the last written, hence the least, stays
+    out = np.zeros(BINS, np.uint8)
+    out[(g & U64(BINS - 1)).astype(np.int64)] = (g >> U64(32)) % U64(255) + U64(1)  # the last written, hence the least, stays
     return out.tobytes()
 
 
@@ -173,10 +176,21 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "sig bigint, node bigint")
 
 
-def _plausible(percent: int):
-    """Pairs but those whose sketches rule out the similarity: of the m bins that either has, a pair at the limit t agrees in t * m, with
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Sketches that are not null, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _alike(percent: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which sketches do not rule out the similarity: of the m bins that either has, a pair at the limit t agrees in t * m, with
     a standard deviation of at most sqrt(m * t * (1 - t)); it may fall short by ``APART`` of these."""
     t = percent / 100
+    m = ((x > 0) | (y > 0)).sum(axis=1)
+    return ((x == y) & (x > 0)).sum(axis=1) >= t * m - APART * np.sqrt(m * t * (1 - t))
+
+
+def _plausible(percent: int):
+    """Pairs but those whose sketches rule out the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +198,7 @@ def _plausible(percent: int):
             a, b = batch.column("sa"), batch.column("sb")
             both = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
             if len(both):
-                x, y = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, 64) for c in (a, b))
-                m = ((x > 0) | (y > 0)).sum(axis=1)
-                keep[both] = ((x == y) & (x > 0)).sum(axis=1) >= t * m - APART * np.sqrt(m * t * (1 - t))
+                keep[both] = _alike(percent, *(_bytes_of(c.take(pa.array(both))) for c in (a, b)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -317,13 +329,36 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "gram bigint, at int, n int, node bigint")
 
 
-_ROW = ("gram", "component", "at", "n", "node")
+def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of their n-grams those whose n-gram is not in one row alone."""
+    last, alone = None, False  # the row that was last, and whether it is the first of its n-gram
+    for batch in batches:
+        if not len(batch):
+            continue
+        gram = batch.column("gram").to_numpy()
+        new = np.r_[last is None or last.column("gram")[0].as_py() != gram[0], gram[1:] != gram[:-1]]
+        if last is not None and alone and not new[0]:
+            yield last
+        yield batch.filter(pa.array(~(new & np.r_[new[1:], True])))  # of the last row the next batch decides, if it is the first of its n-gram
+        last, alone = batch.slice(len(batch) - 1), bool(new[-1])
+
+
+_ROW = ("gram", "component", "at", "n", "id")
 
 
-def _may_be(percent: int, at: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the pairs of rows x and y their sizes and places do not rule out."""
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [*(batch.column(c).to_numpy().astype(np.int64) for c in _ROW), _bytes_of(batch.column("sketch"))]
+
+
+def _may_be(percent: int, at: np.ndarray, n: np.ndarray, ids: np.ndarray, sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows x and y their sizes, places and sketches do not rule out. A set without a sketch has only zeros there."""
     need = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
-    return (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    ok = (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
+    left = np.flatnonzero(ok & (n[x] >= SKETCHED) & (n[y] >= SKETCHED))
+    for lo in range(0, len(left), _COMPARED):
+        i = left[lo : lo + _COMPARED]
+        ok[i] = _alike(percent, sketches[x[i]], sketches[y[i]])
+    return ok
 
 
 def _pairs_once(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -340,8 +375,8 @@ def _to_first(percent: int, many: int):
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [batch.column(c).to_numpy().astype(np.int64) for c in _ROW]
-            gram, component, at, n, node = [np.concatenate(x) for x in zip(head, rows, strict=True)] if head else rows
+            rows = _columns(batch)
+            gram, component, at, n, ids, sketches = [np.concatenate(x) for x in zip(head, rows, strict=True)] if head else rows
             i = np.arange(len(gram))
             first = np.maximum.accumulate(np.where(np.r_[True, gram[1:] != gram[:-1]], i, 0))
             new = i[len(head[0]) :] if head else i
@@ -349,20 +384,20 @@ def _to_first(percent: int, many: int):
             for k in range(many):
                 y = new[first[new] + k < new]
                 y = y[component[first[y] + k] != component[y]]
-                y = y[_may_be(percent, at, n, first[y] + k, y)]
-                a.append(node[first[y] + k])
-                b.append(node[y])
+                y = y[_may_be(percent, at, n, ids, sketches, first[y] + k, y)]
+                a.append(ids[first[y] + k])
+                b.append(ids[y])
             yield _pairs_once(np.concatenate(a), np.concatenate(b))
             last = slice(int(first[-1]), int(first[-1]) + many)
-            head = [x[last] for x in (gram, component, at, n, node)]
+            head = [x[last] for x in (gram, component, at, n, ids, sketches)]
 
     return run
 
 
 def _across(percent: int):
-    """Pairs (a, b) of nodes of different components from rows (gram, component, at, n, node) in order, but those that their sizes or places rule out."""
+    """Pairs (a, b) of ids of different components from rows in the order of n-gram and component, but those that ``_may_be`` rules out."""
 
-    def pairs(gram: np.ndarray, component: np.ndarray, at: np.ndarray, n: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(gram: np.ndarray, component: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
         i = np.arange(len(gram))
         new = np.r_[True, gram[1:] != gram[:-1]]
         start = np.maximum.accumulate(np.where(new, i, 0))
@@ -375,9 +410,9 @@ def _across(percent: int):
             m = many[lo:hi]
             y = np.repeat(i[lo:hi], m)
             x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
-            ok = _may_be(percent, at, n, x, y)
+            ok = _may_be(percent, at, n, ids, sketches, x, y)
             if ok.any():
-                yield _pairs_once(node[x[ok]], node[y[ok]])
+                yield _pairs_once(ids[x[ok]], ids[y[ok]])
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +420,7 @@ def _across(percent: int):
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [batch.column(c).to_numpy().astype(np.int64) for c in _ROW]
+            rows = _columns(batch)
             ends = np.flatnonzero(rows[0] != rows[0][-1])  # the n-gram of the last row may go on
             cut = int(ends[-1]) + 1 if len(ends) else 0
             if held and (cut or held[-1][0][-1] != rows[0][0]):
@@ -400,12 +435,52 @@ def _across(percent: int):
     return run
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, least, most): of each first node the least and the greatest component among the rows (firsts, component) of a batch."""
+    for batch in batches:
+        firsts = batch.column("firsts")
+        a, c = firsts.flatten().to_numpy(), np.repeat(batch.column("component").to_numpy(), firsts.value_lengths().to_numpy())
+        order = np.lexsort((c, a))
+        a, c = a[order], c[order]
+        new = np.r_[True, a[1:] != a[:-1]][: len(a)]
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(c[new]), pa.array(c[np.r_[new[1:], True][: len(a)]])], names=["a", "least", "most"])
+
+
+def _bit(a: np.ndarray) -> np.ndarray:
+    return (mix(a.view(U64)) % U64(FIRSTS)).astype(np.int64)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bit = _bit(batch.column("a").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((U64(1) << (bit & 63).astype(U64)).view(np.int64))], names=["word", "bits"])
+
+
 def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
-    """(node, id, component) of the nodes of large signatures that more than one class has, or whose first has another such signature."""
-    of = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    both = written(hot.join(of("a"), "a").join(of("b"), "b"))
-    mixed = both.join(both.where("ca <> cb").select("a").distinct(), "a", "left_semi")
-    return named.join(mixed.select(F.col("a").alias("node")).union(mixed.select("b")).distinct(), "node", "left_semi")
+    """(node, id, component) of the nodes of large signatures that more than one class has, or whose first has another such signature.
+
+    A node's firsts are held as one array (no more than it has signatures), so their pairs are not expanded. Firsts of several classes mark
+    bits in a table of fixed size; a node with a marked first is taken, also one whose first shares a bit with another, which costs
+    work in the exact join and changes no result."""
+    own = hot.select(F.col("a").alias("b"), "a").distinct()
+    held = hot.select("b", "a").union(own).groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("firsts"))
+    held = written(held.join(named.where("component is not null"), "node"))
+    stars = held.select("firsts", "component").mapInArrow(_stars, "a bigint, least bigint, most bigint")
+    mixed = stars.groupBy("a").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
+    words = mixed.select("a").mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FIRSTS // 64, U64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = batch.column("firsts")
+            bit = _bit(firsts.flatten().to_numpy())
+            marked = (table[bit >> 6] >> (bit & 63).astype(U64)) & U64(1)
+            keep = np.zeros(len(batch), bool)
+            keep[np.repeat(np.arange(len(batch)), firsts.value_lengths().to_numpy())[marked > 0]] = True
+            yield batch.select(["node", "id", "component"]).filter(pa.array(keep))
+
+    return held.mapInArrow(run, "node bigint, id bigint, component bigint")
 
 
 def _texts_of(some: DataFrame, docs: DataFrame) -> DataFrame:
@@ -414,11 +489,17 @@ def _texts_of(some: DataFrame, docs: DataFrame) -> DataFrame:
     return written(texts.dropDuplicates(["node", "version"]).select("doc_id", "node", "text"))
 
 
-def _dealt(grams: DataFrame, named: DataFrame) -> DataFrame:
+def _shared(grams: DataFrame) -> DataFrame:
+    """The rows of n-grams that more than one row has; most of the rarest are in one only."""
+    return grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_of_several, grams.schema)
+
+
+def _dealt(grams: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of each n-gram together, those of the largest component first."""
     size = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = grams.join(named.join(size, "component").select("node", "component", "size"), "node").withColumn("turn", F.xxhash64("gram", "node"))
-    return rows.repartition("gram").sortWithinPartitions("gram", F.desc("size"), "component", "turn").select(*_ROW)
+    sketches = nodes.select("node", F.coalesce("sketch", F.lit(bytes(BINS))).alias("sketch"))
+    rows = grams.join(named.where("id is not null").join(size, "component").join(sketches, "node").select("node", "id", "component", "size", "sketch"), "node").withColumn("turn", F.xxhash64("gram", "node"))
+    return rows.repartition("gram").sortWithinPartitions("gram", F.desc("size"), "component", "turn").select(*_ROW, "sketch")
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -438,11 +519,11 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     checked, links = [tried], written(_linked(tried, docs, n, percent))
     named = written(classes(links))
     texts = _texts_of(_mixed(met.where("hot > 0").select("a", "b"), named), docs)
-    grams = written(_prefixes(texts, n, percent))
+    grams = written(_shared(_prefixes(texts, n, percent)))
     discard(met)
     for meet in (*(_to_first(percent, k) for k in FIRST), _across(percent)):
-        more = _dealt(grams, named).mapInArrow(meet, "a bigint, b bigint").distinct()
-        more = written(_plausible_pairs(more, nodes, percent).join(tried, ["a", "b"], "left_anti"))
+        more = _dealt(grams, named, nodes).mapInArrow(meet, "a bigint, b bigint").distinct()
+        more = written(more.join(tried, ["a", "b"], "left_anti"))
         checked.append(more)
         fresh = written(_linked(more, texts, n, percent))
         if not fresh.isEmpty():

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,47 @@ def test_signatures_are_certain_below_the_limit():
                 assert len(np.intersect1d(signer(a), signer(b)))
 
 
+def gram_rows(sketches):
+    """Rows of one n-gram, each of its own component."""
+    k = len(sketches)
+    columns = [pa.array(np.full(k, 5)), pa.array(np.arange(k)), pa.array(np.zeros(k, np.int32)), pa.array(np.full(k, 100, np.int32)), pa.array(np.arange(k)), pa.array(sketches, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[*ngram_join._ROW, "sketch"])
+
+
+def test_rows_of_an_ngram_meet_by_their_sketches():
+    """A large group of texts that only an n-gram joins makes no pairs, one of similar texts all of them."""
+    rnd = np.random.default_rng(3)
+    sketch = lambda: ngram_join.sketch(rnd.integers(0, 2**63, 100).astype(np.uint64))
+    count = lambda meet, sketches: sum(len(x) for x in meet(iter([gram_rows(sketches[:70]), gram_rows(sketches[70:])][: 1 + (len(sketches) > 70)])))
+    apart, same = [sketch() for _ in range(60)], [sketch()] * 60
+    assert count(ngram_join._across(75), apart) == 0 and count(ngram_join._across(75), same) == 60 * 59 // 2
+    assert count(ngram_join._to_first(75, 8), apart) == 0 and count(ngram_join._to_first(75, 8), same) == 8 * 52 + 8 * 7 // 2
+
+
+def test_ngrams_of_one_row_are_left_out():
+    rnd = random.Random(5)
+    grams = sorted(rnd.choice([rnd.randint(0, 40), rnd.randint(0, 10**6)]) for _ in range(300))
+    for size in (1, 2, 7, 300):
+        batches = (pa.record_batch({"gram": pa.array(grams[i : i + size], pa.int64()), "row": pa.array(range(i, min(i + size, 300)))}) for i in range(0, 300, size))
+        got = [(g, r) for b in ngram_join._of_several(batches) for g, r in zip(b.column("gram").to_pylist(), b.column("row").to_pylist(), strict=True)]
+        assert got == [(g, i) for i, g in enumerate(grams) if grams.count(g) > 1]
+
+
+def test_mixed_nodes_without_their_pairs(spark, monkeypatch):
+    """Nodes whose first is of another class, or has another such node; no table or join holds a row for each pair."""
+    rnd = random.Random(6)
+    component = {i: i if i < 120 and i % 3 else 300 for i in range(400)}
+    pairs = sorted({(rnd.randint(0, 19) if b < 200 else rnd.randint(200, 219), b) for b in range(20, 400) if not 200 <= b < 220 for _ in range(30)})
+    mixed = {a for a, b in pairs if component[a] != component[b]}
+    expected = {x for a, b in pairs if a in mixed for x in (a, b)}
+    rows = []
+    monkeypatch.setattr(ngram_join, "written", lambda df: rows.append(df.count()) or df)
+    found = ngram_join._mixed(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(i, i, c) for i, c in component.items()], "node long, id long, component long"))
+    got = {r.node for r in found.collect()}
+    assert expected <= got and len(got - expected) <= 2 and 0 < len(expected) < 400
+    assert sum(rows) <= 400 < len(pairs)
+
+
 def edit_distance(item, part):
     row = [0] * (len(part) + 1)
     for i, a in enumerate(item, 1):
