@@ -65,6 +65,13 @@ def aggregate_columns(df: DataFrame, columns: list[str], metrics: list[str]) ->
     return unpivoted(df.agg(*(AGGREGATES[m](F.col(f"`{c}`")).alias(f"{c}|{m}") for c in columns for m in metrics)), columns, metrics)
 
 
+def exact_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, exact_distinct): each column by itself, so that a shuffled row is one value; several distinct counts in one
+    aggregate would make a row of all columns for each of them."""
+    counts = [df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct().agg(F.lit(c).alias("column_name"), F.count("v").alias("exact_distinct")) for c in columns]
+    return union_metrics(*counts)
+
+
 def quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...] = PROBABILITIES, accuracy: int = ACCURACY) -> DataFrame:
     """(column_name, quartile, value). An accuracy of 4 is a relative error of 0.25."""
     wide = df.agg(*(F.percentile_approx(F.col(c).cast("double"), list(probabilities), accuracy).alias(f"{c}|q") for c in columns))

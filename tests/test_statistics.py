@@ -121,3 +121,18 @@ def test_registered_aggregator_and_folding(spark):
     words = spark.range(5000).select(F.repeat(F.lit("a"), (F.col("id") % 97).cast("int")).alias("w"), F.lit(None).cast("string").alias("n")).repartition(40)
     merged = mg.merged_folds(mg.folded(words, ["w", "n"], longest), longest, fan=3)
     assert sorted(map(tuple, mg.finished_folds(merged, longest, "longest").collect()), key=str) == [("n", "longest", None), ("w", "longest", 96.0)]
+
+
+def test_checks_of_profiles_stay_narrow(spark):
+    """Distinct values of several columns without a row of all columns for each; ranks without a lookup in a map for each row."""
+    from granary.plans import table_queries as tq
+
+    nan = float("nan")
+    t = spark.createDataFrame([(1, 0.0, "a"), (2, -0.0, None), (2, nan, "b"), (None, nan, "b"), (3, None, "b")], "a long, `b` double, c string")
+    found = stats.exact_distinct(t, ["a", "b", "c"])
+    assert sorted(map(tuple, found.collect())) == [("a", 3), ("b", 2), ("c", 2)]
+    marks = spark.createDataFrame([("a", "q0", 1.0), ("a", "q50", 2.0), ("b", "q0", 5.0), ("b", "q50", None)], "column_name string, metric string, value double")
+    ranks = tq._ranks_hold(t, marks, ["a", "b"], (0.0, 0.5), 0.01)
+    assert sorted(r.metric for r in ranks.where("column_name = 'a' and within_bound").collect()) == ["q0", "q50"]
+    for df, word in ((found, "Expand"), (ranks, "element_at"), (ranks, "map_from_entries")):
+        assert word not in df._jdf.queryExecution().toString()
