@@ -15,8 +15,9 @@ a signature in each with probability 0.52, so it is missed with probability 0.48
 Equal sets are one node, named by a hash of the set, so copies cost one row a task and never meet in pairs.
 Rows of a signature are read as a stream in the order of their nodes. The first ``FEW`` + 1 all meet; a later one meets the first
 only, so a large signature makes a pair a row. That order is the same in all signatures: the sets of a family share few
-firsts between them, so a set makes few pairs however many signatures it has. All pairs that met in small signatures are checked, and
-of each node's pairs with firsts of large ones that of the most signatures in common. Their classes are formed.
+firsts between them, so a set makes few pairs however many signatures it has. First each node is checked with two earlier ones, those of the most
+small and of the most large signatures in common, which makes classes of most families by two links a node at most. Then all pairs that met in small
+signatures are checked where they are still of different classes. Their classes are formed; many links between two classes count as one.
 
 A link inside a class changes nothing, so what is left are pairs of different classes that share large signatures only. The
 nodes of every large signature that more than one class has (and a few more, see ``_mixed``) are joined once more, exactly: the n-grams of each are ordered
@@ -264,23 +265,36 @@ def _check(percent: int, n: int):
 
 
 def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the smallest doc_ids of pairs of nodes that neither their sizes nor their sketches rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("id").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    """(a, b) of the smallest doc_ids of pairs of nodes of different components that neither their sizes nor their sketches rule out."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("id").alias(f"i{x}"), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ia <> ib")
+        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ca <> cb")
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "sa", "sb")
         .mapInArrow(_plausible(percent), "a bigint, b bigint")
     )
 
 
+def _texts_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in the pairs, and of those that share a bit with one, so that other texts are not shuffled."""
+    table = _bit_table(pairs.select("a").union(pairs.select("b")))
+
+    @F.arrow_udf("boolean")
+    def marked(doc_id: pa.Array) -> pa.Array:
+        return pa.array(_marked(table, doc_id.to_numpy(zero_copy_only=False)))
+
+    return _texts(docs).where("doc_id is not null").where(marked("doc_id"))
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs of doc_ids that the texts bear out."""
-    texts = _texts(docs)
+    texts = written(_texts_in(pairs, docs))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_check(percent, n), "a bigint, b bigint").distinct()
+    links = written(with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_check(percent, n), "a bigint, b bigint").distinct())
+    discard(texts)
+    return links
 
 
 def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
@@ -456,6 +470,19 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((U64(1) << (bit & 63).astype(U64)).view(np.int64))], names=["word", "bits"])
 
 
+def _bit_table(ids: DataFrame) -> np.ndarray:
+    """The ``FIRSTS`` bits of all a of rows (a): a table of fixed size."""
+    words = ids.mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FIRSTS // 64, U64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    return table
+
+
+def _marked(table: np.ndarray, a: np.ndarray) -> np.ndarray:
+    bit = _bit(a)
+    return (table[bit >> 6] >> (bit & 63).astype(U64)) & U64(1) > 0
+
+
 def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
     """(node, id, component) of the nodes of large signatures that more than one class has, or whose first has another such signature.
 
@@ -467,17 +494,13 @@ def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
     held = written(held.join(named.where("component is not null"), "node"))
     stars = held.select("firsts", "component").mapInArrow(_stars, "a bigint, least bigint, most bigint")
     mixed = stars.groupBy("a").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
-    words = mixed.select("a").mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FIRSTS // 64, U64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    table = _bit_table(mixed.select("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts = batch.column("firsts")
-            bit = _bit(firsts.flatten().to_numpy())
-            marked = (table[bit >> 6] >> (bit & 63).astype(U64)) & U64(1)
             keep = np.zeros(len(batch), bool)
-            keep[np.repeat(np.arange(len(batch)), firsts.value_lengths().to_numpy())[marked > 0]] = True
+            keep[np.repeat(np.arange(len(batch)), firsts.value_lengths().to_numpy())[_marked(table, firsts.flatten().to_numpy())]] = True
             yield batch.select(["node", "id", "component"]).filter(pa.array(keep))
 
     return held.mapInArrow(run, "node bigint, id bigint, component bigint")
@@ -503,32 +526,42 @@ def _dealt(grams: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_shingles, component_id) of every row, (a, b) links between the smallest doc_ids of equal sets)."""
+    """((doc_id, n_shingles, component_id) of every row, (a, b) links between the smallest doc_ids of equal sets, as many as the classes need and some more)."""
     rows = written(described(docs, n))
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
     nodes = written(nodes)
 
-    def classes(links: DataFrame) -> DataFrame:
-        found = nodes.select("node", "id").join(components(links, "a", "b").select(F.col("node").alias("id"), "component"), "id", "left")
-        return found.select("node", "id", F.coalesce("component", "id").alias("component"))
+    def classes(links: DataFrame, named: DataFrame) -> DataFrame:
+        """``named`` with the classes that links join made one; many links between two classes are one edge."""
+        of = lambda x: named.where("id is not null").select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+        joined = components(links.join(of("a"), "a").join(of("b"), "b").select("ca", "cb").distinct(), "ca", "cb")
+        found = named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+        return written(found.select("node", "id", F.coalesce("whole", "component").alias("component")))
 
     met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "a bigint, b bigint, hot bigint, cold bigint")
     met = written(met.groupBy("a", "b").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")))
-    best = met.where("hot > 0").groupBy("b").agg(F.max(F.struct("hot", "a")).alias("x")).select("x.a", "b")
-    tried = written(_plausible_pairs(met.where("cold > 0").select("a", "b").union(best).distinct(), nodes, percent))
-    checked, links = [tried], written(_linked(tried, docs, n, percent))
-    named = written(classes(links))
-    texts = _texts_of(_mixed(met.where("hot > 0").select("a", "b"), named), docs)
-    grams = written(_shared(_prefixes(texts, n, percent)))
-    discard(met)
-    for meet in (*(_to_first(percent, k) for k in FIRST), _across(percent)):
-        more = _dealt(grams, named, nodes).mapInArrow(meet, "a bigint, b bigint").distinct()
+    best = lambda times: met.where(f"{times} > 0").groupBy("b").agg(F.max(F.struct(times, "a")).alias("x")).select("x.a", "b")
+    each = nodes.withColumn("component", F.col("id"))
+    tried = written(_plausible_pairs(best("cold").union(best("hot")).distinct(), each, percent))
+    checked, links = [tried], _linked(tried, docs, n, percent)
+    named = classes(links, each.select("node", "id", "component"))
+
+    def settle(more: DataFrame, texts: DataFrame) -> None:
+        """Checks those of the pairs that were not, and forms the classes anew."""
+        nonlocal tried, links, named
         more = written(more.join(tried, ["a", "b"], "left_anti"))
         checked.append(more)
-        fresh = written(_linked(more, texts, n, percent))
+        fresh = _linked(more, texts, n, percent)
         if not fresh.isEmpty():
             tried, links = tried.union(more), links.union(fresh)
-            named = written(classes(links))
+            named = classes(fresh, named)
+
+    settle(_plausible_pairs(met.where("cold > 0").select("a", "b"), nodes.join(named.select("node", "component"), "node"), percent), docs)
+    texts = _texts_of(_mixed(met.where("hot > 0").select("a", "b"), named), docs)
+    grams = written(_shared(_prefixes(texts, n, percent)))
+    discard(met)
+    for meet in (*(_to_first(percent, k) for k in FIRST), _across(percent)):
+        settle(_dealt(grams, named, nodes).mapInArrow(meet, "a bigint, b bigint").distinct(), texts)
     discard(grams, texts, *checked)
     out = rows.join(named.select("node", "component"), "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), links

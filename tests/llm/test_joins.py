@@ -70,6 +70,26 @@ def test_join_of_one_large_family(spark):
     assert got == brute(docs)
 
 
+def test_edges_of_a_family_grow_with_its_texts(spark, monkeypatch):
+    """Components of a family are formed over some edges a text, not over all pairs that met; the classes are those of brute force."""
+    rnd, edges, real = random.Random(100), [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links, a, b: (edges.append(links.count()), real(links, a, b))[1])
+    docs = []
+    for i in range(100):
+        copy = [f"b{j}" for j in range(60)]
+        copy[rnd.randrange(60)] = f"e{rnd.randint(0, 10**6)}"
+        docs.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op1_ngram_jaccard(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert sum(edges) < 300
+
+
+def test_only_texts_of_pairs_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "text")], "doc_id long, text string")
+    found = {r.doc_id for r in ngram_join._texts_in(spark.createDataFrame([(1, 5), (5, 1700)], "a long, b long"), docs).collect()}
+    assert {1, 5, 1700} <= found and len(found) < 10
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_join_of_skewed_short_texts(seed, spark):
     """Short texts whose every common n-gram is in hundreds of others: all signatures that similar ones share are large."""
