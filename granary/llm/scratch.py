@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Deletes the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Without one, a folder of this machine serves a local master; other machines could
@@ -26,10 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: cuts the lineage,
-    outlives lost executors, and keeps several consumers from computing it again."""
-    path = f"{shared_dir(df.sparkSession)}/granary-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    outlives lost executors, and keeps several consumers from computing it again. Its shuffles' files are
+    deleted as soon as it is written, not when the driver next collects its garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
