@@ -22,10 +22,11 @@ signatures are checked where they are still of different classes. Their classes
 A link inside a class changes nothing, so what is left are pairs of different classes that share large signatures only. The
 nodes of every large signature that more than one class has (and a few more, see ``_mixed``) are joined once more, exactly: the n-grams of each are ordered
 from rare to frequent (by counts of hash ranges; any one order is right, this one keeps groups small), and two similar sets share the first
-n-gram they have in common within the rarest quarter and one of each. N-grams of one row are left out first. Sizes, places and sketches rule out most pairs
+n-gram they have in common within the rarest quarter and one of each. N-grams of one row or one class are left out first. Sizes, places and sketches rule out most pairs
 where the rows of an n-gram meet, the texts decide.
 In first passes the sets that share an n-gram meet only so many as ``FIRST`` says of the largest class there, others for each n-gram, which joins
 most of what belongs together by a number of pairs in proportion to the rows; then all pairs that are still of different classes meet.
+An n-gram with no more rows than such a pass lets meet is done with it.
 Pairs whose 128-byte sketches are six standard deviations too far apart (a chance in the order of 1e-9 for a pair at 0.75) are left out, all others are checked on the texts.
 
 Defined results: null, empty and blank texts have no n-grams and are linked with nothing; texts shorter than
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -276,9 +277,9 @@ def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     )
 
 
-def _texts_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in the pairs, and of those that share a bit with one, so that other texts are not shuffled."""
-    table = _bit_table(pairs.select("a").union(pairs.select("b")))
+def _texts_near(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in rows (a), and of those that share a bit with one, so that other texts are not shuffled."""
+    table = _bit_table(ids)
 
     @F.arrow_udf("boolean")
     def marked(doc_id: pa.Array) -> pa.Array:
@@ -287,6 +288,11 @@ def _texts_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return _texts(docs).where("doc_id is not null").where(marked("doc_id"))
 
 
+def _texts_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in the pairs, and of few others."""
+    return _texts_near(pairs.select("a").union(pairs.select("b")), docs)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs of doc_ids that the texts bear out."""
     texts = written(_texts_in(pairs, docs))
@@ -328,13 +334,11 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 heads, sizes, nodes = [], [], []
-                for h, node in zip(shingle_sets(part.column("text"), n), part.column("node").to_pylist(), strict=True):
-                    if node_of(h) != node:
-                        continue  # another text of this doc_id
+                for h in shingle_sets(part.column("text"), n):
                     order = np.lexsort((h, times[_bucket(h)]))
                     heads.append(h[order[: len(h) - (len(h) * percent + 99) // 100 + 1]])
                     sizes.append(len(h))
-                    nodes.append(node)
+                    nodes.append(node_of(h))
                 if heads:
                     many = [len(x) for x in heads]
                     columns = (np.concatenate(heads).view(np.int64), np.concatenate([np.arange(m) for m in many]), np.repeat(sizes, many), np.repeat(nodes, many))
@@ -507,9 +511,10 @@ def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _texts_of(some: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, node, text) of the nodes' smallest documents."""
-    texts = _texts(docs).join(some.select("id", "node"), F.col("doc_id") == F.col("id")).withColumn("version", F.xxhash64("text"))
-    return written(texts.dropDuplicates(["node", "version"]).select("doc_id", "node", "text"))
+    """(doc_id, text), once, of the nodes' smallest documents. Other texts of such a doc_id come too, and change no result."""
+    ids = some.select(F.col("id").alias("doc_id"))
+    texts = _texts_near(ids.toDF("a"), docs).join(ids, "doc_id", "left_semi").withColumn("version", F.xxhash64("text"))
+    return written(texts.dropDuplicates(["doc_id", "version"]).select("doc_id", "text"))
 
 
 def _shared(grams: DataFrame) -> DataFrame:
@@ -517,6 +522,15 @@ def _shared(grams: DataFrame) -> DataFrame:
     return grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_of_several, grams.schema)
 
 
+def _of_classes(grams: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of n-grams that more than one class has, and how many rows the n-gram has. Classes are only ever joined, so the others
+    never make a pair of different ones."""
+    alike = Window.partitionBy("gram")
+    found = grams.join(named.where("id is not null").select("node", "component"), "node")
+    ends = found.select(*grams.columns, *(f("component").over(alike).alias(x) for f, x in ((F.min, "least"), (F.max, "most"), (F.count, "rows"))))
+    return ends.where("least <> most").drop("least", "most")
+
+
 def _dealt(grams: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of each n-gram together, those of the largest component first."""
     size = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -558,10 +572,13 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
 
     settle(_plausible_pairs(met.where("cold > 0").select("a", "b"), nodes.join(named.select("node", "component"), "node"), percent), docs)
     texts = _texts_of(_mixed(met.where("hot > 0").select("a", "b"), named), docs)
-    grams = written(_shared(_prefixes(texts, n, percent)))
+    grams = written(_of_classes(_shared(_prefixes(texts, n, percent)), named))
     discard(met)
-    for meet in (*(_to_first(percent, k) for k in FIRST), _across(percent)):
-        settle(_dealt(grams, named, nodes).mapInArrow(meet, "a bigint, b bigint").distinct(), texts)
+    settled = 0  # all rows of an n-gram of so many have met
+    for k in (*FIRST, 0):
+        meet = _to_first(percent, k) if k else _across(percent)
+        settle(_dealt(grams.where(f"rows > {settled}"), named, nodes).mapInArrow(meet, "a bigint, b bigint").distinct(), texts)
+        settled = k + 1
     discard(grams, texts, *checked)
     out = rows.join(named.select("node", "component"), "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), links

@@ -90,6 +90,44 @@ def test_only_texts_of_pairs_are_shuffled(spark):
     assert {1, 5, 1700} <= found and len(found) < 10
 
 
+def shuffled(spark, run):
+    """Rows that the stages of run() shuffle while no join is broadcast."""
+    sc, key = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    before, group = spark.conf.get(key), f"shuffled-{random.random()}"
+    spark.conf.set(key, -1)
+    sc.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        run()
+    finally:
+        spark.conf.set(key, before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_only_texts_of_mixed_nodes_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "text"), (5, "text 5"), (5, "another")], "doc_id long, text string")
+    some = spark.createDataFrame([(101, 1, 1), (105, 5, 5), (1700, 1700, 5)], "node long, id long, component long")
+    found = []
+    assert shuffled(spark, lambda: found.extend(ngram_join._texts_of(some, docs).collect())) < 100
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, "text 1"), (5, "another"), (5, "text 5"), (1700, "text 1700")]
+
+
+def test_ngrams_of_one_class_are_left_out(spark):
+    grams = spark.createDataFrame([(7, 10), (7, 11), (8, 10), (8, 12), (8, 13), (9, 12), (9, 14)], "gram long, node long")
+    named = spark.createDataFrame([(10, 1, 1), (11, 2, 1), (12, 3, 3), (13, 4, 3), (14, None, None)], "node long, id long, component long")
+    assert sorted(tuple(r) for r in ngram_join._of_classes(grams, named).collect()) == [(8, 10, 3), (8, 12, 3), (8, 13, 3)]
+
+
+def test_all_rows_of_a_small_ngram_meet_in_the_first_pass():
+    rnd = np.random.default_rng(7)
+    batch = gram_rows([ngram_join.sketch(rnd.integers(0, 2**63, 100).astype(np.uint64))] * 9)
+    for parts in ([batch], [batch.slice(i, 1) for i in range(9)], [batch.slice(0, 8), batch.slice(8)]):
+        once, whole = ({(a, b) for x in meet(iter(parts)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)} for meet in (ngram_join._to_first(75, 8), ngram_join._across(75)))
+        assert once == whole and len(once) == 36
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_join_of_skewed_short_texts(seed, spark):
     """Short texts whose every common n-gram is in hundreds of others: all signatures that similar ones share are large."""
