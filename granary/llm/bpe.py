@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -229,13 +230,13 @@ def loaded(path: str, pattern: str) -> Bpe:
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Rows in runs of about BLOCK characters."""
-    texts, at = column.to_pylist(), 0
-    while at < len(texts):
+    sizes, at = pc.fill_null(pc.utf8_length(column), 0).to_pylist(), 0
+    while at < len(sizes):
         end, size = at, 0
-        while end < len(texts) and (end == at or size < BLOCK):
-            size += len(texts[end] or "")
+        while end < len(sizes) and (end == at or size < BLOCK):
+            size += sizes[end]
             end += 1
-        yield at, texts[at:end]
+        yield at, column.slice(at, end - at).to_pylist()
         at = end
 
 

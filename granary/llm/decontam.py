@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import unused, written
+from .scratch import lean, unused, written
 from .textkit import U64, blocks, mix, ngrams, salted, words
 
 LEAST = 8
@@ -172,7 +172,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
             ids = batch.column("item_id").take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values(), 1))], names=["item_id", *kinds])
 
-    return _source(benchmark, "item_id").mapInArrow(run, "item_id bigint, whole bigint, piece bigint, first int, size int, band int, words binary, keys array<bigint>, pairs array<int>")
+    return _source(benchmark, "item_id").mapInArrow(lean(run), "item_id bigint, whole bigint, piece bigint, first int, size int, band int, words binary, keys array<bigint>, pairs array<int>")
 
 
 def _identity(w: np.ndarray) -> int:
@@ -251,7 +251,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         columns = [pa.array(ids), pa.array(p), pa.array(version), pa.array(np.full(len(p), band, np.int32)), pa.array([y for x in found for y in x[3]], pa.binary()), lists]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "version", "band", "words", "keys"])
 
-    return _source(docs, "doc_id").where("doc_id is not null and text <> ''").mapInArrow(run, "doc_id bigint, place bigint, version bigint, band int, words binary, keys array<bigint>")
+    return _source(docs, "doc_id").where("doc_id is not null and text <> ''").mapInArrow(lean(run), "doc_id bigint, place bigint, version bigint, band int, words binary, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, *own: str) -> DataFrame:
@@ -275,7 +275,7 @@ def _verified(pairs: DataFrame, *own: str) -> DataFrame:
                 ok = pa.array(d <= most)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(d)], names=[*own, "distance"]).filter(ok)
 
-    return pairs.select(*own, "words", "item").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in own), "distance int"]))
+    return pairs.select(*own, "words", "item").mapInArrow(lean(run), ", ".join([*(f"{c} bigint" for c in own), "distance int"]))
 
 
 def _regions(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _regions(docs: DataFrame, hits: DataFrame) -> DataFrame:
     near = F.floor(F.col("start") / (F.floor(F.col("size") / 4) + 3 * PART))
     places = hits.groupBy("doc_id", "version", "item_id", "whole", "size", near.alias("near")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
     listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("version", "item_id", "whole", "size", "low", "high")).alias("hits"))  # at most a document's own length over 64 for each item
-    return _source(docs, "doc_id").join(listed, "doc_id").mapInArrow(run, "doc_id bigint, item_id bigint, whole bigint, words binary")
+    return _source(docs, "doc_id").join(listed, "doc_id").mapInArrow(lean(run), "doc_id bigint, item_id bigint, whole bigint, words binary")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def _short_items(benchmark: DataFrame) -> DataFrame:
             ids = batch.column("item_id").take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()), 1))], names=["item_id", "grams", "key", "item"])
 
-    return _source(benchmark, "item_id").mapInArrow(run, "item_id bigint, grams int, key bigint, item binary")
+    return _source(benchmark, "item_id").mapInArrow(lean(run), "item_id bigint, grams int, key bigint, item binary")
 
 
 def _short_places(docs: DataFrame, short: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def _short_places(docs: DataFrame, short: DataFrame) -> DataFrame:
                     around = [h[max(a, q - LEAST) : min(b, q + 2 * LEAST)].tobytes() for q, a, b in zip(p.tolist(), at[text].tolist(), at[text + 1].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(np.full(len(p), grams, np.int32)), pa.array(keys[p].view(np.int64)), pa.array(around, pa.binary())], names=["doc_id", "grams", "key", "words"])
 
-    places = _source(docs, "doc_id").where("doc_id is not null and text <> ''").mapInArrow(run, "doc_id bigint, grams int, key bigint, words binary")
+    places = _source(docs, "doc_id").where("doc_id is not null and text <> ''").mapInArrow(lean(run), "doc_id bigint, grams int, key bigint, words binary")
     few = F.broadcast(short) if short.count() <= MAX_SENT else short
     return places.join(few, ["grams", "key"])
 

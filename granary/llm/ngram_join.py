@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import discard, named, written
+from .scratch import discard, lean, named, written
 from .textkit import U64, mix, salted, shingle_sets
 
 MAX_PARTS = 28
@@ -143,7 +143,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
             columns = [pa.array(x, f.type) for x, f in zip(zip(*sets, strict=True), list(schema)[1:], strict=True)] if sets else [pa.array([], f.type) for f in list(schema)[1:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary")
+    return _texts(docs).mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, node bigint, sketch binary")
 
 
 def node_of(h: np.ndarray) -> int:
@@ -175,7 +175,7 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if parts:
                 yield rows(parts)
 
-    return _texts(docs).mapInArrow(run, "sig bigint, node bigint")
+    return _texts(docs).mapInArrow(lean(run), "sig bigint, node bigint")
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
@@ -273,7 +273,7 @@ def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
         .join(side("b"), "b")
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ca <> cb")
         .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "sa", "sb")
-        .mapInArrow(_plausible(percent), "a bigint, b bigint")
+        .mapInArrow(lean(_plausible(percent)), "a bigint, b bigint")
     )
 
 
@@ -298,7 +298,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     texts = written(_texts_in(pairs, docs))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = written(with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_check(percent, n), "a bigint, b bigint").distinct())
+    links = written(with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(lean(_check(percent, n)), "a bigint, b bigint").distinct())
     discard(texts)
     return links
 
@@ -314,7 +314,7 @@ def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "times"])
 
-    rows = texts.select("text").mapInArrow(run, "bucket bigint, times bigint").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
+    rows = texts.select("text").mapInArrow(lean(run), "bucket bigint, times bigint").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("times").to_numpy()
     return out
@@ -344,7 +344,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
                     columns = (np.concatenate(heads).view(np.int64), np.concatenate([np.arange(m) for m in many]), np.repeat(sizes, many), np.repeat(nodes, many))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, "gram bigint, at int, n int, node bigint")
+    return texts.mapInArrow(lean(run), "gram bigint, at int, n int, node bigint")
 
 
 def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +476,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bit_table(ids: DataFrame) -> np.ndarray:
     """The ``FIRSTS`` bits of all a of rows (a): a table of fixed size."""
-    words = ids.mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = ids.mapInArrow(lean(_bits), "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FIRSTS // 64, U64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
     return table
@@ -496,7 +496,7 @@ def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
     own = hot.select(F.col("a").alias("b"), "a").distinct()
     held = hot.select("b", "a").union(own).groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("firsts"))
     held = written(held.join(named.where("component is not null"), "node"))
-    stars = held.select("firsts", "component").mapInArrow(_stars, "a bigint, least bigint, most bigint")
+    stars = held.select("firsts", "component").mapInArrow(lean(_stars), "a bigint, least bigint, most bigint")
     mixed = stars.groupBy("a").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
     table = _bit_table(mixed.select("a"))
 
@@ -507,7 +507,7 @@ def _mixed(hot: DataFrame, named: DataFrame) -> DataFrame:
             keep[np.repeat(np.arange(len(batch)), firsts.value_lengths().to_numpy())[_marked(table, firsts.flatten().to_numpy())]] = True
             yield batch.select(["node", "id", "component"]).filter(pa.array(keep))
 
-    return held.mapInArrow(run, "node bigint, id bigint, component bigint")
+    return held.mapInArrow(lean(run), "node bigint, id bigint, component bigint")
 
 
 def _texts_of(some: DataFrame, docs: DataFrame) -> DataFrame:
@@ -519,7 +519,7 @@ def _texts_of(some: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _shared(grams: DataFrame) -> DataFrame:
     """The rows of n-grams that more than one row has; most of the rarest are in one only."""
-    return grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_of_several, grams.schema)
+    return grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(lean(_of_several), grams.schema)
 
 
 def _of_classes(grams: DataFrame, named: DataFrame) -> DataFrame:
@@ -552,7 +552,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
         found = named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
         return written(found.select("node", "id", F.coalesce("whole", "component").alias("component")))
 
-    met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "a bigint, b bigint, hot bigint, cold bigint")
+    met = signed(docs, n, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lean(_meet), "a bigint, b bigint, hot bigint, cold bigint")
     met = written(met.groupBy("a", "b").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")))
     best = lambda times: met.where(f"{times} > 0").groupBy("b").agg(F.max(F.struct(times, "a")).alias("x")).select("x.a", "b")
     each = nodes.withColumn("component", F.col("id"))
@@ -577,7 +577,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     settled = 0  # all rows of an n-gram of so many have met
     for k in (*FIRST, 0):
         meet = _to_first(percent, k) if k else _across(percent)
-        settle(_dealt(grams.where(f"rows > {settled}"), named, nodes).mapInArrow(meet, "a bigint, b bigint").distinct(), texts)
+        settle(_dealt(grams.where(f"rows > {settled}"), named, nodes).mapInArrow(lean(meet), "a bigint, b bigint").distinct(), texts)
         settled = k + 1
     discard(grams, texts, *checked)
     out = rows.join(named.select("node", "component"), "node", "left")

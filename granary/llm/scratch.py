@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of a batch after which freed memory is given back.
+_LARGE = 1 << 22
 #: Deletes the shuffle files of a query at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -64,11 +67,38 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which Arrow's pool and the C library would keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory back after large batches and at the end of a task. Python workers serve one stage after another, several
+    at a time, and each would keep the most that any of its tasks has needed."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            large = batch.nbytes >= _LARGE
+            yield batch
+            del batch
+            if large:
+                give_back()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(each(batches))
+        give_back()
+
+    return whole
+
+
 def with_new(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: int, new: list[T.StructField]) -> DataFrame:
     """``docs.mapInArrow(run)`` of its first ``keep`` columns and ``new`` ones, by place: Spark cannot map columns with dots in their names."""
     numbers = lambda n: [f"c{i}" for i in range(n)]
     fields = [T.StructField(c, f.dataType) for c, f in zip(numbers(keep + len(new)), [*docs.schema.fields[:keep], *new], strict=True)]
-    return docs.toDF(*numbers(len(docs.columns))).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns[:keep], *(f.name for f in new))
+    return docs.toDF(*numbers(len(docs.columns))).mapInArrow(lean(run), T.StructType(fields)).toDF(*docs.columns[:keep], *(f.name for f in new))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
@@ -54,14 +55,15 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
     Text i of a block is ``data[starts[i]:starts[i + 1] - 1]``.
     """
-    rows = [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]
+    rows = texts.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(rows), 0).to_pylist()
     at = 0
     while at < len(rows):
         end, size = at, 0
-        while end < len(rows) and (end == at or size + len(rows[end]) < BLOCK_BYTES):
-            size += len(rows[end]) + 1
+        while end < len(rows) and (end == at or size + sizes[end] < BLOCK_BYTES):
+            size += sizes[end] + 1
             end += 1
-        part = rows[at:end]
+        part = [b"" if x is None else x for x in rows.slice(at, end - at).to_pylist()]  # no more of the texts is held twice
         starts = np.zeros(len(part) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in part], out=starts[1:])
         yield at, np.frombuffer(b" ".join(part) + b" ", np.uint8), starts
